@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import ship
+
 #: The characters that normalisation deletes.
 WHITESPACE = " \t\n\x0b\x0c\r"
 #: Bytes of edge labels that one trie holds before it spills a subtree, or, in map tasks, is passed on.
@@ -199,6 +201,7 @@ def _insert_all(batches: Iterator[pa.RecordBatch], limit: int, pass_on: bool) ->
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trie_bytes: int = TRIE_BYTES) -> DataFrame:
     """One row for each distinct normalised text: digest, keep_id, group_size, keep_code_points."""
+    ship.ensure(docs.sparkSession)
     rows = normalised(docs, id_col, text_col).select("digest", F.encode("norm", "UTF-8").alias("norm"), "code_points", "doc_id", F.lit(1).cast("long").alias("n"))
     schema = "length long, digest string, norm binary, code_points long, doc_id long, n long"
     local = rows.mapInArrow(lambda it: _insert_all(it, 4 * LOCAL_BYTES, True), schema)

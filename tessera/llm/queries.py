@@ -6,13 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exact, mixing
+from pyspark.sql import functions as F
+
+from tessera.llm import exact, mixing, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring.substring_dedup(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -21,6 +28,15 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.poisson_mix(_table(spark, sf_dir, "documents"))
 
 
+OP1_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT doc_id, s, array_to_string(ws[s:s + 19], ' ') AS k FROM w, LATERAL (SELECT unnest(range(1, len(ws) - 18)) AS s) g),
+again AS (SELECT doc_id, s FROM win QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, s) > 1),
+gone AS (SELECT doc_id, list(DISTINCT s + j) AS places FROM again, range(0, 20) AS r(j) GROUP BY doc_id),
+kept AS (SELECT w.doc_id, len(ws) AS n_words, CASE WHEN places IS NULL THEN ws ELSE list_filter(ws, lambda x, i: NOT list_contains(places, i)) END AS ks FROM w LEFT JOIN gone USING (doc_id))
+SELECT doc_id, n_words::BIGINT AS n_words, (n_words - len(ks))::BIGINT AS n_removed, sha256(array_to_string(ks, ' ')) AS kept_sha256 FROM kept
+"""
+
 OP2_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents)
 SELECT doc_id,
@@ -45,10 +61,11 @@ FROM n, LATERAL (SELECT unnest(range(0, copies)) AS copy) g
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_substring_dedup": op1_substring_dedup,
         "op2_exact_dedup": op2_exact_dedup,
         "op8_mix_sources": op8_mix_sources,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op8_mix_sources": OP8_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op8_mix_sources": OP8_SQL}
