@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tessera.llm import exact, langid, mixing, quality, secrets, substring
+from tessera.llm import exact, langid, minhash, mixing, quality, secrets, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(_table(spark, sf_dir, "documents"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_dedup(_table(spark, sf_dir, "documents"), size=4, percent=80)
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest_columns(secrets.secret_scan(_table(spark, sf_dir, "documents")))
 
@@ -60,6 +64,17 @@ SELECT doc_id,
 FROM d WINDOW w AS (PARTITION BY norm ORDER BY length(t) DESC, doc_id)
 """
 
+OP5_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(ws[s:s + 3], ' ') AS g FROM w, LATERAL (SELECT unnest(range(1, greatest(len(ws) - 2, 2))) AS s) t WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id <> b.doc_id JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+          GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (min(x.n) + min(y.n) - count(*))),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT c.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, c.doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
+"""
+
 OP8_SQL = r"""
 WITH s AS (SELECT source, sum(greatest(length(coalesce(text, '')), 1))::BIGINT AS chars FROM documents GROUP BY source),
 r AS (SELECT source, round(1.0 * sum(chars) OVER () * (pow(chars::DOUBLE, 0.5) / sum(pow(chars::DOUBLE, 0.5)) OVER ()) / chars, 9) AS rate FROM s),
@@ -77,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_substring_dedup": op1_substring_dedup,
         "op2_exact_dedup": op2_exact_dedup,
         "op4_language_id": op4_language_id,
+        "op5_near_dedup": op5_near_dedup,
         "op6_secret_scan": op6_secret_scan,
         "op7_quality": op7_quality,
         "op8_mix_sources": op8_mix_sources,
@@ -84,4 +100,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op8_mix_sources": OP8_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op5_near_dedup": OP5_SQL, "op8_mix_sources": OP8_SQL}
