@@ -110,7 +110,7 @@ def hash_ranges(raw: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int =
     padded[len(raw) :] = 0
     eights = np.ndarray(shape=(len(raw) + 1,), dtype="<u8", buffer=padded, strides=(1,))
     left = (end - start).astype(np.int64)
-    out = mix(left.astype(U64) + U64(seed) * _STEP + U64(1))
+    out = mix(left.astype(U64) + U64((seed * int(_STEP) + 1) % (1 << 64)))
     at, rows = start, None
     while len(at):
         chunk = eights[at]
