@@ -21,7 +21,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.llm import ship, textkit
 from tessera.llm.quality import held_out
@@ -207,34 +206,50 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return train(symbols.astype(np.int64), labels, len(languages)), languages
 
 
-def identify(docs: DataFrame, model: tuple[ByteGRU | None, list[str]], id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """One row per input row: doc_id, lang_pred, score, position_labels (bytes labelled with each language), and the columns in ``keep``."""
-    ship.ensure(docs.sparkSession)
+def classify(model: tuple[ByteGRU | None, list[str]], column: pa.Array) -> Iterator[tuple[int, int, list[str], np.ndarray, np.ndarray]]:
+    """(first row, end row, languages, scores, bytes labelled with each class) for blocks of a text column."""
     net, languages = model
-    spoken = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    added = {"_id": F.col(id_col).cast("long"), "_text": F.coalesce(F.col(text_col), F.lit("")), "_spoken": spoken}
-    rows = docs.select(*[F.col(c) for c in keep or []], *[v.alias(k) for k, v in added.items()])
-    schema = rows.select(*(keep or []), "_id").schema.add("lang_pred", "string").add("score", "double").add("position_labels", T.MapType(T.StringType(), T.LongType()))
+    for a, b, raw, offs in textkit.blocks(column):
+        if net is None:
+            yield a, b, [UNKNOWN] * (b - a), np.zeros(b - a), np.zeros((b - a, 0), np.int64)
+            continue
+        sums = np.zeros(len(raw) + 1, np.int64)
+        np.cumsum((raw >= 97) & (raw <= 122) | (raw >= 65) & (raw <= 90), out=sums[1:])
+        spoken = np.diff(sums[offs]) > 0
+        for r in np.flatnonzero(~spoken):  # no ASCII letter: look at the characters
+            text = raw[offs[r] : offs[r + 1]]
+            spoken[r] = bool((text >= 128).any()) and any(c.isalpha() for c in text.tobytes().decode("utf-8", "replace"))
+        probs, marks = pooled(net, raw, offs)
+        names = [languages[k] if s else UNKNOWN for k, s in zip(probs.argmax(axis=1), spoken)]
+        yield a, b, names, np.where(spoken, np.minimum(probs.max(axis=1), 1.0), 0.0), marks
+
+
+def identify(docs: DataFrame, model: tuple[ByteGRU | None, list[str]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, lang_pred, score, position_labels (bytes labelled with each language)."""
+    ship.ensure(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, raw, offs in textkit.blocks(batch.column("_text")):
-                part = batch.slice(a, b - a)
-                if net is None:
-                    best, top, marks = np.zeros(b - a, int), np.zeros(b - a), np.zeros((b - a, 0), int)
-                    names = [UNKNOWN] * (b - a)
-                else:
-                    probs, marks = pooled(net, raw, offs)
-                    best, top = probs.argmax(axis=1), probs.max(axis=1)
-                    names = [languages[k] for k in best]
-                spoken = part.column("_spoken").to_numpy(zero_copy_only=False)
-                names = [n if s else UNKNOWN for n, s in zip(names, spoken)]
-                shares = [[(languages[c], int(n)) for c, n in enumerate(m) if n] for m in marks]
-                cols = [part.column(c) for c in [*(keep or []), "_id"]]
-                cols += [pa.array(names, pa.string()), pa.array(np.where(spoken, np.minimum(top, 1.0), 0.0)), pa.array(shares, pa.map_(pa.string(), pa.int64()))]
-                yield pa.RecordBatch.from_arrays(cols, names=schema.names)
-
-    return rows.mapInArrow(predict, schema).withColumnRenamed("_id", "doc_id") if not keep else rows.mapInArrow(predict, schema).drop("_id")
+            for a, b, names, scores, marks in classify(model, batch.column("text")):
+                shares = [[(model[1][c], int(n)) for c, n in enumerate(m) if n] for m in marks]
+                cols = [batch.column("doc_id").slice(a, b - a), pa.array(names, pa.string()), pa.array(scores), pa.array(shares, pa.map_(pa.string(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "lang_pred", "score", "position_labels"])
+
+    return rows.mapInArrow(predict, "doc_id long, lang_pred string, score double, position_labels map<string,bigint>")
+
+
+def keep_identified(docs: DataFrame, model: tuple[ByteGRU | None, list[str]], text_col: str = "text", least: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, all columns unchanged, whose language is known with at least this score."""
+    ship.ensure(docs.sparkSession)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, names, scores, _ in classify(model, batch.column(text_col)):
+                good = [n != UNKNOWN and s >= least for n, s in zip(names, scores)]
+                yield batch.slice(a, b - a).filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

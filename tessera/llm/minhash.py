@@ -47,10 +47,14 @@ _MULTIPLY, _FLIP = _PERMUTATIONS[0] | np.uint32(1), _PERMUTATIONS[1]
 _ZEROS = np.array([(b < 16) + (b % 16 == 0) for b in range(256)], np.uint8)
 
 
+def key_of(id_col: str, text_col: str) -> Column:
+    """The id, or for null a number above all ids that the text decides."""
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_KEYS + 1) + F.pmod(F.xxhash64(text_col), F.lit((1 << 40) - 2)))
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Node key, hash of the text, text."""
-    th = F.xxhash64(text_col)
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_KEYS + 1) + F.pmod(th, F.lit((1 << 40) - 2))).alias("k"), th.alias("th"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return docs.select(key_of(id_col, text_col).alias("k"), F.xxhash64(text_col).alias("th"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
 def visible(key: Column) -> Column:

@@ -31,7 +31,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import scratch, ship, textkit
@@ -49,9 +49,14 @@ MERGE_SEGMENTS = 100_000
 NO_ID = (1 << 63) - 1
 
 
+def key_of(id_col: str) -> Column:
+    """The id, or the largest long for null."""
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Key of a document (k, th) and its text; k is the id, or the largest long for null."""
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("k"), F.xxhash64(text_col).alias("th"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    """Key of a document (k, th) and its text."""
+    return docs.select(key_of(id_col).alias("k"), F.xxhash64(text_col).alias("th"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
 def segments_of(first: np.ndarray, hashes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
