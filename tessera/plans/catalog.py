@@ -1,4 +1,4 @@
-"""Registered queries and their SQL counterparts."""
+"""Registered queries and their SQL counterparts, by area."""
 
 from __future__ import annotations
 
@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.plans import mining_queries, model_queries, warehouse_queries
+
+_MODULES = (warehouse_queries, mining_queries, model_queries)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for module in _MODULES for name, sql in module.SQL.items()}
