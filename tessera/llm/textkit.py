@@ -128,6 +128,50 @@ def hash_ranges(raw: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int =
     return out
 
 
+class Ranges:
+    """Hashes and letter sketches of any byte ranges of a block, from prefix sums.
+
+    The hash is polynomial modulo 2^64, so a range costs two look-ups whatever its length.  The
+    sketch has a bit for the parity of each of 32 classes of bytes, and one for each of 32 classes
+    of neighbouring bytes: one edit changes at most two of the first and four of the second.
+    """
+
+    _power = _inverse = np.ones(1, U64)
+
+    def __init__(self, raw: np.ndarray):
+        n = len(raw)
+        if len(Ranges._power) <= n:
+            for name, base in (("_power", 0x9E3779B97F4A7C15), ("_inverse", pow(0x9E3779B97F4A7C15, -1, 1 << 64))):
+                powers = np.full(n + 1, U64(base))
+                powers[0] = 1
+                setattr(Ranges, name, np.multiply.accumulate(powers))
+        self.sums = np.zeros(n + 1, U64)
+        np.cumsum((raw.astype(U64) + U64(1)) * Ranges._power[:n], out=self.sums[1:])
+        self.letters = np.zeros(n + 1, np.uint32)
+        np.bitwise_xor.accumulate(_BIT[raw & 31], out=self.letters[1:])
+        self.pairs = np.zeros(n + 1, np.uint32)
+        if n:
+            np.bitwise_xor.accumulate(_BIT[(raw[1:] * 7 + raw[:-1] * 3) & 31], out=self.pairs[2:])
+
+    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self.sums[end] - self.sums[start]) * Ranges._inverse[start] ^ (end - start).astype(U64))
+
+    def sketches(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Letter parities in the low half, pair parities in the high half."""
+        letters = self.letters[end] ^ self.letters[start]
+        pairs = np.where(end > start, self.pairs[end] ^ self.pairs[np.minimum(start + 1, len(self.pairs) - 1)], 0)
+        return letters.astype(U64) | pairs.astype(U64) << U64(32)
+
+
+_BIT = (np.uint32(1) << np.arange(32, dtype=np.uint32)).astype(np.uint32)
+
+
+def may_be_within(a: np.ndarray, b: np.ndarray, edits: int) -> np.ndarray:
+    """Whether sketches leave room for so few edits; never false for ranges that are within them."""
+    apart = a ^ b
+    return (np.bitwise_count(apart & U64(0xFFFFFFFF)) <= 2 * edits) & (np.bitwise_count(apart >> U64(32)) <= 4 * edits)
+
+
 def ngrams(hashes: np.ndarray, n: int) -> np.ndarray:
     """Order-dependent hashes of n consecutive word hashes; empty if there are fewer."""
     m = len(hashes) - n + 1
