@@ -130,9 +130,10 @@ def digest_columns(scanned: DataFrame) -> DataFrame:
     one = lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))
     base = F.filter("found", lambda s: s["kind"] < 3)
     count = lambda test: F.size(F.filter("found", test)).cast("long")
+    of_kind = lambda k: lambda s: s["kind"] == k  # noqa: E731  (a second parameter would be taken for the index)
     return scanned.select(
         "doc_id",
-        *[count(lambda s, k=k: s["kind"] == k).alias(f"n_{KINDS[k]}") for k in range(3)],
+        *[count(of_kind(k)).alias(f"n_{KINDS[k]}") for k in range(3)],
         F.sha2(F.array_join(F.transform(base, one), ","), 256).alias("base_sha256"),
         F.array_join(F.transform("found", one), ",").alias("spans"),
         count(lambda s: s["status"] == "live").alias("n_live"),
