@@ -4,9 +4,10 @@ Texts and test items are compared as words, with A-Z lower-cased and ASCII punct
 
 1. Every ``SEED``-gram of an item is a seed.  All documents are scanned for seeds, and the document
    frequency of each is counted over the whole corpus.  A seed is *rare*, and used, if at most
-   ``RARE`` of all documents hold it, or if no seed among the ``SPAN`` around it in the item is
-   rarer, so that each stretch of SPAN + SEED - 1 copied words holds a used seed, however widely the
-   passage has been copied.
+   ``RARE`` of all documents hold it, or if it is at most ``USUAL`` times as frequent as the median
+   seed of its item, or if no seed among the ``SPAN`` around it is rarer.  So common phrases are no
+   seeds, but those of a passage that has been copied very widely are, and each stretch of
+   SPAN + SEED - 1 copied words holds a used seed.
 2. Hits of one item that lie close together in a document make a passage: the words around them, as
    wide as the item on either side.
 3. A passage is aligned with the item by Smith-Waterman over words (match 1, mismatch -1/2, gap
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from tessera.llm import scratch, ship, textkit
 from tessera.llm.substring import NO_ID, keyed
 
-SEED, SPAN, RARE, CONTAMINATED, LEAST_WORDS = 3, 8, 0.001, 0.5, 5
+SEED, SPAN, RARE, USUAL, CONTAMINATED, LEAST_WORDS = 3, 8, 0.001, 4, 0.5, 5
 BLOCK_WORDS = 1 << 20
 MATCH, MISMATCH, GAP = 1.0, -0.5, 0.5
 _PUNCTUATION = np.zeros(256, bool)
@@ -134,7 +135,7 @@ def _passages(batches: Iterator[pa.RecordBatch], items: Items, size: int) -> Ite
 
 
 def rare_seeds(items: Items, frequency: np.ndarray, documents: int, rare: float, span: int) -> np.ndarray:
-    """Seeds to use: rare in the corpus, or the rarest of some stretch of ``span`` seeds of an item."""
+    """Seeds to use: rare in the corpus, usual for their item, or the rarest of some stretch of ``span`` seeds of it."""
     used = frequency <= rare * documents
     seed = np.repeat(np.arange(len(items.seeds)), np.diff(items.first))
     order = np.lexsort((items.offset, items.item))
@@ -142,6 +143,7 @@ def rare_seeds(items: Items, frequency: np.ndarray, documents: int, rare: float,
     for a, b in zip(*(lambda e: (e[:-1], e[1:]))(np.flatnonzero(np.concatenate([[True], item[1:] != item[:-1], [True]])) if len(item) else np.zeros(0, int))):
         mine = seed[a:b]
         cost = frequency[mine]
+        used[mine[cost <= USUAL * np.median(cost)]] = True
         for s in range(max(1, len(mine) - span + 1)):
             used[mine[s + int(np.argmin(cost[s : s + span]))]] = True
     return used
