@@ -19,8 +19,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import scratch
+
 #: Digits of the tables of cumulative probabilities: coarser than the rounding of exp(), finer than the uniform numbers matter.
 DIGITS = 12
+#: Sources up to which their tables are broadcast (a few hundred bytes each); with more, the documents are joined by source.
+BROADCAST_SOURCES = 10_000
 
 
 def uniform(*parts: Column | str) -> Column:
@@ -71,6 +75,9 @@ def poisson_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     """The rows of ``docs``, each as often as its draw says, in a global random order."""
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("copy", "shuffle_key")])
     rates = source_rates(docs, source_col, text_col, weights, temperature, epochs).select("mix_source", poisson_table(F.col("mix_rate")).alias("mix_cdf"), "mix_rate")
+    rates = scratch.table(rates, "rates")
+    if rates.count() <= BROADCAST_SOURCES:
+        rates = F.broadcast(rates)
     rows = docs.withColumn("mix_u", uniform(F.lit(seed), F.col(id_col), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
     drawn = rows.join(rates, F.col(source_col).eqNullSafe(F.col("mix_source")))
     copies = F.when(F.col("mix_rate") > 0, F.size(F.filter("mix_cdf", lambda c: c <= F.col("mix_u")))).otherwise(F.lit(0))
