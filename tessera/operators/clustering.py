@@ -207,3 +207,46 @@ def summarise_clusters(df: DataFrame, cluster: str, outcome: str, low: float = 0
     """Size, rate and profile label (stable, mixed or elevated) of each cluster."""
     out = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("row_count"), (F.sum(F.col(outcome).cast("long")) / F.count(F.lit(1))).alias("outcome_rate"))
     return out.withColumn("profile", F.when(F.col("outcome_rate") <= low, "stable").when(F.col("outcome_rate") >= high, "elevated").otherwise("mixed"))
+
+
+def validation(df: DataFrame, features: str, ks: Sequence[int], seed: int = 42) -> DataFrame:
+    """Silhouette and smallest cluster share of k-means and bisecting k-means for each k."""
+    rows = []
+    for k in ks:
+        for name, method in (("kmeans", kmeans), ("bisecting", bisecting)):
+            found = method(df, features, k, seed).cache()
+            sizes = [r["count"] for r in found.groupBy("cluster").count().collect()]  # k rows
+            rows.append((name, k, float(silhouette(found, features, "cluster")) if len(sizes) > 1 else None, min(sizes) / sum(sizes)))
+            found.unpersist()
+    return df.sparkSession.createDataFrame(rows, "method string, k int, silhouette double, smallest_share double")
+
+
+def stability(df: DataFrame, features: str, key: str, k: int, seeds: Sequence[int]) -> DataFrame:
+    """Adjusted Rand index of k-means for every pair of seeds."""
+    runs = {s: kmeans(df, features, k, s).select(key, F.col("cluster").alias(f"c{s}")) for s in seeds}
+    joined = None
+    for run in runs.values():
+        joined = run if joined is None else joined.join(run, key)
+    out = None
+    for i, a in enumerate(seeds):
+        for b in seeds[i + 1 :]:
+            part = adjusted_rand(joined, f"c{a}", f"c{b}").withColumns({"seed_a": F.lit(a), "seed_b": F.lit(b)})
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+def block_sensitivity(df: DataFrame, blocks: dict[str, Sequence[str]], k: int = 2) -> DataFrame:
+    """Silhouette of k-means on standardised blocks of columns."""
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+
+    rows = []
+    for name, columns in blocks.items():
+        wide = VectorAssembler(inputCols=list(columns), outputCol="_raw", handleInvalid="skip").transform(df.select(*columns))
+        scaled = StandardScaler(inputCol="_raw", outputCol="_block", withMean=True).fit(wide).transform(wide)
+        rows.append((name, len(columns), float(silhouette(kmeans(scaled, "_block", k), "_block", "cluster"))))
+    return df.sparkSession.createDataFrame(rows, "block string, columns int, silhouette double")
+
+
+def valid_partition(clusters: int, noise: float, smallest: float, silhouette_value: float | None) -> bool:
+    """Whether a density clustering is worth reporting."""
+    return clusters >= 2 and noise <= 0.6 and smallest >= 0.01 and silhouette_value is not None

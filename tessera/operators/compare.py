@@ -81,3 +81,16 @@ def ks_p_value(ks: str, n: str, m: str, terms: int = 100) -> Column:
     x = (size + 0.12 + 0.11 / size) * F.col(ks)
     total = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), F.lit(0.0), lambda acc, k: acc + 2 * F.pow(F.lit(-1.0), k - 1) * F.exp(-2 * k * k * x * x))
     return F.when(x < 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)))
+
+
+def metric_support(coverage_long: DataFrame, main_text: str = "main_text") -> DataFrame:
+    """For each metric: sources that hold it, their values, and how many sources are recommended for the main text."""
+    return coverage_long.groupBy("metric").agg(F.count_distinct("source").alias("sources"), F.sum("n").alias("values"), F.count_if(F.col("recommended_use") == main_text).alias("main_text_sources"))
+
+
+def filter_audit(long: DataFrame, metrics: Sequence[MetricSpec]) -> DataFrame:
+    """Which sources a metric was restricted in, to which context, and how many values are left."""
+    notes = [(m.name, s, c) for m in metrics for s, c in m.only.items()]
+    named = long.sparkSession.createDataFrame(notes, "metric string, source string, only_context string")
+    counts = long.groupBy("metric", "source").agg(F.count(F.lit(1)).alias("n"))
+    return named.join(counts, ["metric", "source"], "left").withColumn("n", F.coalesce("n", F.lit(0)))

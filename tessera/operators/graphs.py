@@ -170,3 +170,25 @@ def neighbour_mean(values: DataFrame, edges: DataFrame, columns: Sequence[str],
     for _ in range(rounds):
         values = hood.join(values.withColumnRenamed("node_id", "target"), "target").groupBy(F.col("source").alias("node_id")).agg(*[F.avg(c).alias(c) for c in available(values, columns)])
     return values
+
+
+def evidence_graph(distances: DataFrame, main: str, view: str = "evidence") -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of pairwise comparisons: each comparison points at its metric and at both sources."""
+    key = F.concat_ws("|", F.col("metric"), F.lit(main), F.col("reference"))
+    node = lambda kind, value: F.struct(F.lit(kind).alias("node_type"), value.alias("node_label"))
+    nodes = distances.select(F.inline(F.array(node("metric", F.col("metric")), node("source", F.lit(main)), node("source", F.col("reference")), node("comparison", key)))).distinct()
+    kinds = ("metric", "source", "comparison")
+    ids = F.lit(None).cast("string")
+    for kind in kinds:
+        ids = F.when(F.col("node_type") == kind, exprs.node_id(view, kind, "node_label")).otherwise(ids)
+    source = exprs.node_id(view, "comparison", key)
+    ends = (("compares_metric", exprs.node_id(view, "metric", "metric")), ("compares_main", exprs.node_id(view, "source", F.lit(main))), ("compares_reference", exprs.node_id(view, "source", "reference")))
+    edges = distances.select(F.inline(F.array(*[F.struct(exprs.edge_id(view, kind, source, target).alias("edge_id"), source.alias("source"), target.alias("target"), F.lit(kind).alias("edge_type")) for kind, target in ends])))
+    return nodes.select(ids.alias("node_id"), "node_type", "node_label"), edges
+
+
+def view_summary(nodes: DataFrame, edges: DataFrame, view: str = "graph_view") -> DataFrame:
+    """Nodes and edges of each view, views that have only one of them included."""
+    n = nodes.groupBy(view).agg(F.count(F.lit(1)).alias("nodes"))
+    e = edges.groupBy(view).agg(F.count(F.lit(1)).alias("edges"))
+    return n.join(e, view, "full").withColumns({"nodes": F.coalesce("nodes", F.lit(0)), "edges": F.coalesce("edges", F.lit(0))})

@@ -103,3 +103,78 @@ def representative_rules(rules: DataFrame, per_class: int = 3) -> DataFrame:
     confidence = F.when(F.col("predicted") == 1, F.col("outcome_rate")).otherwise(1 - F.col("outcome_rate"))
     scored = rules.withColumn("rule_score", confidence * F.log1p("row_count"))
     return scored.withColumn("r", F.row_number().over(Window.partitionBy("predicted").orderBy(F.desc("rule_score"), "leaf"))).where(F.col("r") <= per_class)
+
+
+def importances(model, names: Sequence[str], top: int = 40) -> list[tuple[str, float]]:
+    """Largest feature importances of a tree model, or absolute coefficients of a linear one."""
+    values = model.featureImportances if hasattr(model, "featureImportances") else model.coefficients
+    pairs = [(n, abs(float(v))) for n, v in zip(names, values.toArray())]
+    return sorted(pairs, key=lambda p: (-p[1], p[0]))[:top]
+
+
+def exclusion_audit(df: DataFrame, excluded: dict[str, str]) -> DataFrame:
+    """Each column that may not be a predictor, why, and whether the table holds it."""
+    return df.sparkSession.createDataFrame([(c, why, c in df.columns) for c, why in sorted(excluded.items())], "column_name string, reason string, present boolean")
+
+
+def repeated_experiment(df: DataFrame, group: str, label: str, numeric: Sequence[str], categorical: Sequence[str], names: Sequence[str], seeds: Sequence[int]) -> DataFrame:
+    """The experiment on one grouped split for each seed: metrics with their seed."""
+    from tessera.operators.sessions import group_split
+
+    out = None
+    for seed in seeds:
+        rows = group_split(df, group, seed)
+        part = run_experiment(rows.where("NOT is_test"), rows.where("is_test"), label, numeric, categorical, names).withColumn("seed", F.lit(seed))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def nearest_neighbours(train: DataFrame, test: DataFrame, key: str, vector: str, label: str, k: int = 7, bound: int = 15_000) -> DataFrame:
+    """Distance-weighted votes of the k nearest training rows for each test row.
+
+    The training side is what the method must hold; it is broadcast as numpy arrays behind a check
+    of its rows, so cap it first.
+    """
+    import numpy as np
+    import pandas as pd
+
+    held = train.select(vector, label).limit(bound + 1).toPandas()
+    if len(held) > bound:
+        raise ValueError(f"more than {bound} training rows")
+    x, y = np.stack(held[vector].to_numpy()).astype(float), held[label].to_numpy(float)
+    shared = train.sparkSession.sparkContext.broadcast((x, y, (x**2).sum(axis=1)))
+
+    def vote(frames):
+        x, y, squared = shared.value
+        for pdf in frames:
+            if not len(pdf):
+                continue
+            q = np.stack(pdf["v"].to_numpy()).astype(float)
+            d = np.sqrt(np.maximum(squared[None, :] - 2 * q @ x.T + (q**2).sum(axis=1)[:, None], 0))
+            near = np.argsort(d, axis=1, kind="stable")[:, :k]
+            w = 1 / np.maximum(np.take_along_axis(d, near, axis=1), 1e-9)
+            yield pd.DataFrame({"key": pdf["key"], "score": (w * y[near]).sum(axis=1) / w.sum(axis=1)})
+
+    return test.select(F.col(key).cast("long").alias("key"), F.col(vector).alias("v")).mapInPandas(vote, "key long, score double").withColumnRenamed("key", key)
+
+
+def rule_stability(df: DataFrame, group: str, label: str, numeric: Sequence[str], seeds: Sequence[int], depth: int = 4, least: int = 150) -> DataFrame:
+    """How often each condition of a shallow tree comes back over grouped training splits."""
+    from tessera.operators.sessions import group_split
+
+    out = None
+    for seed in seeds:
+        rules = tree_rules(group_split(df, group, seed).where("NOT is_test"), label, numeric, depth, least)
+        column = F.regexp_extract(F.explode(F.split("rule", " AND ")), "`([^`]+)`", 1).alias("feature")
+        part = rules.select(column).where("feature <> ''").groupBy("feature").agg(F.count(F.lit(1)).alias("splits")).withColumn("seed", F.lit(seed))
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("feature").agg(F.count(F.lit(1)).alias("seeds"), F.sum("splits").alias("splits"))
+
+
+def propagated_classifier(nodes: DataFrame, edges: DataFrame, columns: Sequence[str], label: str, is_test: str, rounds: int = 2) -> DataFrame:
+    """Graph classification without back-propagation: features averaged over the neighbourhood, then logistic regression; metrics on the test side."""
+    from tessera.operators.graphs import neighbour_mean
+
+    smooth = neighbour_mean(nodes.select("node_id", *columns), edges, columns, rounds)
+    rows = smooth.join(nodes.select("node_id", F.col(label).alias("_y"), F.col(is_test).alias("_test")), "node_id")
+    return run_experiment(rows.where("NOT _test"), rows.where("_test"), "_y", columns, [], ["logistic_regression"])

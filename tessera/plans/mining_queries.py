@@ -8,11 +8,12 @@ from tessera.operators import compare, graphs, patterns, sessions
 from tessera.plans import bindings as b
 from tessera.plans.specs import MetricSpec
 from tessera.plans.warehouse_queries import RATE
+from tessera.sources import tables
 from tessera.streaming import events as streams
 
 L, E = f"WITH {b.LINES_SQL}", f"WITH {b.EVENTS_SQL}"
 QUERIES, SQL = {}, {}
-BY = ", ".join(b.ORDER)
+FILTERED = [MetricSpec("quantity", "l_quantity", {"R": "O"})]
 
 
 def _add(name: str, query, sql: str | None = None) -> None:
@@ -246,3 +247,28 @@ _add(
     f"""{E}, g AS (SELECT *, coalesce((ts >= lag(ts) OVER w + INTERVAL 12 HOUR)::INT, 1) AS new FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), n AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sid FROM g)
     SELECT user_id, epoch_us(min(ts)) AS session_start, count(*) AS row_count, sum(degraded)::BIGINT AS outcome_count FROM n GROUP BY user_id, sid""",
 )
+
+
+# Evidence graph and source bookkeeping
+_add(
+    "evidence_nodes", lambda s, d: graphs.evidence_graph(_pairs(s, d), "click")[0].select("node_type", "node_label"),
+    f"{DIST} SELECT DISTINCT 'metric' AS node_type, metric AS node_label FROM k UNION SELECT 'source', 'click' UNION SELECT 'source', reference FROM k UNION SELECT 'comparison', metric || '|click|' || reference FROM k",
+)
+_add(
+    "evidence_edges", lambda s, d: graphs.evidence_graph(_pairs(s, d), "click")[1].groupBy("edge_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("target").alias("targets")),
+    f"{DIST} SELECT 'compares_metric' AS edge_type, count(*) AS n, count(DISTINCT metric) AS targets FROM k UNION ALL SELECT 'compares_main', count(*), 1 FROM k UNION ALL SELECT 'compares_reference', count(*), count(DISTINCT reference) FROM k",
+)
+_add(
+    "view_summary",
+    lambda s, d: graphs.view_summary(graphs.context_nodes(_rows(s, d), b.CONTEXTS, "degraded").withColumn("graph_view", F.lit("context")), _co(s, d).withColumn("graph_view", F.lit("context")).unionByName(_steps(s, d).withColumn("graph_view", F.lit("warehouse")), allowMissingColumns=True)),
+    f"{CO}, {b.EVENTS_SQL}, tr AS ({STEPS}) SELECT 'context' AS graph_view, (SELECT count(DISTINCT node_id) FROM c) AS nodes, (SELECT count(*) FROM co) AS edges UNION ALL SELECT 'warehouse', 0, (SELECT count(*) FROM tr)",
+)
+_add(
+    "filter_audit", lambda s, d: compare.filter_audit(compare.long_frame(b.lines(s, d, order=True), "l_returnflag", FILTERED, "o_orderstatus"), FILTERED),
+    f"{L} SELECT 'quantity' AS metric, 'R' AS source, 'O' AS only_context, count(*) AS n FROM d WHERE l_returnflag = 'R' AND o_orderstatus = 'O'",
+)
+_add("expected_grid", lambda s, d: tables.expected_grid(s, traffic=["low", "high"], scheduler=["ofdma", "tdma"], seed=[1, 2, 3]), "SELECT * FROM (SELECT unnest(['low', 'high']) AS traffic), (SELECT unnest(['ofdma', 'tdma']) AS scheduler), (SELECT unnest([1, 2, 3]) AS seed)")
+_add(
+    "artifact_manifest", lambda s, d: tables.manifest({t: b.table(s, d, t) for t in ("nation", "region", "orders")}),
+    "SELECT 'nation' AS artifact, 'parquet' AS kind, count(*) AS row_count FROM nation UNION ALL SELECT 'orders', 'parquet', count(*) FROM orders UNION ALL SELECT 'region', 'parquet', count(*) FROM region",
+)

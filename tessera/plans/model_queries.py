@@ -93,6 +93,10 @@ def _vectors(s, d):
     return b.table(s, d, "embeddings").withColumn("features", array_to_vector(F.col("embedding").cast("array<double>")))
 
 
+_add("cluster_validation", lambda s, d: clustering.validation(_vectors(s, d), "features", [2, 3]))
+_add("cluster_stability", lambda s, d: clustering.stability(_vectors(s, d), "features", "vec_id", 3, [1, 2, 3]))
+_add("block_sensitivity", lambda s, d: clustering.block_sensitivity(_customers(s, d), {"money": ["c_acctbal"], "both": ["c_acctbal", "nation"]}))
+_add("nearest_neighbours", lambda s, d: models.nearest_neighbours(b.table(s, d, "embeddings").where("vec_id % 5 > 0").withColumn("y", F.col("label") % 2), b.table(s, d, "embeddings").where("vec_id % 5 = 0"), "vec_id", "embedding", "y"))
 _add("kmeans", lambda s, d: clustering.kmeans(_vectors(s, d), "features", 4).groupBy("cluster").agg(F.count(F.lit(1)).alias("n")))
 _add("bisecting_kmeans", lambda s, d: clustering.bisecting(_vectors(s, d), "features", 4).groupBy("cluster").agg(F.count(F.lit(1)).alias("n")))
 _add("pca_projection", lambda s, d: clustering.projection(_vectors(s, d), "features").select("vec_id", F.col("projection").cast("string").alias("projection")))

@@ -88,3 +88,72 @@ def fraction_from_percent(df: DataFrame, column: str, file: str) -> DataFrame:
     most = df.groupBy(file).agg(F.max(column).alias("_most"))
     out = df.join(most, file)
     return out.withColumn(column, F.when(F.col("_most") > 1, F.col(column) / 100).otherwise(F.col(column))).drop("_most")
+
+
+def csv_rows(spark: SparkSession, path: str) -> int:
+    """Records of a CSV without its header; quoted line breaks do not count."""
+    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path).count()
+
+
+def raw_audit(spark: SparkSession, folders: dict[str, str]) -> DataFrame:
+    """Manifest of datasets: exists, files, tables, bytes, status.  A missing or unreadable folder is a row, not an error."""
+    out = None
+    for name, folder in folders.items():
+        p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+            row = inventory(spark, folder).agg(F.lit(name).alias("dataset"), F.lit(True).alias("exists"), F.count(F.lit(1)).alias("files"), F.count_if("is_table").alias("tables"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
+            row = row.withColumn("status", F.when(F.col("tables") > 0, "ok").otherwise("review"))
+        else:
+            row = spark.createDataFrame([(name, False, 0, 0, 0, "missing")], "dataset string, exists boolean, files long, tables long, bytes long, status string")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def load_sources(spark: SparkSession, paths: dict[str, str], required: Sequence[str], standard: Sequence[str]) -> tuple[DataFrame | None, DataFrame]:
+    """Union of the readable sources, and an audit of each: ok, missing_required or read_error, and the standard columns that it lacks."""
+    frames, audit = [], []
+    for name, path in paths.items():
+        try:
+            df = spark.read.parquet(path)
+        except Exception as error:  # an unreadable source is a row of the audit
+            audit.append((name, "read_error", type(error).__name__))
+            continue
+        absent = [c for c in required if c not in df.columns]
+        audit.append((name, "missing_required" if absent else "ok", ",".join(absent or [c for c in standard if c not in df.columns])))
+        if not absent:
+            frames.append(df.select(F.lit(name).alias("source_dataset"), *[c for c in standard if c in df.columns]))
+    return (union_sources(frames) if frames else None), spark.createDataFrame(audit, "source_dataset string, status string, detail string")
+
+
+def manifest(tables: dict[str, DataFrame], kind: str = "parquet") -> DataFrame:
+    """Name, kind and row count of artifacts, by name."""
+    out = None
+    for name, df in sorted(tables.items()):
+        row = df.agg(F.lit(name).alias("artifact"), F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("row_count"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def expected_grid(spark: SparkSession, **levels: Sequence) -> DataFrame:
+    """Every combination of a few levels, such as the runs that an experiment should have."""
+    out = spark.range(1).select()
+    for name, values in levels.items():
+        out = out.select("*", F.explode(F.array(*[F.lit(v) for v in values])).alias(name))
+    return out
+
+
+def scenario(name: Column, traffic: Column, scheduler: Column, seed: Column, path: Column) -> Column:
+    """Given scenario, else traffic_scheduler_seed_n, else the folder of the file."""
+    built = F.concat_ws("_", traffic, scheduler, F.lit("seed"), seed.cast("string"))
+    return F.coalesce(F.nullif(F.trim(name), F.lit("")), F.when(traffic.isNotNull() & scheduler.isNotNull() & seed.isNotNull(), built), F.element_at(F.split(path, "/"), -2))
+
+
+def first_existing(df: DataFrame, columns: Sequence[str]) -> Column:
+    """The first of these columns that exists, by plan and not by row; null without any."""
+    return next((F.col(c) for c in columns if c in df.columns), F.lit(None))
+
+
+def any_known(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows with at least one of the measures."""
+    have = [F.col(c).cast("string") for c in columns if c in df.columns]
+    return df.where(F.coalesce(*have).isNotNull()) if have else df.limit(0)
