@@ -34,12 +34,36 @@ def mixture(df: DataFrame, features: str, k: int, seed: int = 42) -> tuple[DataF
     return model.transform(df), {"bic": free * float(np.log(n)) - 2 * log, "aic": 2 * free - 2 * log}
 
 
-def projection(df: DataFrame, features: str) -> DataFrame:
-    """First two principal components of a centred vector column."""
-    from pyspark.ml.feature import PCA, StandardScaler
+def projection(df: DataFrame, vector: str, components: int = 2) -> DataFrame:
+    """Adds ``projection``: the first principal components of an array column.
 
-    centred = StandardScaler(inputCol=features, outputCol="_centred", withMean=True, withStd=False).fit(df).transform(df)
-    return PCA(k=2, inputCol="_centred", outputCol="projection").fit(centred).transform(centred).drop("_centred")
+    Tasks add up products of their rows, so the driver gets one square of the vector's length; each
+    component points to where its largest entry is positive.  Null vectors give null.
+    """
+
+    def moments(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for pdf in frames:
+            if len(pdf):
+                x = np.stack(pdf["v"].to_numpy()).astype(float)
+                x = np.column_stack([np.ones(len(x)), x])
+                total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            i, j = np.indices(total.shape)
+            yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "s": total.ravel()})
+
+    sums = df.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("v")).mapInPandas(moments, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).toPandas()
+    if sums.empty:
+        return df.withColumn("projection", F.lit(None).cast("array<double>"))
+    d = int(sums["i"].max()) + 1
+    full = np.zeros((d, d))
+    full[sums["i"], sums["j"]] = sums["s"]
+    n, mean = full[0, 0], full[0, 1:] / full[0, 0]
+    _, axes = np.linalg.eigh(full[1:, 1:] / n - np.outer(mean, mean))
+    axes = axes[:, ::-1][:, :components]
+    axes = axes * np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(axes.shape[1])])
+    dot = lambda w: F.aggregate(F.zip_with(F.col(vector), F.array(*[F.lit(float(x)) for x in w]), lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x) - float(mean @ w)
+    return df.withColumn("projection", F.when(F.col(vector).isNotNull(), F.array(*[dot(w) for w in axes.T])))
 
 
 def relabel(df: DataFrame, cluster: str, outcome: str) -> DataFrame:

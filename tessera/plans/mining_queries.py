@@ -71,16 +71,17 @@ def _transactions(s, d):
 
 
 ITEMS = "list_sort([" + ", ".join(f"'{c.removesuffix('_bin')}=' || translate(trim({c}::VARCHAR), ' ;,', '___')" for c in b.ITEM_COLUMNS) + "])"
-T = f"{L}, t AS (SELECT measurement_id, {ITEMS} AS items FROM d)"
+# Rows are told apart by a number of their own, as measurement ids may repeat.
+T = f"{L}, t AS (SELECT measurement_id, row_number() OVER () AS rid, {ITEMS} AS items FROM d)"
 _add("transactions", lambda s, d: _transactions(s, d).select("measurement_id", patterns.to_text("items").alias("transaction")), f"{T} SELECT measurement_id, array_to_string(items, ';') AS transaction FROM t")
 _add(
     "item_support", lambda s, d: patterns.item_support(_transactions(s, d)),
     f"{T}, i AS (SELECT unnest(items) AS item FROM t) SELECT item, split_part(item, '=', 1) AS family, substr(item, instr(item, '=') + 1) AS value, count(*) AS n, count(*) / (SELECT count(*) FROM t) AS support FROM i GROUP BY 1",
 )
-SETS = f"""{T}, i AS (SELECT measurement_id, unnest(items) AS x FROM t), need AS (SELECT ceil(round(0.05 * count(*), 6)) AS need, count(*) AS total FROM t),
+SETS = f"""{T}, i AS (SELECT rid, unnest(items) AS x FROM t), need AS (SELECT ceil(round(0.05 * count(*), 6)) AS need, count(*) AS total FROM t),
 s1 AS (SELECT x, count(*) AS n FROM i GROUP BY 1 HAVING count(*) >= (SELECT need FROM need)), j AS (SELECT * FROM i SEMI JOIN s1 USING (x)),
-s2 AS (SELECT a.x AS x, b.x AS y, count(*) AS n FROM j a JOIN j b ON a.measurement_id = b.measurement_id AND a.x < b.x GROUP BY 1, 2 HAVING count(*) >= (SELECT need FROM need)),
-s3 AS (SELECT a.x AS x, b.x AS y, c.x AS z, count(*) AS n FROM j a JOIN j b ON a.measurement_id = b.measurement_id AND a.x < b.x JOIN j c ON b.measurement_id = c.measurement_id AND b.x < c.x GROUP BY 1, 2, 3 HAVING count(*) >= (SELECT need FROM need)),
+s2 AS (SELECT a.x AS x, b.x AS y, count(*) AS n FROM j a JOIN j b ON a.rid = b.rid AND a.x < b.x GROUP BY 1, 2 HAVING count(*) >= (SELECT need FROM need)),
+s3 AS (SELECT a.x AS x, b.x AS y, c.x AS z, count(*) AS n FROM j a JOIN j b ON a.rid = b.rid AND a.x < b.x JOIN j c ON b.rid = c.rid AND b.x < c.x GROUP BY 1, 2, 3 HAVING count(*) >= (SELECT need FROM need)),
 sets AS (SELECT [x] AS itemset, 1 AS size, n FROM s1 UNION ALL SELECT [x, y], 2, n FROM s2 UNION ALL SELECT [x, y, z], 3, n FROM s3)"""
 
 

@@ -30,7 +30,7 @@ def write_table(df: DataFrame, path: str, kind: str = "parquet", mode: str = "ov
     writer = df.write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    (writer.parquet if kind == "parquet" else writer.option("header", True).csv)(path)
+    (writer.parquet if kind == "parquet" else writer.option("header", True).option("escape", '"').csv)(path)
     return path
 
 

@@ -22,7 +22,7 @@ def test_models_and_tree_rules(spark):
     assert (out["training_status"] == "ok").all() and (out["f1"] > 0.9).all()
     rules = models.tree_rules(df, "y", ["x", "z"], least=20)
     rows, low, high = rules.agg(F.sum("row_count"), F.min("outcome_rate"), F.max("outcome_rate")).first()
-    assert (rows, low, high) == (600, 0.0, 1.0)
+    assert rows == 600 and low < 0.1 and high > 0.9
     assert models.representative_rules(rules).groupBy("predicted").count().where("count > 3").isEmpty()
 
 
@@ -38,7 +38,9 @@ def test_clusterings(spark):
         clustering.dbscan(df, "id", "v", 4.0, 3, bound=10)
     _, scores = clustering.mixture(df, "features", 2)
     assert scores["bic"] > scores["aic"]
-    assert len(clustering.projection(df, "features").first()["projection"]) == 2
+    flat = np.array([r["projection"] for r in clustering.projection(df, "v").orderBy("id").collect()])
+    x = np.array([r[1] for r in rows])
+    assert np.allclose(flat.var(axis=0), np.sort(np.linalg.eigvalsh(np.cov(x.T, ddof=0)))[::-1][:2]) and np.allclose(flat.mean(axis=0), 0)
     gap = clustering.permutation_gap(df.withColumn("y", F.col("truth")), "truth", "y", 200).first()
     assert gap["observed_gap"] == 1.0 and gap["p_value"] < 0.02
     low, mean, high = clustering.bootstrap_means(df.withColumn("x", F.col("id")), "truth", "x").where("cluster = 0").select("ci_low", "mean", "ci_high").first()
