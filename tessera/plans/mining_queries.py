@@ -236,6 +236,16 @@ _add(
     f"""WITH RECURSIVE {b.EVENTS_SQL}, g AS (SELECT DISTINCT 'u' || user_id AS a, 'k' || k AS b FROM e WHERE k < 3 AND user_id % 3 = k), h AS (SELECT a, b FROM g UNION SELECT b, a FROM g),
     r AS (SELECT a AS x, a AS y FROM h UNION SELECT r.x, h.b FROM r JOIN h ON r.y = h.a) SELECT x AS node_id, min(y) AS component FROM r GROUP BY 1""",
 )
+
+
+def _whole_bipartite(s, d):
+    """Every user and every k as a node, every event that names both as a link."""
+    ends = b.events(s, d).select(F.concat(F.lit("u"), "user_id").alias("source"), F.concat(F.lit("k"), "k").alias("target")).distinct()
+    return ends.select(F.explode(F.array("source", "target")).alias("node_id")).dropna().distinct(), ends.dropna()
+
+
+# The SQL of connected_components keeps a slice of the events, as its closure is quadratic; this is the whole graph.
+_add("connected_components_all", lambda s, d: graphs.components(*_whole_bipartite(s, d)))
 _add("label_propagation", lambda s, d: graphs.label_propagation(_co(s, d), "row_count"))
 
 # Streams (an extension): the batch side of the same functions
