@@ -50,7 +50,7 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.line_dedup(_table(spark, sf_dir, "documents"))
+    return lines.line_dedup(_table(spark, sf_dir, "documents"), shortest=1)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

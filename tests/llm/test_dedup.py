@@ -272,3 +272,15 @@ def test_words_and_hashes():
     spelled = [w for t in texts for w in WORD.findall(t)]
     assert len(set(words.hashes().tolist())) == len(set(spelled))
     assert sum(b - a for a, b, _, _ in textkit.blocks(pa.array(texts), 4)) == 5
+
+
+def test_exact_repeats_of_short_lines(spark, tmp_path):
+    from tessera.llm import queries
+
+    long = "a line that is long enough for the edit join"
+    docs = [(1, f"b\nMenu\n{long}\n中文\n\0\n\n \t"), (2, f" Menu \nMenus\nb\n\n{long}x\n中文\n\0\0\n "), (3, "Menus\nb\nb\nMenu\n\0"), (4, "\n\n"), (5, "c")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x.doc_id: (x.text, x.n_removed) for x in queries.op9_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: (docs[0][1], 0), 2: ("Menus\n\n\0\0\n ", 4), 3: ("", 5), 4: ("\n\n", 0), 5: ("c", 0)}
+    with pytest.raises(ValueError, match="1 byte"):
+        lines.line_dedup(spark.createDataFrame(docs, "doc_id long, text string"), shortest=0)
