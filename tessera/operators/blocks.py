@@ -1,0 +1,26 @@
+"""All pairs of two tables, a block of rows against a block of rows, whatever their sizes."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tessera.operators.graphs import _cut
+
+ROWS, PARTS = 2048, 16
+
+
+def blocks(df: DataFrame, by: Sequence[str], columns: Sequence[str | Column], rows: int = ROWS) -> DataFrame:
+    """(block, rows: array of structs) of about so many rows each, dealt by a hash; checkpointed, so that places in a block stay."""
+    count = max(1, -(-df.count() // rows))
+    packed = df.groupBy(F.pmod(F.xxhash64(*by), F.lit(count)).alias("block")).agg(F.collect_list(F.struct(*columns)).alias("rows"))
+    return _cut(packed.repartition(min(count, PARTS)))
+
+
+def cells(left: DataFrame, right: DataFrame, half: bool = False) -> DataFrame:
+    """(block_a, a, block_b, b) for each pair of blocks; ``half`` leaves out the mirror images of a table with itself."""
+    a, b = left.toDF("block_a", "a"), right.toDF("block_b", "b")
+    pairs = a.join(b.hint("shuffle_replicate_nl"), F.col("block_a") <= F.col("block_b") if half else None, "inner" if half else "cross")
+    return pairs.select("block_a", "a", "block_b", "b")

@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -194,32 +195,75 @@ def permutation_gap(df: DataFrame, cluster: str, outcome: str, repetitions: int
     return null.agg(F.lit(observed).alias("observed_gap"), F.percentile("gap", 0.95).alias("null_p95"), ((F.count_if(F.col("gap") >= observed) + 1) / (F.lit(repetitions) + 1)).alias("p_value"))
 
 
-def dbscan(df: DataFrame, key: str, vector: str, eps: float, min_samples: int, bound: int = 4000) -> DataFrame:
-    """DBSCAN of a bounded table in one task (noise -1); more rows than ``bound`` raise, as the method is quadratic.  Sample first."""
-    if df.limit(bound + 1).count() > bound:
-        raise ValueError(f"more than {bound} rows")
+def dbscan(df: DataFrame, key: str, vector: str, eps: float, min_samples: int, bound: int | None = None) -> DataFrame:
+    """DBSCAN of every row (noise -1), clusters numbered by their smallest core key, borders in the first cluster that reaches them.
+
+    Pairs of blocks of distinct vectors are compared, first for the neighbours of each, then for links:
+    a pair of blocks gives a spanning forest of its core points only, so the links of a dense cluster do
+    not grow with its square, though the comparisons do.  Keys must be unique; a null vector is noise.
+    With ``bound``, more rows raise.
+    """
+    from tessera.operators import blocks, graphs
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frames = list(frames)
-        if not frames:
-            return
-        pdf = pd.concat(frames).sort_values("key")
-        x = np.stack(pdf["v"].to_numpy()).astype(float)
-        squared = (x**2).sum(axis=1)
-        near = squared[:, None] + squared[None, :] - 2 * x @ x.T <= eps * eps + 1e-12
-        core, label, c = near.sum(axis=1) >= min_samples, np.full(len(x), -1), 0
-        for i in np.flatnonzero(core):
-            if label[i] < 0:
-                stack = [i]
-                while stack:
-                    j = stack.pop()
-                    fresh = np.flatnonzero(near[j] & (label < 0))
-                    label[fresh] = c
-                    stack.extend(fresh[core[fresh]].tolist())
-                c += 1
-        yield pd.DataFrame({"key": pdf["key"], "cluster": label})
-
-    return df.select(F.col(key).cast("long").alias("key"), F.col(vector).alias("v")).coalesce(1).mapInPandas(run, "key long, cluster int").withColumnRenamed("key", key)
+    if bound is not None and df.limit(bound + 1).count() > bound:
+        raise ValueError(f"more than {bound} rows")
+    rows = df.select(F.col(key).cast("long").alias("key"), F.col(vector).alias("v"))
+    points = graphs._cut(rows.where("v IS NOT NULL").groupBy("v").agg(F.min("key").alias("id"), F.count(F.lit(1)).alias("m")))
+
+    def each(batches):
+        """Block numbers, columns of both sides and the near pairs of each cell."""
+        for batch in batches:
+            for i in range(batch.num_rows):
+                sides = []
+                for c in ("a", "b"):
+                    side = batch.column(c)[i].values
+                    x = side.field("v").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(side), -1)
+                    sides.append((x, side.field("id").to_numpy(), side.field("n").to_numpy()))
+                (x, *a), (y, *b) = sides
+                near = (x**2).sum(axis=1)[:, None] + (y**2).sum(axis=1)[None, :] - 2 * x @ y.T <= eps * eps + 1e-12
+                yield batch.column("block_a")[i].as_py() == batch.column("block_b")[i].as_py(), a, b, near
+
+    def neighbours(batches):
+        for same, (ids, m), (other, n), near in each(batches):
+            found = [(ids, near @ n)] + ([] if same else [(other, m @ near)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[i] for f in found]).astype(np.int64)) for i in (0, 1)], names=["id", "n"])
+
+    def links(batches):
+        for same, (ids, n), (other, o), near in each(batches):
+            ca, cb = n >= min_samples, o >= min_samples
+            la, lb = np.full(len(ids), -1), np.full(len(other), -1)
+            for c, i in enumerate(np.flatnonzero(ca)):
+                front = np.array([i]) if la[i] < 0 else np.zeros(0, int)
+                la[front] = c if len(front) else la[front]
+                while len(front):
+                    across = np.flatnonzero(near[front].any(axis=0) & cb & (lb < 0))
+                    lb[across] = c
+                    front = np.flatnonzero(near[:, across].any(axis=1) & ca & (la < 0))
+                    la[front] = c
+            label, member = np.concatenate([la[la >= 0], lb[lb >= 0]]), np.concatenate([ids[la >= 0], other[lb >= 0]])
+            least = np.full(len(ids) + 1, np.iinfo(np.int64).max)
+            np.minimum.at(least, label, member)
+            first = least[label]
+            found = [(first[first != member], member[first != member], False)]
+            for low, high, pairs in ((ids, other, near & ~ca[:, None] & cb[None, :]), (other, ids, (near & ca[:, None] & ~cb[None, :]).T)):
+                i, j = np.nonzero(pairs)
+                found.append((low[i], high[j], True))
+            source, target = (np.concatenate([f[i] for f in found]).astype(np.int64) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(source), pa.array(target), pa.array(np.repeat([f[2] for f in found], [len(f[0]) for f in found]))], names=["source", "target", "border"])
+
+    def cells(table, n):
+        packed = blocks.blocks(table, ["id"], ["v", "id", F.col(n).alias("n")])
+        return blocks.cells(packed, packed, half=True)
+
+    counted = cells(points, "m").mapInArrow(neighbours, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    points = graphs._cut(points.join(counted, "id"))
+    found = graphs._cut(cells(points, "n").mapInArrow(links, "source long, target long, border boolean").distinct())
+    core = points.where(F.col("n") >= min_samples).select(F.col("id").alias("node_id"))
+    roots = graphs.components(core, found.where("NOT border"))
+    reached = found.where("border").join(roots.withColumnRenamed("node_id", "target"), "target").groupBy(F.col("source").alias("node_id")).agg(F.min("component").alias("component"))
+    numbers = roots.select("component").distinct().select("component", (F.row_number().over(Window.partitionBy().orderBy("component")) - 1).alias("cluster"))  # one row for each cluster
+    labels = points.join(roots.unionByName(reached).withColumnRenamed("node_id", "id"), "id").join(numbers, "component").select("v", "cluster")
+    return rows.join(labels, "v", "left").select(F.col("key").alias(key), F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
 
 def best_k(scores: DataFrame) -> DataFrame:

@@ -100,7 +100,7 @@ _add("nearest_neighbours", lambda s, d: models.nearest_neighbours(b.table(s, d,
 _add("kmeans", lambda s, d: clustering.kmeans(_vectors(s, d), "features", 4).groupBy("cluster").agg(F.count(F.lit(1)).alias("n")))
 _add("bisecting_kmeans", lambda s, d: clustering.bisecting(_vectors(s, d), "features", 4).groupBy("cluster").agg(F.count(F.lit(1)).alias("n")))
 _add("pca_projection", lambda s, d: clustering.projection(b.table(s, d, "embeddings"), "embedding").select("vec_id", F.round(F.col("projection")[0], 6).alias("x"), F.round(F.col("projection")[1], 6).alias("y")))
-_add("dbscan", lambda s, d: clustering.dbscan(sessions.sample_rows(b.table(s, d, "embeddings"), "vec_id", 2000), "vec_id", "embedding", 6.0, 4))
+_add("dbscan", lambda s, d: clustering.dbscan(b.table(s, d, "embeddings"), "vec_id", "embedding", 6.0, 4))
 
 
 # Models: does an order line hold an outcome?

@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+
+from tessera.operators import blocks, clustering
 from tessera.plans import catalog
 
 
@@ -33,3 +36,39 @@ def test_connected_components_of_all_events(spark, tmp_path):
     got = [tuple(x) for x in catalog.queries()["connected_components_all"](spark, str(tmp_path)).collect()]
     assert len(got) == len(nodes) and dict(got) == want
     assert len(set(want.values())) > 5
+
+
+def brute_dbscan(rows, eps, least):
+    """Sequential DBSCAN in the order of keys."""
+    rows = sorted((k, v) for k, v in rows if v is not None)
+    x = np.array([v for _, v in rows])
+    near = ((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2) <= eps * eps
+    core, label, c = near.sum(axis=1) >= least, np.full(len(x), -1), 0
+    for i in np.flatnonzero(core):
+        if label[i] < 0:
+            stack = [i]
+            while stack:
+                fresh = np.flatnonzero(near[stack.pop()] & (label < 0))
+                label[fresh] = c
+                stack.extend(fresh[core[fresh]].tolist())
+            c += 1
+    return {k: int(n) for (k, _), n in zip(rows, label)}
+
+
+def test_dbscan_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(blocks.blocks, "__defaults__", (40,))
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=(260, 2)) * 3, np.repeat([[50.0, 50.0]], 9, axis=0)]).tolist()
+    rows = [(int(k), v) for k, v in zip(rng.permutation(len(x)), x)] + [(900, None)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    want = brute_dbscan(rows, 0.55, 4) | {900: -1}
+    got = [tuple(r) for r in clustering.dbscan(df, "id", "v", 0.55, 4).collect()]
+    assert len(got) == len(rows) and dict(got) == want
+    assert len(set(want.values())) > 4 and -1 in [want[k] for k, v in rows if v]
+
+
+def test_dbscan_query_labels_every_row(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=3).tolist(), 0) for i in range(2500)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert catalog.queries()["dbscan"](spark, str(tmp_path)).count() == 2500
