@@ -3,8 +3,9 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from tessera.operators import blocks, clustering
+from tessera.operators import blocks, clustering, models
 from tessera.plans import catalog
 
 
@@ -72,3 +73,33 @@ def test_dbscan_query_labels_every_row(spark, tmp_path):
     rows = [(i, rng.normal(size=3).tolist(), 0) for i in range(2500)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
     assert catalog.queries()["dbscan"](spark, str(tmp_path)).count() == 2500
+
+
+def brute_neighbours(train, test, k):
+    out = {}
+    for key, q in test:
+        near = sorted((float(np.sqrt(((np.array(q) - np.array(v)) ** 2).sum())), y) for v, y in train if v is not None and y is not None)[:k]
+        w = [1 / max(d, 1e-9) for d, _ in near]
+        out[key] = sum(a * y for a, (_, y) in zip(w, near)) / sum(w)
+    return out
+
+
+def test_nearest_neighbours_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(blocks.blocks, "__defaults__", (30,))
+    rng = np.random.default_rng(5)
+    train = [(v, float(i % 2)) for i, v in enumerate(rng.normal(size=(300, 4)).tolist())]
+    train += [(train[0][0], float(i % 3 == 0)) for i in range(12)] + [(None, 1.0), (train[1][0], None)]
+    test = [(i, v) for i, v in enumerate(rng.normal(size=(80, 4)).tolist())] + [(500, train[0][0]), (501, train[0][0]), (502, train[5][0])]
+    a = spark.createDataFrame(train, "v array<double>, y double")
+    b = spark.createDataFrame(test + [(900, None)], "id long, v array<double>")
+    got = {r.id: r.score for r in models.nearest_neighbours(a, b, "id", "v", "y").collect()}
+    want = brute_neighbours(train, test, 7)
+    assert got.pop(900) is None and got.keys() == want.keys()
+    assert all(abs(got[i] - want[i]) < 1e-9 for i in want)
+    assert {r.score for r in models.nearest_neighbours(a.limit(0), b, "id", "v", "y").collect()} == {None}
+
+
+def test_nearest_neighbours_query_beyond_15000_training_rows(spark, tmp_path):
+    rows = spark.range(19_000).select(F.col("id").alias("vec_id"), F.array(*[(F.xxhash64("id", F.lit(i)) % 1000).cast("float") for i in range(3)]).alias("embedding"), (F.col("id") % 4).cast("int").alias("label"))
+    rows.write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert catalog.queries()["nearest_neighbours"](spark, str(tmp_path)).where("score BETWEEN 0 AND 1").count() == 3800
