@@ -47,8 +47,8 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item or an edited copy of one."""
-    found = decontam.passages_found(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where(F.col("score") >= decontam.CONTAMINATED)
+    """Drop documents that hold a benchmark item, an edited copy or a long excerpt of one."""
+    found = decontam.passages_found(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where(decontam.contaminating())
     bad = scratch.table(found.select(F.col("k").alias(KEY), F.col("th").alias(HASH)).distinct(), "contaminated")
     return _with_keys(docs, substring.key_of("doc_id")).join(bad, [KEY, HASH], "left_anti").select(*docs.columns)
 

@@ -13,14 +13,15 @@ Texts and test items are compared as words, with A-Z lower-cased and ASCII punct
 3. A passage is aligned with the item by Smith-Waterman over words (match 1, mismatch -1/2, gap
    -1/2).  The score is the best local alignment over the item's length, so a verbatim copy scores 1
    and one with a tenth of its words replaced about 0.85.  A document is contaminated from
-   ``CONTAMINATED``.
+   ``CONTAMINATED``, or where the alignment itself counts ``LONG`` words, whatever their share of the
+   item.
 
 The test items are read in blocks of at most ``BLOCK_WORDS`` words, which is what is broadcast at once;
 a larger benchmark takes more passes over the corpus.
 
 Defined cases: a null text or item has no words; items of fewer than ``LEAST_WORDS`` words match
 nothing, as common phrases would; repeated items count once each; a document that holds several items
-is reported with the best (ties: smallest item_id, null last); rows that repeat doc_id and text get
+is reported with the best score (ties: smallest item_id, null last); rows that repeat doc_id and text get
 the same result; empty tables give empty or clean results; other columns are ignored.
 """
 
@@ -31,13 +32,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import scratch, ship, textkit
 from tessera.llm.substring import NO_ID, keyed
 
 SEED, SPAN, RARE, USUAL, CONTAMINATED, LEAST_WORDS = 3, 8, 0.001, 4, 0.5, 5
+LONG = 13
 BLOCK_WORDS = 1 << 20
 MATCH, MISMATCH, GAP = 1.0, -0.5, 0.5
 _PUNCTUATION = np.zeros(256, bool)
@@ -185,7 +187,7 @@ def _align_all(batches: Iterator[pa.RecordBatch], items: Items, used: np.ndarray
         batch = batch.filter(pa.array(holds > 0))
         item = batch.column("item").to_numpy()
         codes = [np.frombuffer(c, np.int32) for c in batch.column("codes").to_pylist()]
-        score, end = np.zeros(len(item)), np.zeros(len(item), np.int64)
+        score, aligned, end = np.zeros(len(item)), np.zeros(len(item)), np.zeros(len(item), np.int64)
         order = np.lexsort(([len(c) for c in codes], item))
         edges = np.flatnonzero(np.concatenate([[True], item[order][1:] != item[order][:-1], [True]])) if len(item) else [0]
         for a, b in zip(edges[:-1], edges[1:]):
@@ -193,13 +195,13 @@ def _align_all(batches: Iterator[pa.RecordBatch], items: Items, used: np.ndarray
                 pick = order[s : min(b, s + 256)]
                 i = item[pick[0]]
                 for r, (value, last) in zip(pick, align(codes_of[i], [codes[r] for r in pick])):
-                    score[r], end[r] = value / sizes[i], last
+                    score[r], aligned[r], end[r] = value / sizes[i], value, last
         start = batch.column("start").to_numpy()
-        yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("th"), pa.array([items.ids[i] for i in item], pa.int64()), pa.array(np.round(score, 6)), pa.array((start + end + 1).astype(np.int32))], names=["k", "th", "item_id", "score", "ends"])
+        yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("th"), pa.array([items.ids[i] for i in item], pa.int64()), pa.array(np.round(score, 6)), pa.array((start + end + 1).astype(np.int32)), pa.array(aligned)], names=["k", "th", "item_id", "score", "ends", "aligned"])
 
 
 def passages_found(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rare: float = RARE, size: int = SEED, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Aligned passages: k, th, item_id, score, ends (the word after the passage's last one, in the document's plain words)."""
+    """Aligned passages: k, th, item_id, score, ends (the word after the passage's last one, in the document's plain words), aligned (the score in words)."""
     spark = docs.sparkSession
     ship.ensure(spark)
     rows = keyed(docs, id_col, text_col)
@@ -218,7 +220,7 @@ def passages_found(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
         frequency = np.zeros(len(items.seeds), np.int64)
         frequency[counts.column("seed").to_numpy()] = counts.column("n").to_numpy()
         used = spark.sparkContext.broadcast(rare_seeds(items, frequency, n_docs, rare, SPAN))
-        parts.append(hits.mapInArrow(lambda it: _align_all(it, shared.value, used.value), "k long, th long, item_id long, score double, ends int"))
+        parts.append(hits.mapInArrow(lambda it: _align_all(it, shared.value, used.value), "k long, th long, item_id long, score double, ends int, aligned double"))
 
     for item in benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).alias("text")).orderBy("item", "text").toLocalIterator():
         ids.append(item["item"])
@@ -230,19 +232,24 @@ def passages_found(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     if ids:
         search()
     if not parts:
-        return spark.createDataFrame([], "k long, th long, item_id long, score double, ends int")
+        return spark.createDataFrame([], "k long, th long, item_id long, score double, ends int, aligned double")
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
 
 
+def contaminating(threshold: float = CONTAMINATED, long: float = LONG) -> Column:
+    """Whether an aligned passage is too much of its item, or too long."""
+    return (F.col("score") >= threshold) | (F.col("aligned") >= long)
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = CONTAMINATED, **options) -> DataFrame:
-    """One row per input row: doc_id, th, contaminated, best_item, best_score, n_items (items at or above the threshold)."""
+    """One row per input row: doc_id, th, contaminated, best_item, best_score, n_items (items at or above the threshold, or with a long passage)."""
     found = passages_found(docs, benchmark, id_col, text_col, **options).where(F.col("score") > 0)
-    by_item = found.groupBy("k", "th", "item_id").agg(F.max("score").alias("score"))
+    by_item = found.groupBy("k", "th", "item_id").agg(F.max("score").alias("score"), F.max("aligned").alias("aligned"))
     rank = F.struct((-F.col("score")).alias("s"), F.col("item_id").isNull().alias("none"), F.col("item_id").alias("item"))
-    by_doc = by_item.groupBy("k", "th").agg(F.min(rank).alias("best"), F.count_if(F.col("score") >= threshold).alias("n_items"))
+    by_doc = by_item.groupBy("k", "th").agg(F.min(rank).alias("best"), F.count_if(contaminating(threshold)).alias("n_items"))
     rows = keyed(docs, id_col, text_col).select("k", "th").join(by_doc, ["k", "th"], "left")
     score = F.coalesce(-F.col("best.s"), F.lit(0.0))
-    return rows.select(F.when(F.col("k") != NO_ID, F.col("k")).alias("doc_id"), "th", (score >= threshold).alias("contaminated"), F.col("best.item").alias("best_item"), score.alias("best_score"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"))
+    return rows.select(F.when(F.col("k") != NO_ID, F.col("k")).alias("doc_id"), "th", ((score >= threshold) | (F.coalesce("n_items", F.lit(0)) > 0)).alias("contaminated"), F.col("best.item").alias("best_item"), score.alias("best_score"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"))

@@ -256,6 +256,17 @@ def test_widely_copied_passage_is_still_found(make, spark):
     assert decontam.decontaminate(make(docs), benchmark).where("contaminated").count() == 50
 
 
+def test_long_excerpts_are_contamination(make, spark, tmp_path):
+    item = [f"word{i}" for i in range(400)]
+    short = [f"other{i}" for i in range(59)]
+    docs = [(1, " ".join(["start", *item[100:290], "end"])), (2, " ".join(["start", *short[10:39], "end"])), (3, " ".join(["start", *item[5:17], "end"])), (4, "something else entirely")]
+    benchmark = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(short))], "item_id long, text string")
+    benchmark.write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {r.doc_id: (r.contaminated, r.best_item, r.n_items) for r in decontam.decontaminate(make(docs), benchmark).collect()}
+    assert got == {1: (True, 1, 1), 2: (True, 2, 1), 3: (False, 1, 0), 4: (False, None, 0)}
+    assert {r.doc_id for r in corpus_pipeline.drop_contaminated(spark, make(docs), str(tmp_path)).collect()} == {3, 4}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (200, 200), (None, 3)] + [(300, 300 + i) for i in range(1, 50)]
     got = {r.node: r.root for r in graph.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
