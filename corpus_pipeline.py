@@ -14,12 +14,12 @@ from tessera.llm import decontam, langid, lines, minhash, mixing, scratch, subst
 
 #: Some stages (networks, alignment, near-duplicate links) have no SQL counterpart.
 ORACLE_SQL = None
-#: Columns that stages add for a while; an input column cannot have these names.
-KEY, HASH, MARK = "__stage_key", "__stage_hash", "__stage_mark"
 
 
-def _with_keys(docs: DataFrame, key: Column) -> DataFrame:
-    return docs.withColumns({KEY: key, HASH: F.xxhash64("text")})
+def _with_keys(docs: DataFrame, key: Column) -> tuple[DataFrame, str, str]:
+    """Rows with their address, and the names of its two columns, which no input column has."""
+    k, h = scratch.free(docs.columns, "stage_key", "stage_hash")
+    return docs.withColumns({k: key, h: F.xxhash64("text")}), k, h
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,28 +29,36 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take repeated lines out; documents that had words and have none left are copies, and go."""
-    gone = lines.removed_lines(docs).select(F.col("k").alias(KEY), F.col("th").alias(HASH), F.col("gone").alias(MARK))
-    rows = _with_keys(docs, substring.key_of("doc_id")).join(gone, [KEY, HASH], "left")
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(MARK, i)), "\n")
-    rows = rows.withColumn("text", F.when(F.col(MARK).isNull(), F.col("text")).otherwise(left))
+    rows, k, h = _with_keys(docs, substring.key_of("doc_id"))
+    mark, parts = scratch.free(rows.columns, "stage_gone", "stage_parts")
+    gone = lines.removed_lines(docs).select(F.col("k").alias(k), F.col("th").alias(h), F.col("gone").alias(mark))
+    rows = lines.strip_lines(rows, gone, [k, h], "text", mark, parts)
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col(MARK).isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
-    return rows.where(F.col(MARK).isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
+        rows = rows.withColumn("n_chars", F.when(F.col(mark).isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
+    return rows.where(F.col(mark).isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest doc_id of each component of near duplicates."""
+    """Keep the document with the smallest doc_id of each component of near duplicates.
+
+    Of rows that repeat doc_id and text but differ elsewhere, the one whose other columns have the
+    smallest hash as JSON stays.
+    """
     found = minhash.near_duplicates(docs, size=5, percent=80)
-    keep = found.where("k = component").select(F.col("k").alias(KEY), F.col("th").alias(HASH)).distinct()
-    rows = _with_keys(docs, minhash.key_of("doc_id", "text")).join(keep, [KEY, HASH])
-    return rows.dropDuplicates([KEY, HASH]).select(*docs.columns)
+    rows, k, h = _with_keys(docs, minhash.key_of("doc_id", "text"))
+    keep = found.where("k = component").select(F.col("k").alias(k), F.col("th").alias(h)).distinct()
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    tie = F.xxhash64(F.to_json(F.struct(*others))) if others else F.lit(0)
+    one = rows.join(keep, [k, h]).groupBy(k, h).agg(F.min_by(F.struct(*docs.columns), tie).alias("row"))
+    return one.select("row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item, an edited copy or a long excerpt of one."""
     found = decontam.passages_found(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where(decontam.contaminating())
-    bad = scratch.table(found.select(F.col("k").alias(KEY), F.col("th").alias(HASH)).distinct(), "contaminated")
-    return _with_keys(docs, substring.key_of("doc_id")).join(bad, [KEY, HASH], "left_anti").select(*docs.columns)
+    rows, k, h = _with_keys(docs, substring.key_of("doc_id"))
+    bad = scratch.table(found.select(F.col("k").alias(k), F.col("th").alias(h)).distinct(), "contaminated")
+    return rows.join(bad, [k, h], "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,3 +36,15 @@ def table(df: DataFrame, name: str) -> DataFrame:
     path = fresh(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def free(columns: list[str], *names: str) -> list[str]:
+    """Names for columns that an operator adds for a while: those given, made longer until no input column has them in any letter case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -15,7 +15,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes of text that one numpy pass handles; bounds the working memory of a task.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -139,6 +139,7 @@ class Ranges:
     _power = _inverse = np.ones(1, U64)
 
     def __init__(self, raw: np.ndarray):
+        """``raw`` holds bytes, code points or hashes of words."""
         n = len(raw)
         if len(Ranges._power) <= n:
             for name, base in (("_power", 0x9E3779B97F4A7C15), ("_inverse", pow(0x9E3779B97F4A7C15, -1, 1 << 64))):
@@ -148,10 +149,11 @@ class Ranges:
         self.sums = np.zeros(n + 1, U64)
         np.cumsum((raw.astype(U64) + U64(1)) * Ranges._power[:n], out=self.sums[1:])
         self.letters = np.zeros(n + 1, np.uint32)
-        np.bitwise_xor.accumulate(_BIT[raw & 31], out=self.letters[1:])
+        np.bitwise_xor.accumulate(_BIT[(raw & raw.dtype.type(31)).astype(np.int64)], out=self.letters[1:])
         self.pairs = np.zeros(n + 1, np.uint32)
         if n:
-            np.bitwise_xor.accumulate(_BIT[(raw[1:] * 7 + raw[:-1] * 3) & 31], out=self.pairs[2:])
+            of = raw.dtype.type
+            np.bitwise_xor.accumulate(_BIT[((raw[1:] * of(7) + raw[:-1] * of(3)) & of(31)).astype(np.int64)], out=self.pairs[2:])
 
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * Ranges._inverse[start] ^ (end - start).astype(U64))
@@ -166,7 +168,25 @@ class Ranges:
 _BIT = (np.uint32(1) << np.arange(32, dtype=np.uint32)).astype(np.uint32)
 
 
-def may_be_within(a: np.ndarray, b: np.ndarray, edits: int) -> np.ndarray:
+def code_points(raw: np.ndarray) -> np.ndarray:
+    """Code points before each byte of UTF-8, and in the end."""
+    out = np.zeros(len(raw) + 1, np.int64)
+    np.cumsum((raw & 0xC0) != 0x80, out=out[1:])
+    return out
+
+
+def symbols(raw: np.ndarray) -> np.ndarray:
+    """A number for each code point of UTF-8: its bytes."""
+    first = np.flatnonzero((raw & 0xC0) != 0x80)
+    if len(first) == len(raw):
+        return raw.astype(np.uint32)
+    padded = np.concatenate([raw, np.zeros(4, np.uint8)])
+    fours = np.ndarray(shape=(len(raw) + 1,), dtype="<u4", buffer=padded, strides=(1,))
+    size = np.minimum(np.diff(np.concatenate([first, [len(raw)]])), 4)
+    return fours[first] & np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)[size]
+
+
+def may_be_within(a: np.ndarray, b: np.ndarray, edits: int | np.ndarray) -> np.ndarray:
     """Whether sketches leave room for so few edits; never false for ranges that are within them."""
     apart = a ^ b
     return (np.bitwise_count(apart & U64(0xFFFFFFFF)) <= 2 * edits) & (np.bitwise_count(apart >> U64(32)) <= 4 * edits)

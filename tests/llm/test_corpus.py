@@ -304,7 +304,7 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     frame = docs.where(F.length("text") < 900)
     stages = dict(corpus_pipeline.STAGES)
     got = {x.doc_id: x.text for x in stages["line_dedup"](spark, frame, "").collect()}
-    want = {d: t for d, (t, n) in brute_lines(short, 2, 24).items() if not n or t.strip()}
+    want = {d: t for d, (t, n) in brute_lines(short).items() if not n or t.strip()}
     assert got == want
     kept = {x.doc_id for x in stages["near_dedup"](spark, docs, "").collect()}
     assert kept == {d for d, (_, root) in brute_components(now, 5).items() if d == root}
