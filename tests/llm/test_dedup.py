@@ -294,9 +294,12 @@ def test_keys_meet_in_small_steps():
     entries["line"] = r.integers(1, 1 << 40, 3000)
     rows = [pa.RecordBatch.from_arrays([pa.array([1, 1, 5]), pa.array([entries[a : a + 500].tobytes(), entries[a + 500 : a + 1000].tobytes(), entries[a : a + 9].tobytes()], pa.binary())], names=["bucket", "packed"]) for a in (0, 1000, 2000)]
     rows = [b.slice(0, 2) for b in rows] + [b.slice(2) for b in rows]
-    found = [sorted({tuple(x.values()) for b in lines._meet(iter(rows), 20, limit) for x in b.to_pylist()}, key=str) for limit in (1 << 20, 64)]
-    assert found[0] == found[1]
-    assert len({x for x in found[0] if x[0] == (1 << 30 | 7)}) >= 900
+    found = [sorted({tuple(x.values()) for b in lines._meet(iter(rows), 20, 8, limit) for x in b.to_pylist()}, key=str) for limit in (1 << 20, 64)]
+    pairs, cells = ([sorted({x if x[0] is None else x[:2] for x in f if (x[0] is None) == null}) for f in found] for null in (True, False))
+    assert pairs[0] and pairs[0] == pairs[1] and cells[0] and set(cells[0]) <= set(cells[1])
+    assert len({x[1] for x in found[0] if x[0] == (1 << 30 | 7)}) >= 900
+    assert {x[2] for x in found[0] if x[0] == (1 << 30 | 7)} == {-(-len({x[1] for x in found[0] if x[0] == (1 << 30 | 7)}) // 8)}
+    assert 0 in {x[2] for x in found[1] if x[0] == (1 << 30 | 7)}
 
 
 def test_template_lines_make_linear_work(make):
