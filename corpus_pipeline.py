@@ -77,7 +77,12 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on ``documents``; each but the last is written as Parquet and read again by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = scratch.table(stage(spark, docs, sf_dir), name)
+        with scratch.scope(spark) as keep:  # what a stage wrote on its way goes when its result is there
+            docs, path = scratch.written(stage(spark, docs, sf_dir), name)
+            keep.append(path)
+        if last:
+            scratch.delete(spark, [last])
+        last = path
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -19,8 +19,12 @@ Texts and test items are compared as words, with A-Z lower-cased and ASCII punct
 The test items are read in blocks of at most ``BLOCK_WORDS`` words, which is what is broadcast at once;
 a larger benchmark takes more passes over the corpus.
 
-Defined cases: a null text or item has no words; items of fewer than ``LEAST_WORDS`` words match
-nothing, as common phrases would; repeated items count once each; a document that holds several items
+4. An item of fewer than ``LEAST_WORDS`` words is one seed as a whole, so it is found verbatim only.  As
+   a common phrase is no evidence, it counts where at most ``SHORT_RARE`` of all documents (one, if that
+   is less) hold it.
+
+Defined cases: a null text or item has no words and an item without words matches nothing; repeated
+items count once each; a document that holds several items
 is reported with the best score (ties: smallest item_id, null last); rows that repeat doc_id and text get
 the same result; empty tables give empty or clean results; other columns are ignored.
 """
@@ -39,7 +43,7 @@ from tessera.llm import scratch, ship, textkit
 from tessera.llm.substring import NO_ID, keyed
 
 SEED, SPAN, RARE, USUAL, CONTAMINATED, LEAST_WORDS = 3, 8, 0.001, 4, 0.5, 5
-LONG = 13
+LONG, SHORT_RARE = 13, 0.01
 BLOCK_WORDS = 1 << 20
 MATCH, MISMATCH, GAP = 1.0, -0.5, 0.5
 _PUNCTUATION = np.zeros(256, bool)
@@ -65,6 +69,7 @@ class Items:
     item: np.ndarray  # item and offset of each place
     offset: np.ndarray
     sieve: np.ndarray  # low bits of the seeds, to skip most words cheaply
+    short: dict[int, tuple[np.ndarray, np.ndarray]]  # by number of words: sorted hashes of whole short items and their seeds
 
     @classmethod
     def build(cls, ids: list[int | None], texts: list[str | None], size: int, least: int) -> Items:
@@ -73,8 +78,11 @@ class Items:
         hashes = words.hashes()
         own = [hashes[a:b] for a, b in zip(words.first[:-1], words.first[1:])]
         seeds, item, offset = [], [], []
+        brief: dict[int, dict[int, list[int]]] = {}
         for i, w in enumerate(own):
-            if len(w) >= max(size, least):
+            if 0 < len(w) < max(size, least):
+                brief.setdefault(len(w), {}).setdefault(int(textkit.ngrams(w, len(w))[0]), []).append(i)
+            elif len(w):
                 g = textkit.ngrams(w, size)
                 seeds.append(g)
                 item.append(np.full(len(g), i))
@@ -85,21 +93,41 @@ class Items:
         sieve = np.zeros(1 << 20, bool)
         sieve[(names & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
         join = lambda parts: np.concatenate(parts)[order] if parts else np.zeros(0, np.int64)
-        return cls(ids, own, names, np.concatenate([[0], np.cumsum(counts)]), join(item), join(offset), sieve)
+        short, items_of = {}, [join(item)]
+        number, counts = len(names), counts.tolist()
+        for n, found in sorted(brief.items()):
+            short[n] = (np.array(sorted(found), np.uint64), np.arange(number, number + len(found)))
+            number += len(found)
+            counts += [len(found[g]) for g in sorted(found)]
+            items_of += [np.array(found[g]) for g in sorted(found)]
+        which = np.concatenate(items_of)
+        return cls(ids, own, names, np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]), which, np.concatenate([join(offset), np.zeros(len(which) - len(flat), np.int64)]), sieve, short)
 
 
 def find_seeds(items: Items, words: textkit.Words, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Word positions where a seed begins, inside one text, and the seeds."""
     grams = textkit.ngrams(hashes, size)
     at = np.flatnonzero(items.sieve[(grams & np.uint64((1 << 20) - 1)).astype(np.int64)])
-    if not len(at) or not len(items.seeds):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    spot = np.minimum(np.searchsorted(items.seeds, grams[at]), len(items.seeds) - 1)
-    real = items.seeds[spot] == grams[at]
-    at, spot = at[real], spot[real]
-    row = np.searchsorted(words.first, at, side="right") - 1
-    inside = at + size <= words.first[row + 1]
-    return at[inside], spot[inside]
+    found = [(at, *_look_up(items.seeds, grams[at]), size)]
+    for n, (names, seeds) in items.short.items():
+        spot, real = _look_up(names, textkit.ngrams(hashes, n))
+        found.append((np.arange(len(spot)), seeds[spot] if len(seeds) else spot, real, n))
+    places, numbers = [], []
+    for at, spot, real, n in found:
+        at, spot = at[real], spot[real]
+        row = np.searchsorted(words.first, at, side="right") - 1
+        inside = at + n <= words.first[row + 1]
+        places.append(at[inside])
+        numbers.append(spot[inside])
+    return np.concatenate(places).astype(np.int64), np.concatenate(numbers).astype(np.int64)
+
+
+def _look_up(names: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each gram among sorted names, and whether it is there."""
+    if not len(names):
+        return np.zeros(len(grams), np.int64), np.zeros(len(grams), bool)
+    spot = np.minimum(np.searchsorted(names, grams), len(names) - 1)
+    return spot, names[spot] == grams
 
 
 def _passages(batches: Iterator[pa.RecordBatch], items: Items, size: int) -> Iterator[pa.RecordBatch]:
@@ -137,11 +165,14 @@ def _passages(batches: Iterator[pa.RecordBatch], items: Items, size: int) -> Ite
 
 
 def rare_seeds(items: Items, frequency: np.ndarray, documents: int, rare: float, span: int) -> np.ndarray:
-    """Seeds to use: rare in the corpus, usual for their item, or the rarest of some stretch of ``span`` seeds of it."""
+    """Seeds to use: rare in the corpus, usual for their item, or the rarest of some stretch of ``span`` seeds of it; whole short items if rare."""
     used = frequency <= rare * documents
-    seed = np.repeat(np.arange(len(items.seeds)), np.diff(items.first))
-    order = np.lexsort((items.offset, items.item))
-    item, seed = items.item[order], seed[order]
+    used[len(items.seeds) :] = frequency[len(items.seeds) :] <= max(1, SHORT_RARE * documents)
+    first = items.first[: len(items.seeds) + 1]
+    seed = np.repeat(np.arange(len(items.seeds)), np.diff(first))
+    item, offset = items.item[: first[-1]], items.offset[: first[-1]]
+    order = np.lexsort((offset, item))
+    item, seed = item[order], seed[order]
     for a, b in zip(*(lambda e: (e[:-1], e[1:]))(np.flatnonzero(np.concatenate([[True], item[1:] != item[:-1], [True]])) if len(item) else np.zeros(0, int))):
         mine = seed[a:b]
         cost = frequency[mine]
@@ -217,7 +248,7 @@ def passages_found(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
         hits = scratch.table(rows.mapInArrow(lambda it: _passages(it, shared.value, size), "k long, th long, item int, seeds array<int>, codes binary, start int"), "passages")
         # Bounded by the seeds of one block of items.
         counts = hits.select("k", "th", F.explode("seeds").alias("seed")).distinct().groupBy("seed").agg(F.count(F.lit(1)).alias("n")).toArrow()
-        frequency = np.zeros(len(items.seeds), np.int64)
+        frequency = np.zeros(len(items.first) - 1, np.int64)
         frequency[counts.column("seed").to_numpy()] = counts.column("n").to_numpy()
         used = spark.sparkContext.broadcast(rare_seeds(items, frequency, n_docs, rare, SPAN))
         parts.append(hits.mapInArrow(lambda it: _align_all(it, shared.value, used.value), "k long, th long, item_id long, score double, ends int, aligned double"))

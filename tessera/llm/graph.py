@@ -11,11 +11,11 @@ from tessera.llm import scratch
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Point the larger (or the smaller and own) neighbours of each node at the smallest of its neighbourhood.
 
-    The smallest neighbour is an aggregate with map-side combining that is joined back, so a node with
-    very many neighbours is never gathered in one task.
+    The smallest neighbour is an aggregate with map-side combining, written out before it is joined back,
+    so that adaptive execution can split the join of a node with very many neighbours.
     """
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
-    lowest = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    lowest = scratch.table(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "lowest")
     joined = both.join(lowest, "a")
     if large:
         return joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()

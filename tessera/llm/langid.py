@@ -1,11 +1,12 @@
 """Language identification with a bidirectional gated recurrent network over bytes.
 
-The network reads the UTF-8 bytes of a text (A-Z lower-cased) in chunks, forwards and backwards, and
-gives every byte a distribution over the learned languages; a document's probabilities are the mean
-over all its bytes.  It is trained in numpy by backpropagation through time on slices of labelled
-rows, at most about ``ROWS_PER_LANGUAGE`` for each of the ``LANGUAGES`` most frequent languages, which
-a hash of the doc_id chooses; rows whose CRC-32 of the doc_id as text is 2 modulo 4 are held out.
-Prediction reads whole texts.
+The network reads the UTF-8 bytes of a text (A-Z lower-cased) forwards and backwards and gives every
+byte a distribution over the learned languages; a document's probabilities are the mean over all its
+bytes.  A text is read in chunks of ``CHUNK`` bytes side by side, each after a run-up of ``CONTEXT``
+bytes on either end.  The network is trained in numpy by backpropagation through time on slices of
+labelled rows, at most about ``ROWS_PER_LANGUAGE`` for each language and ``SAMPLE_ROWS`` in all, but
+8 for each language at least, which a hash of the doc_id chooses; rows whose CRC-32 of the doc_id as
+text is 2 modulo 4 are held out.  Prediction reads whole texts.
 
 Defined cases: a null text, or one without any letter (Unicode L), is ``und`` with score 0; so is
 every text if no labelled row can be learned from; null labels teach nothing; a null doc_id counts
@@ -25,9 +26,9 @@ from pyspark.sql import functions as F
 from tessera.llm import ship, textkit
 from tessera.llm.quality import held_out
 
-ROWS_PER_LANGUAGE, LANGUAGES, SLICE = 400, 256, 384
+ROWS_PER_LANGUAGE, SAMPLE_ROWS, SLICE = 400, 102_400, 384
 UNKNOWN = "und"
-HIDDEN, CHUNK, LANES = 8, 128, 2048
+HIDDEN, CHUNK, CONTEXT, LANES = 8, 128, 32, 2048
 _PAD = 256  # closes the update gate, so the state passes through
 
 
@@ -157,41 +158,54 @@ def train(chunks: np.ndarray, labels: np.ndarray, classes: int, epochs: int = 6,
     return net
 
 
-def chunked(raw: np.ndarray, offs: np.ndarray, size: int = CHUNK) -> tuple[np.ndarray, np.ndarray]:
-    """Texts cut into chunks of symbols (lanes, time), the last of each padded, and the row of each chunk."""
-    lengths = np.diff(offs)
-    counts = -(-lengths // size)
-    row = np.repeat(np.arange(len(counts)), counts)
-    start = offs[:-1][row] + (np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)) * size
-    at = start[:, None] + np.arange(size)[None, :]
-    inside = at < offs[1:][row][:, None]
+def chunked(raw: np.ndarray, offs: np.ndarray, size: int = CHUNK, context: int = 0, first: int = 0, most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts cut into chunks of symbols (lanes, time), the row of each chunk, and which symbols are its own.
+
+    A chunk has ``context`` bytes of its text before and after its own ones; what lies beyond the text is
+    padding.  At most ``most`` chunks from number ``first`` on are made.
+    """
+    counts = -(-np.diff(offs) // size)
+    ends = np.cumsum(counts)
+    number = np.arange(first, int(ends[-1]) if most is None else min(int(ends[-1]), first + most)) if len(counts) else np.zeros(0, np.int64)
+    row = np.searchsorted(ends, number, side="right")
+    start = offs[:-1][row] + (number - (ends - counts)[row]) * size
+    at = start[:, None] + np.arange(-context, size + context)[None, :]
+    inside = (at >= offs[:-1][row][:, None]) & (at < offs[1:][row][:, None])
     symbols = np.full(at.shape, _PAD, np.int16)
-    symbols[inside] = textkit._LOWER[raw][at[inside]]
-    return symbols, row
+    symbols[inside] = textkit._LOWER[raw[at[inside]]]
+    own = inside.copy()
+    own[:, :context] = False
+    own[:, context + size :] = False
+    return symbols, row, own
 
 
 def pooled(net: ByteGRU, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each row the mean probabilities over its bytes, and how many bytes are labelled with each class."""
+    """For each row the mean probabilities over its bytes, and how many bytes are labelled with each class.
+
+    Chunks run side by side.  Each warms its states up, in either direction, on the ``CONTEXT`` bytes of
+    its text beyond its ends, so a position always sees at least so many neighbours on both sides.
+    """
     rows = len(offs) - 1
     total, marks = np.zeros((rows, net.classes)), np.zeros((rows, net.classes), np.int64)
-    symbols, row = chunked(raw, offs)
-    for a in range(0, len(row), LANES):
-        part = np.ascontiguousarray(symbols[a : a + LANES].T).astype(np.int64)
-        probs = net.probabilities(part)
-        real = part != _PAD
-        best = np.where(real, probs.argmax(axis=1), -1)
+    chunks = int((-(-np.diff(offs) // CHUNK)).sum())
+    for a in range(0, chunks, LANES):
+        symbols, row, own = chunked(raw, offs, CHUNK, CONTEXT, a, LANES)
+        probs = net.probabilities(np.ascontiguousarray(symbols.T).astype(np.int64))
+        own = own.T
+        best = np.where(own, probs.argmax(axis=1), -1)
         for c in range(net.classes):
-            total[:, c] += np.bincount(row[a : a + LANES], np.where(real, probs[:, c], 0).sum(axis=0), rows)
-            marks[:, c] += np.bincount(row[a : a + LANES], (best == c).sum(axis=0), rows).astype(np.int64)
+            total[:, c] += np.bincount(row, np.where(own, probs[:, c], 0).sum(axis=0), rows)
+            marks[:, c] += np.bincount(row, (best == c).sum(axis=0), rows).astype(np.int64)
     return total / np.maximum(np.diff(offs), 1)[:, None], marks
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = ROWS_PER_LANGUAGE) -> tuple[ByteGRU | None, list[str]]:
     """A network trained on a bounded sample of labelled rows, and the languages of its classes."""
     usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col)))
-    counts = usable.groupBy(F.col(lang_col).cast("string").alias("language")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "language").limit(LANGUAGES).collect()
+    counts = usable.groupBy(F.col(lang_col).cast("string").alias("language")).agg(F.count(F.lit(1)).alias("n")).collect()  # one row for each language
     if not counts:
         return None, []
+    rows_per_language = min(rows_per_language, max(8, SAMPLE_ROWS // len(counts)))
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["language"], min(1.0, rows_per_language / r["n"]))])
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(1 << 40)) / float(1 << 40)
     first = F.pmod(F.xxhash64(F.col(id_col), F.lit(12)), F.greatest(F.char_length(text_col) - SLICE, F.lit(1))).cast("int") + 1
@@ -201,7 +215,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     if not sample.num_rows:
         return None, []
     raw, offs = textkit.utf8(sample.column("text"))
-    symbols, row = chunked(raw, offs, 64)
+    symbols, row, _ = chunked(raw, offs, 64)
     labels = np.searchsorted(np.array(languages), np.array(sample.column("language").to_pylist()))[row]
     return train(symbols.astype(np.int64), labels, len(languages)), languages
 

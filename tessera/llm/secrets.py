@@ -72,9 +72,16 @@ def looks_live(value: str) -> bool:
 
 def opaque_spans(text: str, base: list[Span]) -> list[Span]:
     """High-entropy tokens that overlap no base span."""
-    out, busy = [], [(s, e) for s, _, e, _ in base]
+    out, busy, reach = [], [], 0
+    for s, _, e, _ in base:  # in order of start; as far as any of them reaches
+        if e > reach:
+            busy.append((s, e))
+            reach = e
+    at = 0
     for m in OPAQUE.finditer(text):
-        if looks_live(m[0]) and not any(s < m.end() and m.start() < e for s, e in busy):
+        while at < len(busy) and busy[at][1] <= m.start():
+            at += 1
+        if looks_live(m[0]) and (at == len(busy) or busy[at][0] >= m.end()):
             out.append((m.start(), 3, m.end(), m[0]))
     return out
 
@@ -101,7 +108,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
     """Candidates of each row: doc_id, owner, spans (kind, start, end, SHA-256 of the value, looks live)."""
     ship.ensure(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.concat(F.lit("="), F.col(owner_col).cast("string")), F.lit("")).alias("owner"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInArrow(_scan, f"doc_id long, owner string, spans {SPANS_DDL}")
 
 

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import struct
@@ -284,7 +285,8 @@ def test_pipeline_stages_take_effect(spark, make):
     frame = make(docs)
     d = corpus_pipeline
     after = d.dedup_lines(spark, frame, "")
-    assert {x.doc_id for x in after.collect()} == {1, 2, 3, 4, 5, 6, 7} and after.columns == frame.columns
+    # Text 2 is one line, which is within the edits that its 200 words allow of text 1.
+    assert {x.doc_id for x in after.collect()} == {1, 3, 4, 5, 6, 7} and after.columns == frame.columns
     assert {x.doc_id: (x.text, x.n_chars) for x in after.collect()}[7] == ("another line of its own, kept", 29)
     near_out = d.dedup_near(spark, frame, "")
     assert {x.doc_id for x in near_out.collect()} == {1, 3, 4, 5, 6, 7, 8} and near_out.columns == frame.columns
@@ -314,3 +316,146 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert whole and not whole & clean
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.columns[:5] == docs.columns and out.count() > 0
+
+
+def test_short_items_match_as_whole_sequences(make, spark):
+    """Items below five words: verbatim, between word boundaries, and only where rare."""
+    benchmark = spark.createDataFrame([(1, "Zebra quagga!"), (2, "common phrase"), (3, "okapi"), (4, "a b c d"), (5, ""), (6, "!!!")], "item_id long, text string")
+    docs = [(i, f"common phrase number{i} with words{i}") for i in range(300)] + [(900, "the zebra, quagga and more"), (901, "zebras quagga zebra x quagga"), (902, "an okapi"), (903, "a b c d e"), (904, "a b c e d"), (905, None)]
+    got = {r.doc_id: (r.best_item, r.best_score) for r in decontam.decontaminate(make(docs), benchmark).where("contaminated").collect()}
+    assert got == {900: (1, 1.0), 902: (3, 1.0), 903: (4, 1.0)}
+    passes = decontam.decontaminate(make(docs), benchmark, block_words=2)
+    assert {r.doc_id for r in passes.where("contaminated").collect()} == {900, 902, 903}
+
+
+@pytest.mark.parametrize("edits", [0.0, 0.05, 0.1, 0.15, 0.2])
+def test_edited_copies_are_recalled(make, spark, edits):
+    """Copies with a share of their words replaced: all are found up to a tenth, and nearly all beyond."""
+    r = random.Random(int(100 * edits))
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8)))
+    items = [[word() for _ in range(r.randint(20, 50))] for _ in range(40)]
+    docs = [(i, " ".join([word() for _ in range(30)] + [w if r.random() >= edits else word() for w in items[i % 40]] + [word() for _ in range(30)])) for i in range(120)]
+    docs += [(1000 + i, " ".join(word() for _ in range(90))) for i in range(60)]
+    benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    found = {x.doc_id: x.best_item for x in decontam.decontaminate(make(docs), benchmark).where("contaminated").collect()}
+    assert max(found, default=0) < 1000 and all(found[d] == d % 40 for d in found)
+    assert len(found) / 120 >= (1.0 if edits <= 0.1 else 0.95)
+
+
+CLASHES = ["mix_rate", "mix_source", "mix_cdf", "mix_u", "mix_copies", "MIX_FIRST", "stage_key", "stage_hash", "stage_gone", "stage_parts", "row", "th", "k"]
+
+
+def test_stages_keep_columns_of_clashing_names(spark, tmp_path):
+    spark.createDataFrame([(1, "some test item of words that nobody has")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    texts = ["a first text that stands alone here", "second line\nsecond line\nand the rest of this one", None, "", "another one that is quite different from these"]
+    docs = [(i if i != 4 else None, t, "en", None if i == 1 else "s", 5, *[f"{c}{i}" for c in CLASHES]) for i, t in enumerate(texts)] * 2
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHES))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, frame, str(tmp_path))
+        rows = out.collect()
+        assert out.columns[: len(frame.columns)] == frame.columns, name
+        assert rows and all(r[c] == f"{c}{r.doc_id if r.doc_id is not None else 4}" for r in rows for c in CLASHES), name
+        assert stage(spark, frame.where("false"), str(tmp_path)).count() == 0, name
+    assert [len(stage(spark, frame, str(tmp_path)).collect()) for _, stage in corpus_pipeline.STAGES[2:4]] == [5, 10]
+
+
+def test_near_stage_keeps_the_smallest_of_rows_that_repeat(spark):
+    rows = [(1, "the same text", s) for s in "zyx"]
+    once = {tuple(corpus_pipeline.dedup_near(spark, spark.createDataFrame(x, "doc_id long, text string, extra string"), "").first()) for x in (rows, rows[::-1], rows[1:] + rows[:1])}
+    assert len(once) == 1
+
+
+def test_large_rates_of_mixing(spark):
+    """Tables of rates above 1,024 against sums of logarithms, and their size."""
+    import time
+
+    for rate in (1025.0, 5000.5, 1e6):
+        began = time.time()
+        first, cdf = spark.range(1).select(mixing.table_start(F.lit(rate)).alias("s"), mixing.poisson_table(F.lit(rate)).alias("c")).first()
+        took = time.time() - began
+        k = np.arange(first, first + len(cdf))
+        log = -rate + k * math.log(rate) - np.array([math.lgamma(x + 1) for x in k.tolist()])
+        assert np.abs(np.cumsum(np.exp(log)) - cdf).max() < 1e-7 and cdf[-1] > 1 - 1e-7
+        assert len(cdf) < 25 * math.sqrt(rate) + 60 and took < 20
+    docs = [(0, "x", "tiny")] + [(i, "y" * 4000, "big") for i in range(1, 1501)]
+    out = mixing.poisson_mix(spark.createDataFrame(docs, "doc_id long, text string, source string")).groupBy("source").count().collect()
+    assert {r.source: r["count"] for r in out}["tiny"] > 1000
+
+
+def test_owners_that_are_null(make, spark):
+    """No owner and an owner of no name are two owners."""
+    value = "password = 'Abcdef1234567890xyz'"
+    docs = spark.createDataFrame([(1, value, None), (2, value, "")], "doc_id long, text string, source string")
+    assert {s.owners for r in secrets.secret_scan(docs).collect() for s in r.found} == {2}
+
+
+def test_opaque_tokens_against_brute_force():
+    r = random.Random(8)
+    for _ in range(60):
+        parts = [r.choice(["AKIA" + "ABCD1234" * 3, "token: " + "x1Y2" * 5, "0123456789abcdef" * 2, "Zx9" * 8 + "q", "word", "Q7" * 12 + "/" + "a1" * 4]) for _ in range(r.randint(1, 14))]
+        text = r.choice([" ", "=", "/", ""]).join(parts)
+        base = secrets.base_spans(text)
+        want = [(m.start(), 3, m.end(), m[0]) for m in secrets.OPAQUE.finditer(text) if secrets.looks_live(m[0]) and not any(s < m.end() and m.start() < e for s, _, e, _ in base)]
+        assert secrets.opaque_spans(text, base) == want
+
+
+def test_network_against_a_scalar_one():
+    """Pooled probabilities of whole documents, a unit and a byte at a time."""
+    net = langid.ByteGRU(3, hidden=4, seed=9)
+    soft = lambda x: x / (1 + abs(x))
+
+    def states(symbols, d):
+        E, U, V = (net.p[f"{x}{d}"].astype(float) for x in "EUV")
+        h, out = [0.0] * 4, []
+        for c in symbols:
+            gate = [0.5 + 0.5 * soft(E[i][c] + sum(U[i][j] * h[j] for j in range(4))) for i in range(8)]
+            new = [soft(E[8 + i][c] + sum(V[i][j] * gate[4 + j] * h[j] for j in range(4))) for i in range(4)]
+            h = [h[i] + gate[i] * (new[i] - h[i]) for i in range(4)]
+            out.append(h)
+        return out
+
+    texts = [b"Ab", b"", "é zwölf".encode() * 9, b"some longer text, " * 31]
+    raw, offs = textkit.utf8(pa.array(texts, pa.binary()))
+    got, marks = langid.pooled(net, raw, offs)
+    for r, text in enumerate(texts):
+        symbols = [c + 32 if 65 <= c <= 90 else c for c in text]
+        total = np.zeros(3)
+        for a in range(0, len(symbols), langid.CHUNK):
+            low, high = max(0, a - langid.CONTEXT), min(len(symbols), a + langid.CHUNK + langid.CONTEXT)
+            f, b = states(symbols[low:high], "f"), states(symbols[low:high][::-1], "b")[::-1]
+            for i in range(a, min(a + langid.CHUNK, len(symbols))):
+                score = [net.p["b"][c][0] + sum(net.p["W"][c][j] * f[i - low][j] + net.p["W"][c][4 + j] * b[i - low][j] for j in range(4)) for c in range(3)]
+                e = np.exp(np.array(score) - max(score))
+                total += e / e.sum()
+        assert np.abs(got[r] - total / max(len(text), 1)).max() < 1e-5 and marks[r].sum() == len(text)
+
+
+def test_every_language_is_a_class(spark):
+    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} " * 20, f"l{i}") for i in range(300)]
+    _, languages = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows_per_language=1)
+    assert len(languages) == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(300))
+
+
+def test_additive_scores_against_a_plain_loop(spark, tmp_path):
+    """Every score of the query is the logistic of table entries found bin by bin, of features counted in plain Python."""
+    texts = ["Some plain TEXT, with words; 12 of them!\nand more", "", "x", "the the the $$ | | a?", "ñandú é 中文 " * 5]
+    raw, offs = textkit.utf8(pa.array(texts))
+    x = quality.features(raw, offs)
+    for t, row in zip(texts, x):
+        named = dict(zip(quality.FEATURES, row.tolist()))
+        data, words = t.encode(), t.encode().split()
+        assert abs(named["distinct_words"] - (len(set(words)) / len(words) if words else 0)) < 1e-5
+        assert abs(named["longest_word"] - max(map(len, words), default=0)) < 1e-5 or named["longest_word"] == pytest.approx(math.log1p(max(map(len, words), default=0)), abs=1e-4)
+        assert abs(named["non_ascii_share"] - sum(b >= 128 for b in data) / max(len(data), 1)) < 1e-5
+    rng = np.random.default_rng(3)
+    feats = rng.normal(size=(400, 4)).round(1).astype(np.float32)
+    y = ((feats[:, 0] > 0) ^ (feats[:, 1] > 0.5)).astype(float)
+    model = quality.fit(feats, y, rounds=20, pairs=2, pair_rounds=10)
+    for row, got in zip(feats, model.score(feats)):
+        margin = model.intercept
+        for edges, table, v in zip(model.edges, model.tables, row):
+            margin += table[sum(1 for e in edges if e < v)]
+        for (i, j), grid in zip(model.pairs, model.grids):
+            margin += grid[sum(1 for e in model.coarse[i] if e < row[i])][sum(1 for e in model.coarse[j] if e < row[j])]
+        assert abs(got - 1 / (1 + math.exp(-margin))) < 1e-9
+    assert (0, 1) in model.pairs
