@@ -37,55 +37,53 @@ class WaveletMatrix:
         return self._walk(symbol, i) - self.base[symbol]
 
 
-def prefix_ranks(text: np.ndarray, *lengths: int) -> dict[int, np.ndarray]:
-    """Dense ranks of all suffixes by their first 2, 4, 8, ... symbols, for the powers of two named, by prefix doubling."""
-    out, rank, h = {}, text.astype(np.int64), 1
-    while True:
-        if h in lengths:
-            out[h] = rank
-        if h >= max(lengths):
-            return out
-        rank = combine(rank, rank, h)
-        h *= 2
-
-
-def combine(head: np.ndarray, tail: np.ndarray, shift: int) -> np.ndarray:
-    """Dense ranks by ``head`` at a position, then ``tail`` ``shift`` positions further; beyond the end is smallest."""
-    later = np.zeros(len(tail), np.int64)
-    if shift < len(tail):
-        later[: len(tail) - shift] = tail[shift:] + 1
-    key = head * (int(tail.max()) + 2) + later
-    order = np.argsort(key)
-    rank = np.empty(len(key), np.int64)
-    ordered = key[order]
-    rank[order] = np.cumsum(np.concatenate([[False], ordered[1:] != ordered[:-1]]))
-    return rank
+def prefix_ranks(text: np.ndarray) -> list[np.ndarray]:
+    """Dense ranks of all suffixes by their first 1, 2, 4, 8, 16 and 32 symbols, by prefix doubling; beyond the end is smallest."""
+    out = [text.astype(np.int64)]
+    for shift in (1, 2, 4, 8, 16):
+        rank = out[-1]
+        later = np.zeros(len(rank), np.int64)
+        if shift < len(rank):
+            later[: len(rank) - shift] = rank[shift:] + 1
+        key = rank * (int(rank.max(initial=0)) + 2) + later
+        order = np.argsort(key)
+        ordered = key[order]
+        now = np.empty(len(key), np.int64)
+        now[order] = np.cumsum(np.concatenate([[False], ordered[1:] != ordered[:-1]])[: len(key)])
+        out.append(now)
+    return out
+
+
+def common_prefixes(ranks: list[np.ndarray], order: np.ndarray) -> np.ndarray:
+    """Symbols, up to 31, that each suffix in ``order`` shares with the one before it."""
+    n = len(order)
+    a, b = order[:-1], order[1:]
+    shared = np.zeros(max(n - 1, 0), np.int64)
+    for power in range(4, -1, -1):
+        i, j = a + shared, b + shared
+        inside = (i < n) & (j < n)
+        same = inside & (ranks[power][np.minimum(i, n - 1)] == ranks[power][np.minimum(j, n - 1)])
+        shared += same << power
+    return np.concatenate([np.zeros(min(n, 1), np.int64), shared]).astype(np.uint8)
 
 
 class FMIndex:
-    """FM-index of sequences joined by the separator 0, for patterns of up to ``depth`` symbols.
+    """FM-index of sequences joined by the separator 0, for matches of up to ``depth`` symbols.
 
-    Suffixes are sorted by their first 32 symbols, which backward search over at most 31 needs.
-    Matching statistics are cut at ``depth``: after a search step to the left, the interval is widened
-    to that of the first ``depth`` symbols (the parent in the suffix tree), so a step costs the same
-    wherever it starts.
+    What stays is the Burrows-Wheeler transform in a wavelet matrix, the symbol counts, and where the
+    suffixes' first ``depth`` symbols change; text and ranks are dropped.  Suffixes are sorted by their
+    first 32 symbols, which backward search over at most 31 needs.
     """
 
     def __init__(self, text: np.ndarray, sigma: int, depth: int):
         if not 1 <= depth <= 30:
             raise ValueError("depth must be between 1 and 30")
-        n, self.depth, self.text = len(text), depth, text
-        ranks = prefix_ranks(text, 1, 2, 4, 8, 16, 32)
-        order = np.argsort(ranks[32] * n + np.arange(n))
-        at_depth, done = None, 0
-        for power in (16, 8, 4, 2, 1):
-            if depth & power:
-                at_depth = ranks[power] if at_depth is None else combine(at_depth, ranks[power], done)
-                done += power
-        edges = at_depth[order]
-        starts = np.flatnonzero(np.concatenate([[True], edges[1:] != edges[:-1]]))
-        self.group = np.cumsum(np.concatenate([[False], edges[1:] != edges[:-1]]))
-        self.low, self.high = starts, np.concatenate([starts[1:], [n]])
+        n, self.depth = len(text), depth
+        ranks = prefix_ranks(text)
+        order = np.argsort(ranks[-1] * n + np.arange(n))
+        new = common_prefixes(ranks, order) < depth
+        self.starts = np.append(np.flatnonzero(new), n).astype(np.int32)
+        self.group = (np.cumsum(new) - 1).astype(np.int32)
         self.bwt = WaveletMatrix(text[order - 1], sigma)
         self.count = np.zeros(sigma + 1, np.int64)
         np.cumsum(np.bincount(text, minlength=sigma), out=self.count[1:])
@@ -98,34 +96,46 @@ class FMIndex:
         at = self.count[symbol]
         return at + ranks[:m], at + ranks[m:]
 
-    def find(self, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Intervals of the ``depth`` symbols of the text that end at each position ``last``."""
-        symbol = self.text[last]
-        low, high = self.count[symbol], self.count[symbol + 1]
-        for k in range(1, self.depth):
-            low, high = self.step(self.text[last - k], low, high)
+    def find(self, stream: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Intervals of stream[start : start + length] for each pair; that of no symbols is everything."""
+        low, high = np.zeros(len(start), np.int64), np.full(len(start), self.n)
+        for k in range(int(length.max(initial=0)) - 1, -1, -1):
+            live = np.flatnonzero((length > k) & (low < high))
+            low[live], high[live] = self.step(stream[start[live] + k], low[live], high[live])
         return low, high
 
-    def matching_groups(self, start: np.ndarray, windows: np.ndarray) -> np.ndarray:
-        """For sequences that begin at ``start`` in the text and have so many windows of ``depth`` symbols: the group of equal windows that each one, in order, belongs to.
+    def matching_statistics(self, stream: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each position of some sequences, how long a prefix of the rest of its sequence occurs in the index, up to ``depth``, and its interval.
 
-        Each sequence is streamed from right to left.  As the index holds what is streamed, a match
-        never gets shorter than ``depth``; an empty interval would be a fault of the index.
+        Sequence s is stream[first[s] : first[s + 1]]; symbols that the index does not know are -1.  All
+        sequences are streamed together from right to left: a match grows by a step of backward search;
+        one longer than ``depth`` is cut to it, which widens its interval; one that cannot grow shrinks to
+        the longest prefix that occurs, found by halving.
         """
-        first = np.cumsum(windows) - windows
-        out = np.empty(int(windows.sum()), np.int64)
-        low, high = self.find(start + windows - 1 + self.depth - 1)
-        now = self.group[low]
-        out[first + windows - 1] = now
-        live, back = np.arange(len(start)), 1
-        while True:
-            more = windows[live] > back
-            live, now = live[more], now[more]
-            if not len(live):
-                return out
-            low, high = self.step(self.text[start[live] + windows[live] - 1 - back], self.low[now], self.high[now])
-            if (low >= high).any():
-                raise AssertionError("a streamed sequence is missing from its own index")
-            now = self.group[low]
-            out[first[live] + windows[live] - 1 - back] = now
-            back += 1
+        total = len(stream)
+        lengths, lows, highs = np.zeros(total, np.uint8), np.zeros(total, np.int32), np.full(total, self.n, np.int32)
+        live = np.flatnonzero(np.diff(first))
+        at = first[1:][live] - 1
+        low, high, length = np.zeros(len(live), np.int64), np.full(len(live), self.n), np.zeros(len(live), np.int64)
+        while len(live):
+            symbol = stream[at]
+            known = symbol >= 0
+            new_low, new_high = self.step(np.maximum(symbol, 0), low, high)
+            length = length + 1
+            lost = np.flatnonzero(~known | (new_low >= new_high))
+            if len(lost):
+                shortest, longest = np.zeros(len(lost), np.int64), np.where(known[lost], length[lost] - 1, 0)
+                while (shortest < longest).any():
+                    half = (shortest + longest + 1) // 2
+                    a, b = self.find(stream, at[lost], half)
+                    shortest, longest = np.where(a < b, half, shortest), np.where(a < b, longest, half - 1)
+                length[lost] = shortest
+                new_low[lost], new_high[lost] = self.find(stream, at[lost], shortest)
+            low, high = new_low, new_high
+            cut = np.flatnonzero(length >= self.depth)
+            group = self.group[low[cut]]
+            low[cut], high[cut], length[cut] = self.starts[group], self.starts[group + 1], self.depth
+            lengths[at], lows[at], highs[at] = length, low, high
+            more = at > first[:-1][live]
+            live, at, low, high, length = live[more], at[more] - 1, low[more], high[more], length[more]
+        return lengths, lows, highs

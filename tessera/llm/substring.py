@@ -13,9 +13,9 @@ with one occurrence of a minimiser, *segments*, are the unit of work:
    before the shuffle, keeping their first place, so copies of a text cost one segment.  Segments of
    very frequent minimisers are cut into single windows owned by their own hash, which spreads what
    surrounds a widely shared passage over all shards.
-3. A shard indexes its segments (Burrows-Wheeler transform in a wavelet matrix) and streams them
-   through backward search, whose matching statistics, cut at the window length, give the interval
-   of equal windows; the earliest of an interval stays.
+3. A shard indexes its segments (Burrows-Wheeler transform in a wavelet matrix) and streams the
+   documents' segments through backward search, whose matching statistics, cut at the window length,
+   give the interval of each window; of the windows of an interval the earliest stays.
 4. A segment that is not the first of its kind is repeated as a whole.
 
 Defined cases: a null text has no words; a null doc_id ranks behind every other; rows that repeat
@@ -179,9 +179,14 @@ def _search(rows: pa.Table, window: int) -> pa.RecordBatch:
     row = words.row_of()
     text[np.arange(len(ids)) + row] = ids + 1
     index = FMIndex(text, len(names) + 1, window)
-    groups = index.matching_groups(words.first[:-1] + np.arange(n), count)
+    del text
+    lengths, lows, _ = index.matching_statistics(ids + 1, words.first)
     seg = np.repeat(np.arange(n), count)
-    offset = np.arange(len(groups)) - np.repeat(np.cumsum(count) - count, count)
+    offset = np.arange(len(seg)) - np.repeat(np.cumsum(count) - count, count)
+    places = words.first[:-1][seg] + offset
+    if (lengths[places] < window).any():
+        raise AssertionError("a window of an indexed segment was not found")
+    groups = np.unique(lows[places], return_inverse=True)[1]  # an interval of whole windows is known by where it begins
     many = np.flatnonzero(np.bincount(groups)[groups] > 1)
     by = many[np.lexsort(((start[seg] + offset)[many], th[seg[many]], k[seg[many]], groups[many]))]
     again = np.zeros(len(groups), bool)
@@ -236,10 +241,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         raise ValueError(f"window must be between {GRAM} and 30 words")
     rows = keyed(docs, id_col, text_col)
     cut = scratch.table(rows.mapInArrow(lambda it: _cut(it, window, GRAM), "k long, th long, low array<long>, start array<int>, windows array<int>"), "segments")
+    # Written out, so that adaptive execution can split the join of a frequent minimiser.
     counts = cut.select(F.explode("low").alias("low")).groupBy("low").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("low", (F.col("n") > hot).alias("hot"))
+    counts = scratch.table(counts, "minimisers", release=True)
     each = cut.select("k", "th", F.explode(F.arrays_zip("low", "start", "windows")).alias("s")).select("k", "th", "s.*")
     repeated = each.join(counts, "low")
-    marked = scratch.table(repeated.groupBy("k", "th").agg(F.collect_list(F.struct("start", "windows", "low", "hot")).alias("marks")), "repeated")
+    marked = scratch.table(repeated.groupBy("k", "th").agg(F.collect_list(F.struct("start", "windows", "low", "hot")).alias("marks")), "repeated", release=True)
 
     texts = rows.withColumn("text", F.encode("text", "UTF-8"))
     pieces = texts.join(marked, ["k", "th"]).mapInArrow(lambda it: _pieces(it, window), "route long, piece binary, k long, th long, start int, windows int")

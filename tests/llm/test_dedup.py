@@ -69,18 +69,30 @@ def test_substring_odd_rows(make, spark):
     assert substring.substring_dedup(make(ODD).limit(0)).count() == 0
 
 
-def test_fm_index_finds_equal_windows():
+def test_matching_statistics_against_brute_force():
     rng = np.random.default_rng(5)
-    seqs = [rng.integers(1, 4, size=rng.integers(6, 20)) for _ in range(30)]
+    depth = 6
+    seqs = [rng.integers(1, 4, size=rng.integers(1, 20)) for _ in range(30)]
     text = np.concatenate([np.append(s, 0) for s in seqs])
-    index = fmindex.FMIndex(text, 4, 6)
-    start = np.cumsum([0, *[len(s) + 1 for s in seqs[:-1]]])
-    windows = np.array([len(s) - 5 for s in seqs])
-    groups = index.matching_groups(start, windows)
-    keys = [tuple(s[i : i + 6]) for s in seqs for i in range(len(s) - 5)]
-    assert len({(k, g) for k, g in zip(keys, groups.tolist())}) == len(set(keys)) == len(set(groups.tolist()))
-    low, high = index.find(start + 5)
-    assert all(h - lo == keys.count(tuple(s[:6])) for s, lo, h in zip(seqs, low, high))
+    index = fmindex.FMIndex(text, 4, depth)
+    held = [tuple(s.tolist()) for s in seqs]
+    occurs = {p: sum(h[i : i + len(p)] == p for h in held for i in range(len(h))) for h in held for i in range(len(h)) for j in range(i + 1, min(len(h), i + depth) + 1) for p in [h[i:j]]}
+    foreign = [rng.integers(-1, 4, size=rng.integers(0, 25)) for _ in range(40)]
+    foreign = [np.where(s == 0, 1, s) for s in foreign]  # separators are no symbols of a stream
+    stream = [*seqs, *foreign]
+    first = np.concatenate([[0], np.cumsum([len(s) for s in stream])])
+    lengths, lows, highs = index.matching_statistics(np.concatenate(stream), first)
+    shrinks, group = 0, {}
+    for s, a in zip(stream, first):
+        s = tuple(s.tolist())
+        for i in range(len(s)):
+            want = max((k for k in range(1, min(depth, len(s) - i) + 1) if s[i : i + k] in occurs), default=0)
+            assert lengths[a + i] == want
+            assert highs[a + i] - lows[a + i] == (occurs[s[i : i + want]] if want else len(text))
+            shrinks += 0 < want < min(depth, len(s) - i)
+            if want == depth:
+                assert group.setdefault(s[i : i + depth], lows[a + i]) == lows[a + i]
+    assert shrinks > 20 and len(set(group.values())) == len(group) > 50
     values = rng.integers(0, 9, 500)
     matrix = fmindex.WaveletMatrix(values, 9)
     at, symbol = rng.integers(0, 501, 200), rng.integers(0, 9, 200)
