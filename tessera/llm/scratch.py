@@ -7,6 +7,7 @@ stay until ``clear`` or the end of a ``scope``.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -73,11 +74,12 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 def table(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     """The same without the path.
 
-    With ``release``, shuffle files that nothing needs any more go now: Spark removes them when the
-    driver's JVM collects what refers to them, which by itself may take half an hour.
+    With ``release``, shuffle files that nothing needs any more go now: Spark removes them when neither
+    Python nor the driver's JVM refers to them, which by itself may take half an hour to be noticed.
     """
     out = written(df, name)[0]
     if release:
+        gc.collect()
         df.sparkSession.sparkContext._jvm.System.gc()
     return out
 
