@@ -96,10 +96,11 @@ def calinski_harabasz(df: DataFrame, cluster: str, vector: str) -> DataFrame:
 
 def davies_bouldin(df: DataFrame, cluster: str, vector: str) -> DataFrame:
     """Mean over clusters of the worst ratio of spreads to centroid distance."""
-    rows = _dims(df.withColumn("_row", F.monotonically_increasing_id()).select("_row", cluster, vector), cluster, vector)
-    centres = rows.groupBy("cluster", "d").agg(F.avg("x").alias("c"))
-    long = df.withColumn("_row", F.monotonically_increasing_id()).select("_row", F.col(cluster).alias("cluster"), F.posexplode(vector).alias("d", "x"))
-    spread = long.join(centres, ["cluster", "d"]).groupBy("cluster", "_row").agg(F.sqrt(F.sum(F.pow(F.col("x") - F.col("c"), 2))).alias("r")).groupBy("cluster").agg(F.avg("r").alias("s"))
+    centres = _dims(df, cluster, vector).groupBy("cluster", "d").agg(F.avg("x").alias("c"))
+    # One row for each cluster, so distances to centres are sums inside the row.
+    packed = centres.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "c"))), lambda p: p["c"]).alias("centre"))
+    square = F.aggregate(F.zip_with(F.col("v"), F.col("centre"), lambda x, c: (x - c) * (x - c)), F.lit(0.0), lambda a, x: a + x)
+    spread = df.select(F.col(cluster).alias("cluster"), F.col(vector).cast("array<double>").alias("v")).join(packed, "cluster").groupBy("cluster").agg(F.avg(F.sqrt(square)).alias("s"))
     other = centres.select(F.col("cluster").alias("other"), "d", F.col("c").alias("o"))
     apart = centres.join(other, "d").where("cluster <> other").groupBy("cluster", "other").agg(F.sqrt(F.sum(F.pow(F.col("c") - F.col("o"), 2))).alias("m"))
     worst = apart.join(spread, "cluster").join(spread.select(F.col("cluster").alias("other"), F.col("s").alias("so")), "other").groupBy("cluster").agg(F.max((F.col("s") + F.col("so")) / F.col("m")).alias("w"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import exprs
+from tessera.operators.running import running
 from tessera.plans.specs import MetricSpec
 
 QUANTILES = {"p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
@@ -58,18 +59,19 @@ def readiness(long: DataFrame, main: str, sources: Sequence[str], metrics: Seque
 def pairwise_distances(long: DataFrame, main: str, least: int = 20) -> DataFrame:
     """Main source against every other: counts, medians, Kolmogorov-Smirnov statistic and p-value, Wasserstein-1.
 
-    Equal values are counted first; the running sums are partitioned by metric and reference.
+    Equal values are counted first, and running sums need no task that sees a whole pair.  The area
+    between the distributions is summed at their steps: a value times the fall of the gap there.
     """
     counts = long.groupBy("metric", "source", "value").agg(F.count(F.lit(1)).alias("c"))
     refs = counts.where(F.col("source") != main).select("metric", F.col("source").alias("reference"), "value", F.lit(0).cast("long").alias("a"), F.col("c").alias("b"))
     pairs = refs.select("metric", "reference").distinct()
     mains = counts.where(F.col("source") == main).select("metric", "value", F.col("c").alias("a"), F.lit(0).cast("long").alias("b")).join(pairs, "metric").select("metric", "reference", "value", "a", "b")
     points = refs.unionByName(mains).groupBy("metric", "reference", "value").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    w = Window.partitionBy("metric", "reference").orderBy("value")
-    whole = Window.partitionBy("metric", "reference")
-    cdf = points.select("metric", "reference", "value", (F.sum("a").over(w) / F.sum("a").over(whole)).alias("fa"), (F.sum("b").over(w) / F.sum("b").over(whole)).alias("fb"), F.lead("value").over(w).alias("next"), F.sum("a").over(whole).alias("na"), F.sum("b").over(whole).alias("nb"))
-    gap = F.abs(F.col("fa") - F.col("fb"))
-    out = cdf.where((F.col("na") >= least) & (F.col("nb") >= least)).groupBy("metric", "reference").agg(F.max("na").alias("n_main"), F.max("nb").alias("n_reference"), F.round(F.max(gap), 9).alias("ks"), F.round(F.sum(gap * (F.col("next") - F.col("value"))), 6).alias("wasserstein"))
+    summed = running(points, [F.col("value")], {"ra": "a", "rb": "b"}, ["metric", "reference"])
+    whole = summed.groupBy("metric", "reference").agg(F.max("ra").alias("na"), F.max("rb").alias("nb")).where((F.col("na") >= least) & (F.col("nb") >= least))
+    gap = lambda a, b: F.abs(a / F.col("na") - b / F.col("nb"))
+    at, left = gap(F.col("ra"), F.col("rb")), gap(F.col("ra") - F.col("a"), F.col("rb") - F.col("b"))
+    out = summed.join(whole, ["metric", "reference"]).groupBy("metric", "reference").agg(F.max("na").alias("n_main"), F.max("nb").alias("n_reference"), F.round(F.max(at), 9).alias("ks"), F.round(F.sum(F.col("value") * (left - at)), 6).alias("wasserstein"))
     medians = long.groupBy("metric", "source").agg(F.percentile("value", 0.5).alias("m"))
     out = out.join(medians.where(F.col("source") == main).select("metric", F.col("m").alias("median_main")), "metric").join(medians.select("metric", F.col("source").alias("reference"), F.col("m").alias("median_reference")), ["metric", "reference"])
     return out.withColumns({"median_difference": F.round(F.col("median_main") - F.col("median_reference"), 9), "median_ratio": F.round(exprs.median_ratio("median_main", "median_reference"), 9)})

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.running import running
+
 
 def confusion(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     """All four cells, empty ones as 0."""
@@ -29,12 +31,11 @@ def classification_metrics(df: DataFrame, actual: str, predicted: str, keys: Seq
 
 
 def _by_score(df: DataFrame, actual: str, score: str) -> DataFrame:
-    """Positives and negatives at each distinct score, with what lies above.  Scores are counted first, so the window runs over distinct scores only."""
+    """Positives and negatives at each distinct score, with what lies above, and the totals; scores are counted first."""
     y = F.col(actual).cast("long")
     counts = df.where(F.col(actual).isNotNull() & F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.sum(y).alias("p"), F.sum(1 - y).alias("n"))
-    above = Window.partitionBy().orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy()
-    return counts.select("s", "p", "n", F.sum("p").over(above).alias("tp"), F.sum("n").over(above).alias("fp"), F.sum("p").over(every).alias("all_p"), F.sum("n").over(every).alias("all_n"))
+    above = running(counts, [F.desc("s")], {"tp": "p", "fp": "n"})
+    return above.crossJoin(F.broadcast(above.agg(F.max("tp").alias("all_p"), F.max("fp").alias("all_n"))))  # one row of totals
 
 
 def roc_auc(df: DataFrame, actual: str, score: str) -> DataFrame:

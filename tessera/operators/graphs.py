@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import exprs
 from tessera.functions.names import available
+from tessera.operators.staging import folder
 from tessera.plans.specs import ContextSpec
 
 
@@ -19,10 +20,19 @@ def _contexts(df: DataFrame, specs: Sequence[ContextSpec], view: str) -> Column:
     return F.array(*[F.struct(F.lit(s.family).alias("family"), exprs.clean(s.column).alias("value"), exprs.node_id(view, s.family, exprs.clean(s.column)).alias("node_id")) for s in have])
 
 
+def _counted(df: DataFrame, specs: Sequence[ContextSpec], outcome: str) -> tuple[DataFrame, list[ContextSpec]]:
+    """Rows and positives of each combination of context values, before any id is made, and the specifications of its columns."""
+    have = [s for s in specs if s.column in df.columns]
+    renamed = [ContextSpec(s.family, f"_c{i}") for i, s in enumerate(have)]
+    rows = df.select(F.col(outcome).cast("long").alias("_y"), *[exprs.clean(s.column).alias(r.column) for s, r in zip(have, renamed)])
+    return rows.groupBy(*[r.column for r in renamed]).agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("k")), renamed
+
+
 def context_nodes(df: DataFrame, specs: Sequence[ContextSpec], outcome: str, view: str = "context") -> DataFrame:
     """Distinct (family, value) nodes with rows, positives and rate, in one pass."""
-    long = df.select(F.col(outcome).cast("long").alias("y"), F.inline(_contexts(df, specs, view)))
-    return long.groupBy("node_id", "family", "value").agg(F.count(F.lit(1)).alias("row_count"), F.sum("y").alias("outcome_count"), (F.sum("y") / F.count(F.lit(1))).alias("outcome_rate"))
+    counted, renamed = _counted(df, specs, outcome)
+    long = counted.select("n", "k", F.inline(_contexts(counted, renamed, view)))
+    return long.groupBy("node_id", "family", "value").agg(F.sum("n").alias("row_count"), F.sum("k").alias("outcome_count"), (F.sum("k") / F.sum("n")).alias("outcome_rate"))
 
 
 def membership_edges(df: DataFrame, node: str, session: str, view: str = "warehouse") -> DataFrame:
@@ -39,11 +49,11 @@ def context_edges(df: DataFrame, node: str, specs: Sequence[ContextSpec], view:
 def cooccurrence(df: DataFrame, specs: Sequence[ContextSpec], outcome: str, view: str = "context") -> DataFrame:
     """Edges between context values that occur together, with support, rate, baseline and lift.
 
-    Rows with equal contexts are counted once, then pairs are made inside the row; values are ordered
-    by family, so a pair has one orientation.
+    Rows with equal contexts are counted once, then ids and pairs are made inside the row; values are
+    ordered by family, so a pair has one orientation.
     """
-    entries = F.array_sort(_contexts(df, specs, view))
-    rows = df.select(entries.alias("e"), F.col(outcome).cast("long").alias("y")).groupBy("e").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("k"))
+    counted, renamed = _counted(df, specs, outcome)
+    rows = counted.select(F.array_sort(_contexts(counted, renamed, view)).alias("e"), "n", "k")
     total = rows.agg(F.sum("n").alias("all_n"), F.sum("k").alias("all_k"))
     pairs = F.flatten(F.transform("e", lambda a, i: F.transform(F.slice("e", i + 2, F.size("e")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
     long = rows.select(F.explode(pairs).alias("p"), "n", "k").groupBy(F.col("p.a.node_id").alias("source"), F.col("p.b.node_id").alias("target")).agg(F.sum("n").alias("row_count"), F.sum("k").alias("outcome_count"))
@@ -148,9 +158,7 @@ def _cut(df: DataFrame) -> DataFrame:
     """Checkpoint into the shared folder; one of our own only where none is set."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        import tempfile
-
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+        context.setCheckpointDir(folder(df.sparkSession))
     return df.checkpoint()
 
 

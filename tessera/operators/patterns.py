@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import exprs
+from tessera.operators.staging import staged
 
 
 def transactions(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -38,10 +39,11 @@ def item_support(rows: DataFrame) -> DataFrame:
 
 def frequent_itemsets(rows: DataFrame, min_support: float = 0.05, max_length: int = 3) -> DataFrame:
     """Itemsets of up to max_length (1 to 3) items with at least ceil(min_support * n) transactions: itemset, size, n, support."""
-    total = rows.agg(F.count(F.lit(1)).alias("transactions"))
-    distinct = rows.groupBy("items").agg(F.count(F.lit(1)).alias("copies"))
+    # Every level needs these few rows, so they are made once.
+    distinct = staged(rows.groupBy("items").agg(F.count(F.lit(1)).alias("copies")))
+    total = distinct.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("transactions"))
     need = F.ceil(F.round(F.lit(min_support) * F.col("transactions"), 6))
-    single = rows.select(F.explode("items").alias("i")).groupBy("i").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(total)).where(F.col("n") >= need)
+    single = distinct.select(F.explode("items").alias("i"), "copies").groupBy("i").agg(F.sum("copies").alias("n")).crossJoin(F.broadcast(total)).where(F.col("n") >= need)
     # At most 1 / min_support frequent items stand in one column of each family, so this set is small whatever the input.
     frequent = single.agg(F.array_sort(F.collect_set("i")).alias("frequent"))
     kept = distinct.crossJoin(F.broadcast(frequent)).select(F.array_sort(F.array_intersect("items", "frequent")).alias("s"), "copies")

@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.running import numbered
+
 
 def step_index(df: DataFrame, session: str, order: Sequence[str]) -> DataFrame:
     """Position in the session (from 1) and size of the session."""
@@ -75,6 +77,14 @@ def group_split(df: DataFrame, group: str, seed: int = 42, test_fraction: float
     return df.join(marked, group)
 
 
+def nested_split(df: DataFrame, group: str, seed: int = 42, test_fraction: float = 0.2, validation_fraction: float = 0.2) -> DataFrame:
+    """Adds part: test, and of the rest whole groups as validation by another seed (seed + 7), else train."""
+    outer = group_split(df.select(group).distinct(), group, seed, test_fraction)
+    inner = group_split(outer.where("NOT is_test").drop("is_test"), group, seed + 7, validation_fraction).withColumnRenamed("is_test", "_validation")
+    part = F.when(F.col("is_test"), "test").when(F.col("_validation"), "validation").otherwise("train")
+    return df.join(outer.join(inner, group, "left").select(group, part.alias("part")), group)
+
+
 def temporal_holdout(df: DataFrame, session: str, timestamp: str, test_fraction: float = 0.2) -> DataFrame:
     """Sessions by their first timestamp, the latest fraction (half-even rounding, at least one) as test.
 
@@ -105,9 +115,9 @@ def sample_rows(df: DataFrame, key: str, limit: int, seed: int = 42) -> DataFram
 def stratified_cap(df: DataFrame, label: str, key: str, limit: int, seed: int = 42) -> DataFrame:
     """At most about ``limit`` rows, each class in proportion: int(limit * class / all) of its first rows in hash order."""
     totals = df.groupBy(label).agg(F.count(F.lit(1)).alias("class_rows")).withColumn("all_rows", F.sum("class_rows").over(Window.partitionBy()))  # one row for each class
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(draw(seed, key), key))
     quota = F.when(F.col("all_rows") <= limit, F.col("class_rows")).otherwise(F.floor(F.lit(limit) * F.col("class_rows") / F.col("all_rows")))
-    return df.withColumn("_rank", rank).join(F.broadcast(totals), label).where(F.col("_rank") <= quota).drop("_rank", "class_rows", "all_rows")
+    ranked = numbered(df, [draw(seed, key), F.col(key)], "_rank", [label])
+    return ranked.join(F.broadcast(totals), label).where(F.col("_rank") <= quota).drop("_rank", "class_rows", "all_rows")
 
 
 def split_audit(edges: DataFrame, membership: DataFrame, node: str = "node") -> DataFrame:

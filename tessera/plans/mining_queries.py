@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import compare, graphs, patterns, sessions
+from tessera.operators import compare, graphs, patterns, sessions, staging
 from tessera.plans import bindings as b
 from tessera.plans.specs import MetricSpec
 from tessera.plans.warehouse_queries import RATE
@@ -103,7 +103,7 @@ rules AS (SELECT array_to_string(a, ';') AS antecedent, array_to_string(c, ';')
 
 def _rules(s, d):
     # Two supports of the same itemsets are joined with the splits; the table is small and would be computed three times over.
-    return patterns.association_rules(_sets(s, d).cache(), 0.3)
+    return patterns.association_rules(staging.staged(_sets(s, d)), 0.3)
 
 
 def _rule_columns(df):
@@ -223,29 +223,14 @@ _add(
     "neighbor_mean", lambda s, d: graphs.neighbour_mean(b.events(s, d).select(F.col("event_id").alias("node_id"), "value"), _steps(s, d), ["value"], 1).withColumn("value", F.round("value", 6)),
     f"{E}, t AS ({STEPS}), h AS (SELECT source AS a, target AS b FROM t UNION SELECT target, source FROM t UNION SELECT event_id, event_id FROM e) SELECT a AS node_id, round(avg(value), 6) AS value FROM h JOIN e ON e.event_id = h.b GROUP BY 1",
 )
-PAIRS_OF = f"{E} SELECT DISTINCT user_id, k FROM e WHERE k < 8"
-
-
-def _bipartite(s, d):
-    edges = b.events(s, d).where("k < 3 AND user_id % 3 = k").select(F.concat(F.lit("u"), "user_id").alias("source"), F.concat(F.lit("k"), "k").alias("target")).distinct()
-    return edges.select(F.explode(F.array("source", "target")).alias("node_id")).distinct(), edges
-
-
-_add(
-    "connected_components", lambda s, d: graphs.components(*_bipartite(s, d)),
-    f"""WITH RECURSIVE {b.EVENTS_SQL}, g AS (SELECT DISTINCT 'u' || user_id AS a, 'k' || k AS b FROM e WHERE k < 3 AND user_id % 3 = k), h AS (SELECT a, b FROM g UNION SELECT b, a FROM g),
-    r AS (SELECT a AS x, a AS y FROM h UNION SELECT r.x, h.b FROM r JOIN h ON r.y = h.a) SELECT x AS node_id, min(y) AS component FROM r GROUP BY 1""",
-)
-
-
 def _whole_bipartite(s, d):
     """Every user and every k as a node, every event that names both as a link."""
     ends = b.events(s, d).select(F.concat(F.lit("u"), "user_id").alias("source"), F.concat(F.lit("k"), "k").alias("target")).distinct()
     return ends.select(F.explode(F.array("source", "target")).alias("node_id")).dropna().distinct(), ends.dropna()
 
 
-# The SQL of connected_components keeps a slice of the events, as its closure is quadratic; this is the whole graph.
-_add("connected_components_all", lambda s, d: graphs.components(*_whole_bipartite(s, d)))
+# No SQL: the recursive closure of the whole graph is quadratic there.
+_add("connected_components", lambda s, d: graphs.components(*_whole_bipartite(s, d)))
 _add("label_propagation", lambda s, d: graphs.label_propagation(_co(s, d), "row_count"))
 
 # Streams (an extension): the batch side of the same functions

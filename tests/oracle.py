@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import numpy as np
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -18,7 +19,7 @@ def connect(sf_dir):
 
 
 def cell(v):
-    if v is None or (isinstance(v, (float, np.floating)) and math.isnan(v)):
+    if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, (float, np.floating)) and math.isnan(v)):
         return "null"
     if isinstance(v, (bool, np.bool_)):
         return str(bool(v))

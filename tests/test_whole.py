@@ -34,7 +34,7 @@ def test_connected_components_of_all_events(spark, tmp_path):
     spark.createDataFrame(events, "event_id long, user_id long, value double, event_type string, props string").write.parquet(str(tmp_path / "events.parquet"))
     nodes = {f"u{u}" for _, u, _ in rows if u is not None} | {f"k{k}" for _, _, k in rows if k is not None}
     want = brute_components(nodes, {(f"u{u}", f"k{k}") for _, u, k in rows if u is not None and k is not None})
-    got = [tuple(x) for x in catalog.queries()["connected_components_all"](spark, str(tmp_path)).collect()]
+    got = [tuple(x) for x in catalog.queries()["connected_components"](spark, str(tmp_path)).collect()]
     assert len(got) == len(nodes) and dict(got) == want
     assert len(set(want.values())) > 5
 
