@@ -96,3 +96,14 @@ def filter_audit(long: DataFrame, metrics: Sequence[MetricSpec]) -> DataFrame:
     named = long.sparkSession.createDataFrame(notes, "metric string, source string, only_context string")
     counts = long.groupBy("metric", "source").agg(F.count(F.lit(1)).alias("n"))
     return named.join(counts, ["metric", "source"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def audit_notes(long: DataFrame, distances: DataFrame, main: str) -> DataFrame:
+    """Notes on a comparison: main values, sources, comparisons made, and metrics that only one source holds."""
+    by_metric = long.groupBy("metric").agg(F.count_distinct("source").alias("sources"), F.count_if(F.col("source") == main).alias("main_values"))
+    notes = by_metric.select(F.inline(F.array(
+        F.struct(F.concat(F.lit("sources of "), "metric").alias("note"), F.col("sources").cast("long").alias("n"), F.when(F.col("sources") > 1, "ok").otherwise("review").alias("status")),
+        F.struct(F.concat(F.lit("values of main in "), "metric").alias("note"), F.col("main_values").cast("long").alias("n"), F.when(F.col("main_values") > 0, "ok").otherwise("review").alias("status")),
+    )))
+    made = distances.agg(F.lit("comparisons made").alias("note"), F.count(F.lit(1)).alias("n")).withColumn("status", F.when(F.col("n") > 0, "ok").otherwise("review"))
+    return notes.unionByName(made)

@@ -105,6 +105,13 @@ def representative_rules(rules: DataFrame, per_class: int = 3) -> DataFrame:
     return scored.withColumn("r", F.row_number().over(Window.partitionBy("predicted").orderBy(F.desc("rule_score"), "leaf"))).where(F.col("r") <= per_class)
 
 
+def rules_text(rules: DataFrame, title: str) -> DataFrame:
+    """A report of rules, line by line: a heading with totals, then each rule with its measures."""
+    head = rules.agg(F.count(F.lit(1)).alias("n"), F.sum("row_count").alias("rows")).select(F.lit(0).cast("long").alias("at"), F.format_string(f"# {title}: %d rules, %d rows", F.col("n"), F.col("rows")).alias("value"))
+    body = rules.select(F.col("leaf").cast("long").alias("at"), F.format_string("%d. IF %s THEN %d (rows %d, rate %.4f)", F.col("leaf"), F.col("rule"), F.col("predicted"), F.col("row_count"), F.col("outcome_rate")).alias("value"))
+    return head.unionByName(body).orderBy("at").select("value")
+
+
 def importances(model, names: Sequence[str], top: int = 40) -> list[tuple[str, float]]:
     """Largest feature importances of a tree model, or absolute coefficients of a linear one."""
     values = model.featureImportances if hasattr(model, "featureImportances") else model.coefficients

@@ -94,6 +94,12 @@ def association_rules(itemsets: DataFrame, min_confidence: float = 0.6) -> DataF
     )
 
 
+def merge_algorithms(rules: DataFrame, algorithm: str = "algorithm") -> DataFrame:
+    """One row for each rule that any algorithm found: the algorithms, sorted and joined by ;, and the best measures."""
+    measures = [c for c in ("support", "confidence", "lift") if c in rules.columns]
+    return rules.groupBy("antecedent", "consequent").agg(F.array_join(F.array_sort(F.collect_set(algorithm)), ";").alias("algorithms"), *[F.max(c).alias(c) for c in measures])
+
+
 def outcome_rules(rules: DataFrame, outcome: str, excluded_families: Sequence[str] = ()) -> DataFrame:
     """Rules whose only consequent is outcome=1 and whose antecedent holds neither the outcome nor a family that defines it."""
     barred = [outcome, *excluded_families]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import exprs
+from tessera.operators.running import numbered
 
 TRUE_WORDS, FALSE_WORDS = ("true", "1", "yes", "y"), ("false", "0", "no", "n")
 
@@ -76,3 +77,20 @@ def range_audit(df: DataFrame, ranges: dict[str, tuple[float, float]]) -> DataFr
     one = df.agg(*[F.count_if((F.col(c) < lo) | (F.col(c) > hi)).alias(c) for c, (lo, hi) in ranges.items()], *[F.count(c).alias(f"n_{c}") for c in ranges])
     rows = [F.struct(F.lit(c).alias("column_name"), F.lit(float(lo)).alias("low"), F.lit(float(hi)).alias("high"), F.col(f"n_{c}").alias("n"), F.col(c).alias("out_of_range"), F.when(F.col(c) == 0, "ok").otherwise("review").alias("status")) for c, (lo, hi) in ranges.items()]
     return one.select(F.inline(F.array(*rows)))
+
+
+def stable_ids(df: DataFrame, order: Sequence[str], prefix: str, width: int = 8) -> DataFrame:
+    """Adds source_row_number, dense from 1 in the given order, and measurement_id, the prefix and the padded number.
+
+    Rows that tie in the order get consecutive numbers.
+    """
+    out = numbered(df, [F.col(c) for c in order], "source_row_number")
+    return out.withColumn("measurement_id", F.concat(F.lit(f"{prefix}_"), F.lpad(F.col("source_row_number").cast("string"), width, "0")))
+
+
+def standardised(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Population z-scores of a profile's columns; 0 where a column is constant, null stays null."""
+    stats = df.agg(*[f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))])
+    rows = df.crossJoin(F.broadcast(stats))  # one row
+    score = lambda c: F.when(F.col(c).isNull(), None).when(F.col(f"_s_{c}") > 0, (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}")).otherwise(0.0)
+    return rows.select(*[c for c in df.columns if c not in columns], *[score(c).alias(c) for c in columns])

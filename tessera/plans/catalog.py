@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import mining_queries, model_queries, warehouse_queries
+from tessera.plans import assembly_queries, mining_queries, model_queries, warehouse_queries
 
-_MODULES = (warehouse_queries, mining_queries, model_queries)
+_MODULES = (warehouse_queries, mining_queries, model_queries, assembly_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

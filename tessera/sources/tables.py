@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,10 +35,42 @@ def write_table(df: DataFrame, path: str, kind: str = "parquet", mode: str = "ov
     return path
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def load_tables(spark: SparkSession, folder: str, names: Sequence[str]) -> dict[str, DataFrame]:
+    """The named Parquet tables of a folder; all that are missing are named in one FileNotFoundError."""
+    if missing := [n for n in names if not exists(spark, f"{folder}/{n}.parquet")]:
+        raise FileNotFoundError(f"{folder} lacks {', '.join(missing)}")
+    return {n: read_parquet(spark, f"{folder}/{n}.parquet") for n in names}
+
+
+def first_file(spark: SparkSession, folder: str, name: str) -> str | None:
+    """The first file of that name: in the folders directly below, then anywhere below; by path."""
+    bare = re.sub("^[a-z0-9+.-]+:", "", folder).strip("/")
+    depth = F.size(F.split(F.regexp_replace("path", "^([a-z0-9+.-]+:)?/*", ""), "/"))
+    found = inventory(spark, folder, name).orderBy((depth != len(bare.split("/")) + 2).cast("int"), "path").select("path").first()
+    return found[0] if found else None
+
+
+def simulator_files(spark: SparkSession, folder: str, outputs: Sequence[str]) -> DataFrame:
+    """CSV files below a folder that are not outputs of the pipeline itself; text files are listed as such and not parsed."""
+    files = inventory(spark, folder)
+    name = F.substring_index("path", "/", -1)
+    return files.where(F.col("kind").isin("csv", "txt") & ~name.isin(*outputs)).withColumn("parsed", F.col("kind") == "csv")
+
+
+def write_text(lines: DataFrame, path: str) -> str:
+    """One text column, in order, as a single text file (for reports)."""
+    lines.coalesce(1).write.mode("overwrite").text(path)
+    return path
+
+
 def read_optional(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The table, or an empty one of that schema if the path is missing."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+    if not exists(spark, path):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(path)
 
@@ -99,8 +132,7 @@ def raw_audit(spark: SparkSession, folders: dict[str, str]) -> DataFrame:
     """Manifest of datasets: exists, files, tables, bytes, status.  A missing or unreadable folder is a row, not an error."""
     out = None
     for name, folder in folders.items():
-        p = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        if exists(spark, folder):
             row = inventory(spark, folder).agg(F.lit(name).alias("dataset"), F.lit(True).alias("exists"), F.count(F.lit(1)).alias("files"), F.count_if("is_table").alias("tables"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
             row = row.withColumn("status", F.when(F.col("tables") > 0, "ok").otherwise("review"))
         else:

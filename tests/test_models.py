@@ -78,10 +78,10 @@ def test_sources(spark, tmp_path):
     assert tables.read_optional(spark, str(tmp_path / "none"), "a int").count() == 0
     assert spark.range(1).select(tables.path_parts(F.lit("/data/root/app/walk/x/f.csv"), "root")).first()[0] == ["app", "walk", "x"]
     assert tables.column_inventory(df).where("column_name = 'text'").first()["missing_count"] == 1
-    registry.write_yaml({"datasets": {"a": {"path": "x"}}}, tmp_path / "r.yaml")
-    assert registry.dataset_items(registry.load_yaml(tmp_path / "r.yaml")) == {"a": {"path": "x"}}
+    entries = {"a": registry.Entry("x", required=("c",)), "b": registry.Entry("/y.csv", "csv", "id long", (), True)}
+    assert registry.parse(registry.dump(entries)) == entries
     with pytest.raises(FileNotFoundError):
-        registry.load_yaml(tmp_path / "absent.yaml")
+        tables.load_tables(spark, str(tmp_path), ["absent"])
 
 
 def test_stream_equals_batch(spark, tmp_path):
