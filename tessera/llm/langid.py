@@ -28,7 +28,7 @@ from tessera.llm.quality import held_out
 
 ROWS_PER_LANGUAGE, SAMPLE_ROWS, SLICE = 400, 102_400, 384
 UNKNOWN = "und"
-HIDDEN, CHUNK, CONTEXT, LANES = 8, 128, 32, 2048
+HIDDEN, CHUNK, CONTEXT, LANES = 8, 128, 32, 1024
 _PAD = 256  # closes the update gate, so the state passes through
 
 
