@@ -10,6 +10,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -79,8 +80,10 @@ def table(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     """
     out = written(df, name)[0]
     if release:
-        gc.collect()
-        df.sparkSession.sparkContext._jvm.System.gc()
+        for _ in range(2):  # Python's references reach the JVM with a delay, so what they held goes in the second round
+            gc.collect()
+            df.sparkSession.sparkContext._jvm.System.gc()
+            time.sleep(0.2)
     return out
 
 
