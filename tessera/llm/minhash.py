@@ -14,8 +14,8 @@ lower-cased) is at least ``percent`` / 100; the result gives connected component
 3. Components of candidates are *clusters*; they are wider than what is sought.  Within a cluster the
    full sets are compared through posting lists, which finds every link, however many members share
    a region, up to what connects them: a hub is compared with all, and all that the hub does not
-   reach are compared with all.  A cluster above ``CELL`` members is cut into blocks, every pair of
-   which is a task of its own, so no task holds more than two blocks.
+   reach are compared with all.  A cluster above ``CELL`` members or ``CELL_SHINGLES`` shingles is cut
+   into blocks, every pair of which is a task of its own, so no task holds more than two blocks.
 
 Defined cases: a null text has no words; without words a row has the empty set and is linked with
 nothing; with fewer words than a shingle has, the whole sequence is its only shingle; rows that share
@@ -39,6 +39,8 @@ TREES, DEPTH, FLOOR, NEIGHBOURS = 16, 6, 3, 8
 SLACK = 0.18
 #: Members of a cluster that one block of an exact comparison holds.
 CELL = 4000
+#: Shingles that it holds (8 bytes each): long texts make smaller blocks.
+CELL_SHINGLES = 4_000_000
 #: Keys of rows without a doc_id lie above this.
 NULL_KEYS = (1 << 63) - 1 - (1 << 40)
 _PERMUTATIONS = np.random.default_rng(20240).integers(1, 1 << 32, size=(2, TREES * DEPTH), dtype=np.uint64).astype(np.uint32)
@@ -182,33 +184,48 @@ def _neighbours(batches: Iterator[pa.RecordBatch], least: float, rows_at_once: i
 
 
 def exact_links(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """Component (smallest index) of each set under links of at least ``percent``: exact for any input."""
+    """Component (smallest index) of each set under links of at least ``percent``: exact for any input.
+
+    Two linked sets share one of the rarest shingles of both (prefix filter), so posting lists hold
+    those alone and what many sets have in common costs nothing; partners are compared on full sets.
+    """
     m = len(sets)
     size = np.array([len(s) for s in sets])
     flat, row = np.concatenate(sets), np.repeat(np.arange(m), size)
     _, ids, freq = np.unique(flat, return_inverse=True, return_counts=True)
-    order = np.argsort(ids, kind="stable")
-    post, at = row[order], np.concatenate([[0], np.cumsum(freq)])
     first = np.concatenate([[0], np.cumsum(size)])
-
-    def reached(i: int) -> np.ndarray:
+    hub = int(np.argmax(np.bincount(row, weights=freq[ids]) / size))
+    ids = ids[np.lexsort((ids, freq[ids], row))]  # each set from its rarest shingle on
+    least = -(-percent * size // 100)  # shingles shared with any partner
+    use = np.flatnonzero((np.arange(len(ids)) - first[row] <= (size - least)[row]) & (freq[ids] > 1))
+    use = use[np.argsort(ids[use], kind="stable")]
+    post, at = row[use], np.searchsorted(ids[use], np.arange(len(freq) + 1))
+    mark = np.zeros(len(freq), bool)
+
+    def spread(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        return np.repeat(starts - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())
+
+    def compared(i: int, others: np.ndarray) -> np.ndarray:
+        """Those of the others that set i is linked with."""
+        others = others[100 * np.minimum(size[i], size[others]) >= percent * np.maximum(size[i], size[others])]
+        if not len(others):
+            return others
         mine = ids[first[i] : first[i + 1]]
-        mine = mine[freq[mine] > 1]
-        if not len(mine):
-            return np.array([i])
-        lens = freq[mine]
-        spots = np.repeat(at[mine] - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())
-        both = np.bincount(post[spots], minlength=m)
-        both[i] = size[i]
-        return np.flatnonzero(100 * both >= percent * (size + size[i] - both))
+        mark[mine] = True
+        lens = size[others]
+        both = np.add.reduceat(mark[ids[spread(first[others], lens)]], np.cumsum(lens) - lens, dtype=np.int64)
+        mark[mine] = False
+        return others[100 * both >= percent * (size[i] + lens - both)]
 
-    hub = int(np.argmax(np.bincount(row, weights=freq[ids]) / size))
-    with_hub = reached(hub)
+    with_hub = compared(hub, np.arange(m))
     a, b = [np.full(len(with_hub), hub)], [with_hub]
     inside = np.zeros(m, bool)
     inside[with_hub] = True
     for i in np.flatnonzero(~inside):
-        found = reached(int(i))
+        mine = ids[first[i] : first[i] + size[i] - least[i] + 1]
+        lens = at[mine + 1] - at[mine]
+        others = np.unique(post[spread(at[mine], lens)])
+        found = compared(int(i), others[(others > i) | inside[others]])
         a.append(np.full(len(found), i))
         b.append(found)
     return components_of(m, np.concatenate(a), np.concatenate(b))
@@ -232,18 +249,19 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([part.column("cluster"), part.column("nb"), part.column("c"), grams], names=["cluster", "nb", "c", "grams"])
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, cell: int = CELL) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, cell: int = CELL, cell_shingles: int = CELL_SHINGLES) -> DataFrame:
     """One row per input row: k (node key), th, n_shingles and component (smallest key of the component)."""
     ship.ensure(docs.sparkSession)
     rows = keyed(docs, id_col, text_col)
     signed = scratch.table(rows.mapInArrow(lambda it: _sign(it, size), "k long, th long, n long, h1 long, h2 long, sig binary"), "signed")
-    classes = signed.where("n > 0").groupBy("h1", "h2").agg(F.min(F.struct("k", "th")).alias("rep"), F.first("sig").alias("sig"))
-    classes = scratch.table(classes.select("h1", "h2", F.col("rep.k").alias("c"), F.col("rep.th").alias("th"), "sig"), "classes")
+    classes = signed.where("n > 0").groupBy("h1", "h2").agg(F.min(F.struct("k", "th", "n")).alias("rep"), F.first("sig").alias("sig"))
+    classes = scratch.table(classes.select("h1", "h2", F.col("rep.k").alias("c"), F.col("rep.th").alias("th"), F.col("rep.n").alias("n"), "sig"), "classes")
     forest = classes.mapInArrow(_plant, "tree int, key binary, sketch binary, c long").sort("tree", "key", "c")
     least = percent / 100 - SLACK
     clusters = graph.connected(forest.mapInArrow(lambda it: _neighbours(it, least), "a long, b long"))
-    sizes = clusters.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / cell).cast("int").alias("nb"))
-    members = clusters.join(sizes, "root").join(classes.select(F.col("c").alias("node"), "th"), "node").select(F.col("node").alias("k"), "th", F.col("root").alias("cluster"), "nb", F.col("node").alias("c"))
+    known = clusters.join(classes.select(F.col("c").alias("node"), "th", "n"), "node")
+    sizes = known.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / cell), F.ceil(F.sum("n") / cell_shingles)).cast("int").alias("nb"))
+    members = known.join(sizes, "root").select(F.col("node").alias("k"), "th", F.col("root").alias("cluster"), "nb", F.col("node").alias("c"))
     # Rows that repeat doc_id and text would repeat their set, which changes nothing but the work.
     sets = rows.join(members, ["k", "th"]).mapInArrow(lambda it: _sets(it, size), "cluster long, nb int, c long, grams binary")
     own = F.pmod(F.xxhash64("c"), F.col("nb")).cast("int")
