@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import clustering, evaluation, models, sessions
+from tessera.operators import clustering, density, evaluation, models, sessions
 from tessera.plans import bindings as b
 
 L, E = f"WITH {b.LINES_SQL}", f"WITH {b.EVENTS_SQL}"
@@ -100,7 +100,17 @@ _add("nearest_neighbours", lambda s, d: models.nearest_neighbours(b.table(s, d,
 _add("kmeans", lambda s, d: clustering.kmeans(_vectors(s, d), "features", 4).groupBy("cluster").agg(F.count(F.lit(1)).alias("n")))
 _add("bisecting_kmeans", lambda s, d: clustering.bisecting(_vectors(s, d), "features", 4).groupBy("cluster").agg(F.count(F.lit(1)).alias("n")))
 _add("pca_projection", lambda s, d: clustering.projection(b.table(s, d, "embeddings"), "embedding").select("vec_id", F.round(F.col("projection")[0], 6).alias("x"), F.round(F.col("projection")[1], 6).alias("y")))
-_add("dbscan", lambda s, d: clustering.dbscan(b.table(s, d, "embeddings"), "vec_id", "embedding", 6.0, 4))
+
+
+def _dbscan(s, d):
+    """Every vector, with the radius that nine tenths of the 10-distances to all rows stay below."""
+    rows = b.table(s, d, "embeddings")
+    radius = density.eps_candidates(density.k_distances(rows, "embedding", [10]), [0.9]).first()
+    return clustering.dbscan(rows, "vec_id", "embedding", radius["eps"] if radius else 0.0, 10)
+
+
+_add("dbscan", _dbscan)
+_add("dbscan_sweep", lambda s, d: density.density_sweep(b.table(s, d, "embeddings"), "embedding"))
 
 
 # Models: does an order line hold an outcome?

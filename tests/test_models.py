@@ -3,7 +3,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from tessera.operators import clustering, graphs, models, patterns, profile, sessions
+from tessera.operators import clustering, density, graphs, models, patterns, profile, sessions
 from tessera.sources import registry, tables
 from tessera.streaming import events as streams
 
@@ -47,6 +47,25 @@ def test_clusterings(spark):
     assert low < mean < high and abs(mean - 39) < 2
 
 
+def test_radii_and_sweep(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(60, 3)) + 12 * (i % 2) for i in range(2)] + [rng.uniform(-40, 50, size=(6, 3))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900, None)], "id long, v array<double>").repartition(3)
+    full = np.sort(np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)), axis=1)
+    got = density.k_distances(df, "v", [2, 5, 500]).toPandas()
+    for k in (2, 5, 500):
+        assert np.allclose(np.sort(got[got.k == k].distance), np.sort(full[:, min(k, len(x)) - 1]), atol=1e-5)
+    eps = {(r.k, r["quantile"]): r.eps for r in density.eps_candidates(density.k_distances(df, "v", [5]), [0.5, 0.9]).collect()}
+    assert eps == {(5, q): round(float(np.quantile(full[:, 4], q)), 4) for q in (0.5, 0.9)}
+    sweep = density.density_sweep(df, "v", [3, 5], [0.5, 0.9])
+    best = density.best_setting(sweep).first()
+    assert best.clusters == 2 and best.valid and best.silhouette > 0.7 and best.noise_fraction < 0.6
+    for r in sweep.collect():  # scores of the sample agree with the clustering of all rows
+        labels = clustering.dbscan(df, "id", "v", r.eps, r.min_samples).where("id < 900").toPandas()["cluster"]
+        assert (labels.max() + 1, round((labels < 0).mean(), 9)) == (r.clusters, round(r.noise_fraction, 9))
+    assert density.density_sweep(df.where("v IS NULL"), "v").count() == 0 and density.k_distances(df.limit(0), "v").count() == 0
+
+
 def test_label_propagation_and_components(spark):
     edges = spark.createDataFrame([("a", "b", 5.0), ("b", "c", 5.0), ("a", "c", 5.0), ("x", "y", 3.0), ("c", "x", 0.1)], "source string, target string, w double")
     found = {r.node_id: r.community for r in graphs.label_propagation(edges, "w").collect()}
