@@ -8,10 +8,15 @@ from collections.abc import Sequence
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import evaluation
+from tessera.operators import boosting, evaluation
+from tessera.operators.staging import staged
+
+#: Models of the catalogue whose library is not there: they get a row that says so.
+ABSENT = ("xgboost",)
 
 
 def feature_columns(df: DataFrame, excluded: Sequence[str]) -> tuple[list[str], list[str]]:
@@ -47,6 +52,9 @@ def catalogue(label: str = "label", weight: str = "weight") -> dict:
         "random_forest": RandomForestClassifier(**shared, weightCol=weight, numTrees=80, maxDepth=14, seed=42),
         "gradient_boosting": GBTClassifier(**shared, weightCol=weight, maxIter=40, maxDepth=5, seed=42),
         "gaussian_naive_bayes": NaiveBayes(**shared, weightCol=weight, modelType="gaussian"),
+        "adaboost": boosting.AdaBoost(rounds=40, rate=0.08),
+        "rbf_svm": boosting.KernelMachine(),
+        "knn": boosting.Neighbours(k=7),
     }
 
 
@@ -58,14 +66,22 @@ def balanced_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def run_experiment(train: DataFrame, test: DataFrame, label: str, numeric: Sequence[str], categorical: Sequence[str], names: Sequence[str]) -> DataFrame:
-    """Fit the named models; one row of metrics each, or of the error that stopped it."""
+    """Fit the named models; one row of metrics each (areas under both curves included), or of the error that stopped it."""
     prep = preprocessor(numeric, categorical).fit(train)
-    fit_on = balanced_weights(prep.transform(train).withColumn("label", F.col(label).cast("double")), "label").select("features", "label", "weight")
-    score_on = prep.transform(test).withColumn("label", F.col(label).cast("double")).select("features", "label")
+    fit_on = staged(balanced_weights(prep.transform(train).withColumn("label", F.col(label).cast("double")), "label").select("features", "label", "weight"))
+    score_on = staged(prep.transform(test).withColumn("label", F.col(label).cast("double")).select("features", "label"))
     models, out = catalogue(), None
     for name in names:
         try:
-            row = evaluation.classification_metrics(models[name].fit(fit_on).transform(score_on), "label", "prediction").withColumns({"model_name": F.lit(name), "training_status": F.lit("ok")})
+            if name in ABSENT:
+                row = train.sparkSession.createDataFrame([(name, "skipped_missing_dependency")], "model_name string, training_status string")
+            else:
+                scored = models[name].fit(fit_on).transform(score_on)
+                if "score" not in scored.columns:
+                    scored = scored.withColumn("score", vector_to_array("probability" if "probability" in scored.columns else "rawPrediction")[1])
+                scored = staged(scored.select("label", "prediction", "score"))
+                areas = evaluation.roc_auc(scored, "label", "score").crossJoin(evaluation.average_precision(scored, "label", "score"))  # one row each
+                row = evaluation.classification_metrics(scored, "label", "prediction").crossJoin(areas).withColumns({"model_name": F.lit(name), "training_status": F.lit("ok")})
         except Exception as error:  # a model that cannot be trained is a row of the report
             row = train.sparkSession.createDataFrame([(name, f"failed: {type(error).__name__}")], "model_name string, training_status string")
         out = row if out is None else out.unionByName(row, allowMissingColumns=True)

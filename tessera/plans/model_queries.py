@@ -119,7 +119,7 @@ NUMERIC, CATEGORICAL = ["l_quantity", "l_tax", "l_discount"], ["l_returnflag", "
 
 def _experiment(s, d):
     rows = sessions.group_split(b.lines(s, d), "session_id").select("degraded", "is_test", *NUMERIC, *CATEGORICAL)
-    return models.run_experiment(rows.where("NOT is_test"), rows.where("is_test"), "degraded", NUMERIC, CATEGORICAL, ["logistic_regression", "decision_tree_gini", "gradient_boosting"])
+    return models.run_experiment(rows.where("NOT is_test"), rows.where("is_test"), "degraded", NUMERIC, CATEGORICAL, [*models.catalogue(), *models.ABSENT])
 
 
 _add("model_comparison", _experiment)
