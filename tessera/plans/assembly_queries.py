@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tessera.functions import exprs
-from tessera.operators import assembly, compare, graphs, models, patterns, profile, sessions, staging
+from tessera.operators import assembly, compare, graphs, models, networks, patterns, profile, sessions, staging
 from tessera.plans import bindings as b
 from tessera.plans import stages
 from tessera.plans.mining_queries import CO, DIST, LONGC, RULES, STEPS, _co, _pairs, _rows, _rules, _steps
@@ -141,3 +141,14 @@ _add("stage_rule_mining", _stage("rule_mining"), f"{RULES} SELECT 'itemsets' AS
 _add("stage_comparison", _stage("comparison"))
 _add("stage_graph", _stage("graph"))
 _add("stage_classification", _stage("classification"))
+
+
+def _networks(s, d):
+    """Events of a user form a chain; what an event's neighbours did tells its outcome."""
+    rows = sessions.nested_split(b.events(s, d), "user_id")
+    kinds = {f"is_{t}": (F.col("event_type") == t).cast("int") for t in ("click", "view", "purchase", "error")}
+    nodes = rows.select(F.col("event_id").alias("node_id"), F.col("user_id").alias("group"), "part", F.col("degraded").alias("y"), "k", *[c.alias(n) for n, c in kinds.items()])
+    return networks.graph_networks(nodes, _steps(s, d), ["k", *kinds])
+
+
+_add("graph_networks", _networks)
