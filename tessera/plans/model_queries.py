@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import clustering, density, evaluation, models, sessions
+from tessera.operators import clustering, density, evaluation, linkage, models, sessions
 from tessera.plans import bindings as b
 
 L, E = f"WITH {b.LINES_SQL}", f"WITH {b.EVENTS_SQL}"
@@ -99,6 +99,7 @@ _add("block_sensitivity", lambda s, d: clustering.block_sensitivity(_customers(s
 _add("nearest_neighbours", lambda s, d: models.nearest_neighbours(b.table(s, d, "embeddings").where("vec_id % 5 > 0").withColumn("y", F.col("label") % 2), b.table(s, d, "embeddings").where("vec_id % 5 = 0"), "vec_id", "embedding", "y"))
 _add("kmeans", lambda s, d: clustering.kmeans(_vectors(s, d), "features", 4).groupBy("cluster").agg(F.count(F.lit(1)).alias("n")))
 _add("bisecting_kmeans", lambda s, d: clustering.bisecting(_vectors(s, d), "features", 4).groupBy("cluster").agg(F.count(F.lit(1)).alias("n")))
+_add("ward", lambda s, d: linkage.ward_all(b.table(s, d, "embeddings"), "vec_id", "embedding", 4).groupBy("cluster").agg(F.count(F.lit(1)).alias("n")))
 _add("pca_projection", lambda s, d: clustering.projection(b.table(s, d, "embeddings"), "embedding").select("vec_id", F.round(F.col("projection")[0], 6).alias("x"), F.round(F.col("projection")[1], 6).alias("y")))
 
 
