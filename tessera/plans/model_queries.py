@@ -118,10 +118,11 @@ _add("dbscan_sweep", lambda s, d: density.density_sweep(b.table(s, d, "embedding
 NUMERIC, CATEGORICAL = ["l_quantity", "l_tax", "l_discount"], ["l_returnflag", "l_linestatus"]
 
 
-def _experiment(s, d):
+def _experiment(s, d, names=("logistic_regression", "decision_tree_gini", "gradient_boosting")):
     rows = sessions.group_split(b.lines(s, d), "session_id").select("degraded", "is_test", *NUMERIC, *CATEGORICAL)
-    return models.run_experiment(rows.where("NOT is_test"), rows.where("is_test"), "degraded", NUMERIC, CATEGORICAL, [*models.catalogue(), *models.ABSENT])
+    return models.run_experiment(rows.where("NOT is_test"), rows.where("is_test"), "degraded", NUMERIC, CATEGORICAL, names)
 
 
 _add("model_comparison", _experiment)
+_add("model_catalogue", lambda s, d: _experiment(s, d, [*models.catalogue(), *models.ABSENT]))
 _add("tree_rules", lambda s, d: models.representative_rules(models.tree_rules(b.lines(s, d), "degraded", NUMERIC)))

@@ -8,7 +8,7 @@ from tessera.plans import catalog
 SF = "/root/testdata/sf0.001"
 SQL = catalog.oracle_sql()
 #: Checked in test_models.py, as they have no SQL.
-SLOW = {"model_comparison"}
+SLOW = {"model_comparison", "model_catalogue"}
 
 
 @pytest.fixture(scope="module")
