@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, exact, langid, lines, minhash, mixing, quality, secrets, substring, warc
+from tessera.llm import blockmax, decontam, exact, filter_audit, langid, lines, minhash, mixing, pieces, quality, secrets, substring, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,22 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("th")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blockmax.ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    rows = pieces.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 OP1_SQL = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 win AS (SELECT doc_id, s, array_to_string(ws[s:s + 19], ' ') AS k FROM w, LATERAL (SELECT unnest(range(1, len(ws) - 18)) AS s) g),
@@ -108,6 +124,41 @@ SELECT doc_id, text, lang, source, n_chars, g.copy::INT AS copy, md5('order:17:'
 FROM n, LATERAL (SELECT unnest(range(0, copies)) AS copy) g
 """
 
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+tf AS (SELECT doc_id, len(ts) AS n, t, count(*) AS tf FROM (SELECT doc_id, ts, unnest(ts) AS t FROM d) GROUP BY ALL),
+nl AS (SELECT count(*) AS docs, sum(len(ts))::BIGINT AS total FROM d WHERE len(ts) > 0),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+w AS (SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, nl WHERE t IN (SELECT t FROM q) GROUP BY t, docs),
+s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // total))))::BIGINT AS score FROM q JOIN w USING (t) JOIN tf USING (t), nl GROUP BY item_id, doc_id),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+l AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+v AS (SELECT d.part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+             [len(ws) < 50, 100 * len(list_distinct(ws)) < 65 * len(ws), 100 * (length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 5 * length(t),
+              regexp_matches(t, '[#$%&*|]'), d.doc_id > min(d.doc_id) OVER (PARTITION BY t)] AS f
+      FROM d LEFT JOIN l USING (doc_id)),
+m AS (SELECT part, f, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM v GROUP BY part, f),
+p(x) AS (VALUES (1), (2), (3), (4), (5)),
+o AS (SELECT [a.x, b.x, c.x, d.x, e.x] AS o FROM p a, p b, p c, p d, p e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT o, step, o[step] AS letter, o[1:step - 1] AS before FROM o, range(1, 6) AS g(step)),
+x AS (SELECT part, o, step, letter,
+             sum(n * (NOT f[letter] AND NOT coalesce(list_bool_or(list_transform(before, lambda i: f[i])), false))::INT)::BIGINT AS kept,
+             sum(n * (f[letter] AND NOT coalesce(list_bool_or(list_transform(before, lambda i: f[i])), false))::INT)::BIGINT AS removed,
+             sum(n * (f[letter] AND coalesce(list_bool_or(list_transform(before, lambda i: f[i])), false))::INT)::BIGINT AS redundant,
+             sum(n * (f[letter] AND len(list_filter(f, lambda y: y)) = 1)::INT)::BIGINT AS unique_fails,
+             sum(good * (f[letter] AND NOT coalesce(list_bool_or(list_transform(before, lambda i: f[i])), false))::INT)::BIGINT AS good_lost,
+             sum(toxic * (f[letter] AND NOT coalesce(list_bool_or(list_transform(before, lambda i: f[i])), false))::INT)::BIGINT AS toxic_lost
+      FROM m, s GROUP BY part, o, step, letter)
+SELECT part, array_to_string(list_transform(o, lambda i: substr('ABCDE', i, 1)), '') AS filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
+FROM x
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -121,8 +172,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mix_sources": op8_mix_sources,
         "op9_line_dedup": op9_line_dedup,
         "op10_decontaminate": op10_decontaminate,
+        "op11_ranked_search": op11_ranked_search,
+        "op12_sentencepiece": op12_sentencepiece,
+        "op13_filter_audit": op13_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op5_near_dedup": OP5_SQL, "op8_mix_sources": OP8_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op5_near_dedup": OP5_SQL, "op8_mix_sources": OP8_SQL, "op11_ranked_search": OP11_SQL, "op13_filter_audit": OP13_SQL}
