@@ -196,7 +196,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         for batch in batches:
             ids = batch.column("k").to_numpy()
-            for a, b, raw, offs in textkit.blocks(batch.column("text")):
+            for a, b, raw, offs in textkit.blocks(batch.column("text"), min(shard_bytes, textkit.BLOCK_BYTES)):
                 held.append((ids[a:b], raw.copy(), offs))
                 if sum(len(h[1]) for h in held) >= shard_bytes:
                     yield from flush()

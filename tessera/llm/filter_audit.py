@@ -56,6 +56,7 @@ def text_filters(text: Column) -> dict[str, Column]:
 
 #: Filters and the letters by which orders name them; E needs the whole table.
 FILTERS = "ABCDE"
+EDGES = "part string, edges array<struct<before: string, letter: string, kept: bigint, removed: bigint, good_lost: bigint, toxic_lost: bigint>>"
 
 
 def verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source") -> DataFrame:
@@ -78,30 +79,23 @@ def edge_counts(rows: DataFrame, filters: str) -> DataFrame:
 
     ``rows`` are verdicts.  Parts without survivors in a state have no row there.
     """
-    memo: dict[str, DataFrame] = {}
+    path = scratch.fresh(rows.sparkSession, "audit-edges")
+    memo: set[str] = set()
 
     def visit(before: str, state: DataFrame) -> None:
+        memo.add(before)
         state = state.persist(StorageLevel.MEMORY_AND_DISK)
         nexts = [f for f in filters if f not in before]
-        counts = [
-            F.struct(
-                F.lit(before).alias("before"), F.lit(f).alias("letter"), F.count_if(~F.col(f)).alias("kept"), F.count_if(F.col(f)).alias("removed"),
-                F.count_if(F.col(f) & F.col("good")).alias("good_lost"), F.count_if(F.col(f) & F.col("toxic")).alias("toxic_lost"),
-            )
-            for f in nexts
-        ]
-        memo[before] = scratch.table(state.groupBy("part").agg(F.array(*counts).alias("edges")), "audit-edges").select("part", F.inline("edges"))
+        counts = ", ".join(f"struct('{before}' AS before, '{f}' AS letter, count_if(NOT {f}) AS kept, count_if({f}) AS removed, count_if({f} AND good) AS good_lost, count_if({f} AND toxic) AS toxic_lost)" for f in nexts)
+        state.groupBy("part").agg(F.expr(f"array({counts})").alias("edges")).write.mode("append").parquet(path)
         for f in nexts:
             after = "".join(sorted(before + f))
             if after not in memo and len(after) < len(filters):
-                visit(after, state.where(~F.col(f)).drop(f))
+                visit(after, state.where(f"NOT {f}").drop(f))
         state.unpersist()
 
     visit("", rows)
-    out, *others = memo.values()
-    for other in others:
-        out = out.unionByName(other)
-    return scratch.table(out, "audit-edges")
+    return rows.sparkSession.read.schema(EDGES).parquet(path).select("part", F.inline("edges"))
 
 
 def all_orders(spark: SparkSession, filters: str) -> DataFrame:

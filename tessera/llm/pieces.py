@@ -167,7 +167,7 @@ def vocabulary(model: str) -> Vocabulary:
             if left is not None and right is not None:
                 pairs[left << 32 | right] = (i, ranks[i])
     keys = sorted(pairs) or [-1]
-    decoded = [bytes([int(names[i][3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else names[i].replace(chr(SPACE), " ").encode() for i in range(n)]
+    decoded = [bytes([int(names[i][3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else sp.decode([i]).encode() if sp.is_unknown(i) else names[i].replace(chr(SPACE), " ").encode() for i in range(n)]
     return Vocabulary(
         decoded, np.array(keys, np.int64), np.array([pairs.get(k, (0, 0))[0] for k in keys], np.int64), np.array([pairs.get(k, (0, int(_NONE)))[1] for k in keys], np.int32),
         np.array([ord(c) for c in chars], np.int64), np.array([symbol[c] for c in chars], np.int64), np.array(sorted(beside), np.int64), np.array([bytes_of[b] for b in range(256)], np.int32), sp.eos_id(),
