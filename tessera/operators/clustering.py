@@ -10,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.running import numbered
+from tessera.operators.staging import staged
+
 
 def kmeans(df: DataFrame, features: str, k: int, seed: int = 42) -> DataFrame:
     """Adds ``cluster`` from MLlib's k-means on a vector column."""
@@ -199,72 +202,117 @@ def permutation_gap(df: DataFrame, cluster: str, outcome: str, repetitions: int
 def dbscan(df: DataFrame, key: str, vector: str, eps: float, min_samples: int, bound: int | None = None) -> DataFrame:
     """DBSCAN of every row (noise -1), clusters numbered by their smallest core key, borders in the first cluster that reaches them.
 
-    Pairs of blocks of distinct vectors are compared, first for the neighbours of each, then for links:
-    a pair of blocks gives a spanning forest of its core points only, so the links of a dense cluster do
-    not grow with its square, though the comparisons do.  Keys must be unique; a null vector is noise.
-    With ``bound``, more rows raise.
+    Distinct vectors go into a metric index.  Rows that find enough neighbours in their own block are core
+    at once; only the others are counted against the blocks that may reach them.  Core rows are linked
+    inside each block first, so a pair of blocks has only to tell which of their parts touch: its rows do not
+    grow with the rows of the blocks.  Keys must be unique; a null vector is noise.  With ``bound``, more
+    rows raise.
     """
-    from tessera.operators import blocks, graphs
+    from tessera.operators import graphs, metric
 
     if bound is not None and df.limit(bound + 1).count() > bound:
         raise ValueError(f"more than {bound} rows")
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(vector).alias("v"))
-    points = graphs._cut(rows.where("v IS NOT NULL").groupBy("v").agg(F.min("key").alias("id"), F.count(F.lit(1)).alias("m")))
+    points = metric.build(rows.where("v IS NOT NULL").groupBy("v").agg(F.min("key").alias("id"), F.count(F.lit(1)).alias("m")), ["id", "m"])
+    limit = eps * eps + 1e-12
 
-    def each(batches):
-        """Block numbers, columns of both sides and the near pairs of each cell."""
+    def inside(batches):
+        """Weighted neighbours in the own block."""
+        for batch in batches:
+            for side in (batch.column("rows")[i].values for i in range(batch.num_rows)):
+                x = metric.matrix(side)
+                n = (metric.squares(x, x) <= limit) @ side.field("m").to_numpy().astype(float)
+                yield pa.RecordBatch.from_arrays([side.field("id"), pa.array(n.astype(np.int64))], names=["id", "n"])
+
+    first = staged(points.blocks.select("rows").mapInArrow(inside, "id long, n long"))
+    flat = points.blocks.select(F.inline("rows"))
+    open_rows = metric.build(flat.join(first.where(F.col("n") < min_samples).select("id"), "id"), ["id", "m"], points.pivots)
+    counted = staged(metric.near_counts(open_rows, points, eps, "m").where(F.col("n") >= min_samples).select("id"))
+    core = first.where(F.col("n") >= min_samples).select("id").unionByName(counted).withColumn("core", F.lit(True))
+
+    def parts(batches):
+        """Core rows that are linked inside their block get the smallest id among them, others null."""
         for batch in batches:
             for i in range(batch.num_rows):
-                sides = []
-                for c in ("a", "b"):
-                    side = batch.column(c)[i].values
-                    x = side.field("v").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(side), -1)
-                    sides.append((x, side.field("id").to_numpy(), side.field("n").to_numpy()))
-                (x, *a), (y, *b) = sides
-                near = (x**2).sum(axis=1)[:, None] + (y**2).sum(axis=1)[None, :] - 2 * x @ y.T <= eps * eps + 1e-12
-                yield batch.column("block_a")[i].as_py() == batch.column("block_b")[i].as_py(), a, b, near
-
-    def neighbours(batches):
-        for same, (ids, m), (other, n), near in each(batches):
-            found = [(ids, near @ n)] + ([] if same else [(other, m @ near)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[i] for f in found]).astype(np.int64)) for i in (0, 1)], names=["id", "n"])
+                side = batch.column("rows")[i].values
+                x, ids = metric.matrix(side), side.field("id").to_numpy()
+                own = np.flatnonzero(side.field("core").to_numpy(zero_copy_only=False).astype(bool))
+                label = density_parts(metric.squares(x[own], x[own]) <= limit)
+                least = np.full(len(own), np.iinfo(np.int64).max)
+                np.minimum.at(least, label, ids[own])
+                part = np.full(len(ids), -1, np.int64)
+                part[own] = least[label]
+                named = pa.array(part, mask=~np.isin(np.arange(len(ids)), own))
+                packed = pa.StructArray.from_arrays([side.field("v"), side.field("id"), named], ["v", "id", "part"])
+                yield pa.RecordBatch.from_arrays([batch.column("block").slice(i, 1), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), packed)], names=["block", "rows"])
+
+    marked = points.blocks.select("block", F.inline("rows")).join(core, "id", "left").groupBy("block").agg(F.collect_list(F.struct("v", "id", F.coalesce("core", F.lit(False)).alias("core"))).alias("rows"))
+    labelled = staged(marked.mapInArrow(parts, "block long, rows array<struct<v: array<double>, id: long, part: long>>"))
 
     def links(batches):
-        for same, (ids, n), (other, o), near in each(batches):
-            ca, cb = n >= min_samples, o >= min_samples
-            la, lb = np.full(len(ids), -1), np.full(len(other), -1)
-            for c, i in enumerate(np.flatnonzero(ca)):
-                front = np.array([i]) if la[i] < 0 else np.zeros(0, int)
-                la[front] = c if len(front) else la[front]
-                while len(front):
-                    across = np.flatnonzero(near[front].any(axis=0) & cb & (lb < 0))
-                    lb[across] = c
-                    front = np.flatnonzero(near[:, across].any(axis=1) & ca & (la < 0))
-                    la[front] = c
-            label, member = np.concatenate([la[la >= 0], lb[lb >= 0]]), np.concatenate([ids[la >= 0], other[lb >= 0]])
-            least = np.full(len(ids) + 1, np.iinfo(np.int64).max)
-            np.minimum.at(least, label, member)
-            first = least[label]
-            found = [(first[first != member], member[first != member], False)]
-            for low, high, pairs in ((ids, other, near & ~ca[:, None] & cb[None, :]), (other, ids, (near & ca[:, None] & ~cb[None, :]).T)):
-                i, j = np.nonzero(pairs)
-                found.append((low[i], high[j], True))
-            source, target = (np.concatenate([f[i] for f in found]).astype(np.int64) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(source), pa.array(target), pa.array(np.repeat([f[2] for f in found], [len(f[0]) for f in found]))], names=["source", "target", "border"])
-
-    def cells(table, n):
-        packed = blocks.blocks(table, ["id"], ["v", "id", F.col(n).alias("n")])
-        return blocks.cells(packed, packed, half=True)
-
-    counted = cells(points, "m").mapInArrow(neighbours, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    points = graphs._cut(points.join(counted, "id"))
-    found = graphs._cut(cells(points, "n").mapInArrow(links, "source long, target long, border boolean").distinct())
-    core = points.where(F.col("n") >= min_samples).select(F.col("id").alias("node_id"))
-    roots = graphs.components(core, found.where("NOT border"))
-    reached = found.where("border").join(roots.withColumnRenamed("node_id", "target"), "target").groupBy(F.col("source").alias("node_id")).agg(F.min("component").alias("component"))
-    numbers = roots.select("component").distinct().select("component", (F.row_number().over(Window.partitionBy().orderBy("component")) - 1).alias("cluster"))  # one row for each cluster
-    labels = points.join(roots.unionByName(reached).withColumnRenamed("node_id", "id"), "id").join(numbers, "component").select("v", "cluster")
-    return rows.join(labels, "v", "left").select(F.col("key").alias(key), F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+        """Parts that touch, and parts that reach a row that is no core."""
+        for same, other, a, b in metric.sides(batches):
+            sides = [(metric.matrix(s), s.field("id").to_numpy(), s.field("part").fill_null(-1).to_numpy()) for s in (a, b)]
+            found = set()
+            if same != other:
+                found |= {(p, q, False) for p, q in touching(sides[0], sides[1], limit)}
+            for (x, ids, part), (y, _, reach) in ((sides[0], sides[1]), (sides[1], sides[0]))[: 1 + (same != other)]:
+                edge, cores = np.flatnonzero(part < 0), np.flatnonzero(reach >= 0)
+                if len(edge) and len(cores):
+                    i, j = np.nonzero(metric.squares(x[edge], y[cores]) <= limit)
+                    # All parts that reach a row count, as which of them is first is known in the end only.
+                    found |= set(zip(ids[edge][i].tolist(), reach[cores][j].tolist(), [True] * len(i)))
+            if found:
+                source, target, border = zip(*sorted(found))
+                yield pa.RecordBatch.from_arrays([pa.array(source, pa.int64()), pa.array(target, pa.int64()), pa.array(border)], names=["source", "target", "border"])
+
+    pairs = metric.paired(metric.candidates(points, points, F.lit(float(eps)), half=True), labelled, labelled)
+    found = staged(pairs.mapInArrow(links, "source long, target long, border boolean"))
+    own = labelled.select(F.inline("rows")).select("v", "id", "part")
+    roots = staged(graphs.components(own.where("part IS NOT NULL").select(F.col("part").alias("node_id")).distinct(), found.where("NOT border")))
+    numbers = numbered(roots.select("component").distinct(), [F.col("component")], "cluster").select("component", (F.col("cluster") - 1).cast("int").alias("cluster"))
+    clusters = staged(roots.join(numbers, "component").select(F.col("node_id").alias("part"), "cluster"))
+    borders = found.where("border").select(F.col("source").alias("id"), F.col("target").alias("part")).join(clusters, "part").groupBy("id").agg(F.min("cluster").alias("border"))
+    labels = own.join(clusters, "part", "left").join(borders, "id", "left").select(F.col("v").alias("_v"), F.coalesce("cluster", "border").alias("cluster"))
+    return rows.withColumn("_v", F.col("v").cast("array<double>")).join(labels, "_v", "left").select(F.col("key").alias(key), F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+
+
+def density_parts(near: np.ndarray) -> np.ndarray:
+    """Connected parts of a symmetric matrix of links, numbered by their first rows."""
+    label, count = np.full(len(near), -1), 0
+    for i in range(len(near)):
+        if label[i] < 0:
+            front = np.array([i])
+            while len(front):
+                label[front] = count
+                front = np.flatnonzero(near[front].any(axis=0) & (label < 0))
+            count += 1
+    return label
+
+
+def touching(a: tuple, b: tuple, limit: float, rows: int = 256) -> set[tuple[int, int]]:
+    """Pairs of parts of two blocks (vectors, ids, parts; -1: none) with rows within the limit.
+
+    Rows are compared a slice at a time, and only parts that are not linked yet, so two dense blocks of
+    one part each are done at the first link.
+    """
+    from tessera.operators import metric
+
+    (x, _, p), (y, _, q) = a, b
+    found: set[tuple[int, int]] = set()
+    cores, others = np.flatnonzero(p >= 0), np.flatnonzero(q >= 0)
+    parts = np.unique(q[others])
+    for part in np.unique(p[cores]).tolist():
+        mine, open_parts = cores[p[cores] == part], set(parts.tolist())
+        for at in range(0, len(mine), rows):
+            left = others[np.isin(q[others], list(open_parts))] if len(open_parts) < len(parts) else others
+            if not len(left):
+                break
+            hit = (metric.squares(x[mine[at : at + rows]], y[left]) <= limit).any(axis=0)
+            new = set(np.unique(q[left[hit]]).tolist())
+            found |= {(part, other) for other in new}
+            open_parts -= new
+    return found
 
 
 def best_k(scores: DataFrame) -> DataFrame:

@@ -155,45 +155,42 @@ def repeated_experiment(df: DataFrame, group: str, label: str, numeric: Sequence
 def nearest_neighbours(train: DataFrame, test: DataFrame, key: str, vector: str, label: str, k: int = 7) -> DataFrame:
     """Distance-weighted votes of the k nearest training rows for each test row, whatever the sizes.
 
-    Blocks of distinct test vectors meet all blocks of distinct training rows; each pair gives the k
-    best, which are merged.  Equal distances are taken by label; training rows without vector or label
+    Distinct test vectors and distinct training rows go into metric indexes with the same pivots; only pairs
+    of blocks that may hold one of the k nearest are compared, and what they give is merged.  Equal distances are taken by label; training rows without vector or label
     do not vote; a null vector, or no training row, gives a null score.
     """
     import numpy as np
     import pyarrow as pa
 
-    from tessera.operators import blocks
+    from tessera.operators import metric
 
     votes = train.select(F.col(vector).alias("v"), F.col(label).cast("double").alias("y")).dropna().groupBy("v", "y").agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("m"))  # copies beyond k cannot vote
-    held = blocks.blocks(votes, ["v", "y"], ["v", "y", "m"])
-    rows = test.select(F.col(key).alias("key"), F.col(vector).alias("v"))
-    asked = blocks.blocks(rows.select("v").dropna().distinct(), ["v"], ["v"])
+    held = metric.build(votes, ["y", "m"])
+    rows = test.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
+    asked = metric.build(rows.select("v").dropna().distinct(), [], held.pivots)
 
     def best(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                q, side = batch.column("a")[i].values, batch.column("b")[i].values
-                x, t = (s.field("v").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(s), -1) for s in (q, side))
-                y, m = side.field("y").to_numpy(), side.field("m").to_numpy()
-                squares = (x**2).sum(axis=1)[:, None], (t**2).sum(axis=1)[None, :]
-                d = squares[0] - 2 * x @ t.T + squares[1]
-                # What may be among the k best but for rounding is measured again, exactly.
-                last = np.partition(d, min(k, len(t)) - 1, axis=1)[:, min(k, len(t)) - 1]
-                r, c = np.nonzero(d <= (last + 1e-9 * (1 + squares[0][:, 0] + squares[1].max()))[:, None])
-                exact = np.concatenate([((x[r[j : j + 65536]] - t[c[j : j + 65536]]) ** 2).sum(axis=1) for j in range(0, len(r), 65536)])
-                order = np.lexsort((y[c], exact, r))
-                r, c, exact = r[order], c[order], np.sqrt(exact[order])
-                use = np.flatnonzero(np.arange(len(r)) - np.searchsorted(r, r) < k)
-                r, c, exact = r[use], c[use], exact[use]
-                near = pa.StructArray.from_arrays([pa.array(exact), pa.array(y[c]), pa.array(m[c])], ["d", "y", "m"])
-                ends = np.searchsorted(r, np.arange(len(x) + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), batch.column("block_a")[i].as_py())), pa.array(np.arange(len(x), dtype=np.int32)), pa.ListArray.from_arrays(pa.array(ends), near)], names=["block", "at", "near"])
-
-    parts = blocks.cells(asked, held).mapInArrow(best, "block long, at int, near array<struct<d: double, y: double, m: int>>")
+        for block, _, q, side in metric.sides(batches):
+            x, t = metric.matrix(q), metric.matrix(side)
+            y, m = side.field("y").to_numpy(), side.field("m").to_numpy()
+            d = metric.squares(x, t)
+            # What may be among the k best but for rounding is measured again, exactly.
+            last = np.partition(d, min(k, len(t)) - 1, axis=1)[:, min(k, len(t)) - 1]
+            r, c = np.nonzero(d <= (last + 1e-9 * (1 + (x**2).sum(axis=1) + (t**2).sum(axis=1).max()))[:, None])
+            exact = np.concatenate([((x[r[j : j + 65536]] - t[c[j : j + 65536]]) ** 2).sum(axis=1) for j in range(0, len(r), 65536)])
+            order = np.lexsort((y[c], exact, r))
+            r, c, exact = r[order], c[order], np.sqrt(exact[order])
+            use = np.flatnonzero(np.arange(len(r)) - np.searchsorted(r, r) < k)
+            r, c, exact = r[use], c[use], exact[use]
+            near = pa.StructArray.from_arrays([pa.array(exact), pa.array(y[c]), pa.array(m[c])], ["d", "y", "m"])
+            ends = np.searchsorted(r, np.arange(len(x) + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), block)), pa.array(np.arange(len(x), dtype=np.int32)), pa.ListArray.from_arrays(pa.array(ends), near)], names=["block", "at", "near"])
+
+    parts = metric.nearest_pairs(asked, held, k).mapInArrow(best, "block long, at int, near array<struct<d: double, y: double, m: int>>")
     step = lambda s, n: (lambda t: F.struct((s["left"] - t).alias("left"), (s["sum"] + t * n["y"] / F.greatest(n["d"], F.lit(1e-9))).alias("sum"), (s["weight"] + t / F.greatest(n["d"], F.lit(1e-9))).alias("weight")))(F.least(s["left"], n["m"]))
     start = F.struct(F.lit(k).alias("left"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("weight"))
     merged = parts.groupBy("block", "at").agg(F.aggregate(F.array_sort(F.flatten(F.collect_list("near"))), start, step, lambda s: s["sum"] / s["weight"]).alias("score"))
-    scores = asked.select("block", F.posexplode("rows").alias("at", "row")).join(merged, ["block", "at"]).select("row.v", "score")
+    scores = asked.blocks.select("block", F.posexplode("rows").alias("at", "row")).join(merged, ["block", "at"]).select("row.v", "score")
     return rows.join(scores, "v", "left").select(F.col("key").cast("long").alias(key), "score")
 
 

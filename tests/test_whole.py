@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.operators import blocks, clustering, models
+from tessera.operators import clustering, metric, models
 from tessera.plans import catalog
 
 
@@ -57,7 +57,7 @@ def brute_dbscan(rows, eps, least):
 
 
 def test_dbscan_across_blocks(spark, monkeypatch):
-    monkeypatch.setattr(blocks.blocks, "__defaults__", (40,))
+    monkeypatch.setattr(metric, "ROWS", 40)
     rng = np.random.default_rng(2)
     x = np.concatenate([rng.normal(size=(260, 2)) * 3, np.repeat([[50.0, 50.0]], 9, axis=0)]).tolist()
     rows = [(int(k), v) for k, v in zip(rng.permutation(len(x)), x)] + [(900, None)]
@@ -68,6 +68,23 @@ def test_dbscan_across_blocks(spark, monkeypatch):
     assert len(set(want.values())) > 4 and -1 in [want[k] for k, v in rows if v]
 
 
+def test_clustered_rows_meet_few_blocks(spark):
+    """Twice as many groups apart from each other make twice as many pairs of blocks, and all neighbours are found."""
+    rng = np.random.default_rng(7)
+    made = {}
+    for groups in (6, 12):
+        x = np.concatenate([rng.normal(size=(60, 3)) + rng.uniform(-1000, 1000, size=3) for _ in range(groups)])
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").withColumn("m", F.lit(1))
+        index = metric.build(df, ["id", "m"], rows=30)
+        got = {r.id: r.n for r in metric.near_counts(index, index, 1.0, "m").collect()}
+        want = (((x[:, None] - x[None]) ** 2).sum(axis=2) <= 1).sum(axis=1)
+        assert [got[i] for i in range(len(x))] == want.tolist()
+        assert index.blocks.agg(F.max(F.size("rows"))).first()[0] <= 30
+        made[groups] = metric.candidates(index, index, F.lit(1.0)).count()
+        assert made[groups] < 0.4 * index.blocks.count() ** 2
+    assert made[12] < 3 * made[6]
+
+
 def test_dbscan_query_labels_every_row(spark, tmp_path):
     rng = np.random.default_rng(3)
     rows = [(i, rng.normal(size=3).tolist(), 0) for i in range(2500)]
@@ -85,7 +102,7 @@ def brute_neighbours(train, test, k):
 
 
 def test_nearest_neighbours_across_blocks(spark, monkeypatch):
-    monkeypatch.setattr(blocks.blocks, "__defaults__", (30,))
+    monkeypatch.setattr(metric, "ROWS", 30)
     rng = np.random.default_rng(5)
     train = [(v, float(i % 2)) for i, v in enumerate(rng.normal(size=(300, 4)).tolist())]
     train += [(train[0][0], float(i % 3 == 0)) for i in range(12)] + [(None, 1.0), (train[1][0], None)]
