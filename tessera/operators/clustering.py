@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import quantiles
 from tessera.operators.running import numbered
 from tessera.operators.staging import staged
 
@@ -120,7 +121,11 @@ def silhouette(df: DataFrame, features: str, cluster: str) -> float:
 def profile(df: DataFrame, cluster: str, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
     """Long profile: size, means and medians of numbers; modes and their share of all rows of the cluster (nulls included)."""
     numbers = df.select(F.col(cluster).alias("cluster"), F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in numeric])))
-    first = numbers.groupBy("cluster", "feature").agg(F.count(F.lit(1)).alias("size"), F.round(F.avg("x"), 6).alias("mean"), F.percentile("x", 0.5).alias("median"))
+    counts = staged(numbers.groupBy("cluster", "feature", "x").agg(F.count(F.lit(1)).alias("c")))
+    middle = quantiles.summary(counts, ["cluster", "feature"], "x", {"median": 0.5}, "c").alias("m")
+    sizes = counts.groupBy("cluster", "feature").agg(F.sum("c").alias("size")).alias("s")
+    both = sizes.join(middle, F.col("s.cluster").eqNullSafe(F.col("m.cluster")) & (F.col("s.feature") == F.col("m.feature")), "left")
+    first = both.select("s.cluster", "s.feature", "s.size", F.round("m.mean", 6).alias("mean"), "m.median")
     texts = df.select(F.col(cluster).alias("cluster"), F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("v")) for c in categorical])))
     counts = texts.groupBy("cluster", "feature", "v").agg(F.count(F.lit(1)).alias("n"))
     best = counts.groupBy("cluster", "feature").agg(F.sum("n").alias("size"), F.min(F.when(F.col("v").isNotNull(), F.struct((-F.col("n")).alias("n"), F.col("v").alias("v")))).alias("b"))

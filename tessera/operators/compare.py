@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import exprs
+from tessera.operators import quantiles
 from tessera.operators.running import running
+from tessera.operators.staging import staged
 from tessera.plans.specs import MetricSpec
 
 QUANTILES = {"p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
@@ -27,8 +29,8 @@ def long_frame(df: DataFrame, source: str, metrics: Sequence[MetricSpec], contex
 
 def distribution_summary(long: DataFrame, keys: Sequence[str] = ("source", "metric")) -> DataFrame:
     """n, mean, deviation, exact quantiles and interquartile range of each group."""
-    out = long.groupBy(*keys).agg(F.count("value").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_samp("value"), 6).alias("std"), F.min("value").alias("min"), F.percentile("value", list(QUANTILES.values())).alias("q"), F.max("value").alias("max"))
-    return out.select(*keys, "n", "mean", "std", "min", *[F.round(F.col("q")[i], 9).alias(k) for i, k in enumerate(QUANTILES)], "max", F.round(F.col("q")[3] - F.col("q")[1], 9).alias("iqr"))
+    out = quantiles.summary(long, keys, "value", QUANTILES)
+    return out.select(*keys, "n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "min", *[F.round(k, 9).alias(k) for k in QUANTILES], "max", F.round(F.col("p75") - F.col("p25"), 9).alias("iqr"))
 
 
 def coverage(df: DataFrame, source: str, columns: Sequence[str]) -> DataFrame:
@@ -62,7 +64,7 @@ def pairwise_distances(long: DataFrame, main: str, least: int = 20) -> DataFrame
     Equal values are counted first, and running sums need no task that sees a whole pair.  The area
     between the distributions is summed at their steps: a value times the fall of the gap there.
     """
-    counts = long.groupBy("metric", "source", "value").agg(F.count(F.lit(1)).alias("c"))
+    counts = staged(long.groupBy("metric", "source", "value").agg(F.count(F.lit(1)).alias("c")))
     refs = counts.where(F.col("source") != main).select("metric", F.col("source").alias("reference"), "value", F.lit(0).cast("long").alias("a"), F.col("c").alias("b"))
     pairs = refs.select("metric", "reference").distinct()
     mains = counts.where(F.col("source") == main).select("metric", "value", F.col("c").alias("a"), F.lit(0).cast("long").alias("b")).join(pairs, "metric").select("metric", "reference", "value", "a", "b")
@@ -72,7 +74,7 @@ def pairwise_distances(long: DataFrame, main: str, least: int = 20) -> DataFrame
     gap = lambda a, b: F.abs(a / F.col("na") - b / F.col("nb"))
     at, left = gap(F.col("ra"), F.col("rb")), gap(F.col("ra") - F.col("a"), F.col("rb") - F.col("b"))
     out = summed.join(whole, ["metric", "reference"]).groupBy("metric", "reference").agg(F.max("na").alias("n_main"), F.max("nb").alias("n_reference"), F.round(F.max(at), 9).alias("ks"), F.round(F.sum(F.col("value") * (left - at)), 6).alias("wasserstein"))
-    medians = long.groupBy("metric", "source").agg(F.percentile("value", 0.5).alias("m"))
+    medians = staged(quantiles.summary(counts, ["metric", "source"], "value", {"m": 0.5}, "c").select("metric", "source", "m"))
     out = out.join(medians.where(F.col("source") == main).select("metric", F.col("m").alias("median_main")), "metric").join(medians.select("metric", F.col("source").alias("reference"), F.col("m").alias("median_reference")), ["metric", "reference"])
     return out.withColumns({"median_difference": F.round(F.col("median_main") - F.col("median_reference"), 9), "median_ratio": F.round(exprs.median_ratio("median_main", "median_reference"), 9)})
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import exprs
 from tessera.functions.names import available
+from tessera.operators import quantiles
 from tessera.operators.staging import folder
 from tessera.plans.specs import ContextSpec
 
@@ -64,7 +65,7 @@ def cooccurrence(df: DataFrame, specs: Sequence[ContextSpec], outcome: str, view
 
 def high_lift_edges(edges: DataFrame, least: int = 25, limit: int = 100) -> DataFrame:
     """Edges with at least max(least, whole part of the first quartile) rows and a lift of 1 or more, the best first."""
-    bound = edges.agg(F.greatest(F.lit(least), F.floor(F.percentile("row_count", 0.25))).alias("bound"))
+    bound = quantiles.quantiles(edges, [], "row_count", {"q": 0.25}).agg(F.max(F.greatest(F.lit(least), F.floor("q"))).alias("bound"))  # one row; edges below are none where there is no quantile
     kept = edges.crossJoin(F.broadcast(bound)).where((F.col("row_count") >= F.col("bound")) & (F.col("lift") >= 1)).drop("bound")
     return kept.orderBy(F.desc("lift"), F.desc("outcome_rate"), F.desc("row_count"), "source", "target").limit(limit)
 

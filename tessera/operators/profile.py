@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import exprs
+from tessera.operators import quantiles
 from tessera.operators.running import numbered
+from tessera.operators.staging import staged
 
 TRUE_WORDS, FALSE_WORDS = ("true", "1", "yes", "y"), ("false", "0", "no", "n")
 
@@ -66,9 +68,13 @@ def duplicate_audit(df: DataFrame, keys: Sequence[Sequence[str]]) -> DataFrame:
 def numeric_summary(df: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
     """count, missing fraction, mean, sample deviation and quartiles of each column by group, long form."""
     long = df.select(exprs.clean(group).alias(group), F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("v")) for c in columns])))
-    return long.groupBy(group, "metric").agg(
-        F.count("v").alias("n"), (F.count_if(F.col("v").isNull()) / F.count(F.lit(1))).alias("missing_fraction"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.stddev_samp("v"), 6).alias("std"),
-        F.min("v").alias("min"), F.percentile("v", 0.25).alias("q25"), F.percentile("v", 0.5).alias("median"), F.percentile("v", 0.75).alias("q75"), F.max("v").alias("max"),
+    counts = staged(long.groupBy(group, "metric", "v").agg(F.count(F.lit(1)).alias("c")))
+    all_rows = counts.groupBy(group, "metric").agg(F.sum(F.when(F.col("v").isNull(), F.col("c")).otherwise(0)).alias("missing"), F.sum("c").alias("rows"))
+    known = quantiles.summary(counts, [group, "metric"], "v", {"q25": 0.25, "median": 0.5, "q75": 0.75}, "c").alias("k")
+    both = all_rows.alias("a").join(known, F.col(f"a.{group}").eqNullSafe(F.col(f"k.{group}")) & (F.col("a.metric") == F.col("k.metric")), "left")
+    return both.select(
+        f"a.{group}", "a.metric", F.coalesce("k.n", F.lit(0).cast("long")).alias("n"), (F.col("missing") / F.col("rows")).alias("missing_fraction"), F.round("k.mean", 6).alias("mean"), F.round("k.std", 6).alias("std"),
+        "k.min", "k.q25", "k.median", "k.q75", "k.max",
     )
 
 

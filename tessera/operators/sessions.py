@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.running import numbered
+from tessera.operators.staging import staged
 
 
 def step_index(df: DataFrame, session: str, order: Sequence[str]) -> DataFrame:
@@ -88,23 +89,14 @@ def nested_split(df: DataFrame, group: str, seed: int = 42, test_fraction: float
 def temporal_holdout(df: DataFrame, session: str, timestamp: str, test_fraction: float = 0.2) -> DataFrame:
     """Sessions by their first timestamp, the latest fraction (half-even rounding, at least one) as test.
 
-    The cut is an exact percentile of session starts, so there is no window over all sessions; ties
-    at the cut are broken by rank among the tied sessions only.
+    Sessions are numbered from the latest start on, equal starts from the largest session on.
     """
-    starts = df.groupBy(session).agg(F.min(timestamp).alias("start"))
+    starts = staged(df.groupBy(session).agg(F.min(timestamp).alias("start")))
     n = starts.count()
     if n == 0:
         return starts.withColumn("is_test", F.lit(False))
     test = max(1, round(n * test_fraction))
-    by_start = starts.groupBy("start").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("start"))
-    cut, above = None, 0
-    for row in by_start.limit(test).toLocalIterator():  # stops at the cut
-        if above + row["n"] >= test:
-            cut = row["start"]
-            break
-        above += row["n"]
-    tied = starts.where(F.col("start") == cut).withColumn("r", F.row_number().over(Window.partitionBy("start").orderBy(F.desc(session)))).select(session, (F.col("r") <= test - above).alias("in_cut"))
-    return starts.join(tied, session, "left").select(session, "start", ((F.col("start") > cut) | F.coalesce("in_cut", F.lit(False))).alias("is_test"))
+    return numbered(starts, [F.desc("start"), F.desc(session)], "_nth").select(session, "start", (F.col("_nth") <= test).alias("is_test"))
 
 
 def sample_rows(df: DataFrame, key: str, limit: int, seed: int = 42) -> DataFrame:
