@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from tessera.functions import exprs
 from tessera.functions.names import available
 from tessera.operators import quantiles
-from tessera.operators.staging import folder
+from tessera.operators.running import numbered
+from tessera.operators.staging import delete, folder, staged, written
 from tessera.plans.specs import ContextSpec
 
 
@@ -104,21 +105,27 @@ def symmetric(edges: DataFrame, weight: str) -> DataFrame:
     return both.groupBy("source", "target").agg(F.sum(weight).alias(weight))
 
 
-def label_propagation(edges: DataFrame, weight: str, sweeps: int = 10, bound: int = 200_000) -> DataFrame:
+def label_propagation(edges: DataFrame, weight: str, sweeps: int = 10, few: int = 50_000) -> DataFrame:
     """Asynchronous weighted label propagation: nodes by descending weight then id, ties to the smallest label, compact ids.
 
-    The order of updates makes it sequential, so it runs in one task behind a check of the edge
-    count; larger graphs raise, and ``components`` is the distributed alternative.
+    A node waits only for the neighbours before it in the order, so nodes fall into levels that can move
+    together, and a sweep is one join for each level (``by_levels``).  Up to ``few`` directed edges, one task
+    sweeps through them.  Both give the labels of the sequential sweep; votes are sums of doubles.
     """
-    sym = symmetric(edges, weight)
-    if sym.count() > bound:
-        raise ValueError(f"more than {bound} directed edges")
+    sym = staged(symmetric(edges, weight))
+    labels = _swept(sym, weight, sweeps) if sym.count() <= few else by_levels(sym, weight, sweeps)
+    ids = numbered(labels.select("label").distinct(), [F.col("label")], "_id").select("label", (F.col("_id") - 1).alias("community"))
+    return labels.join(ids, "label").select("node_id", "community")
+
+
+def _swept(sym: DataFrame, weight: str, sweeps: int) -> DataFrame:
+    """(node_id, label) of a small graph, one node after the other."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(frames)) if (frames := list(frames)) else pd.DataFrame(columns=["source", "target", weight])
         near: dict[str, dict[str, float]] = {}
-        for s, t, w in zip(pdf["source"], pdf["target"], pdf[weight]):
-            near.setdefault(s, {})[t] = float(w)
+        for pdf in frames:
+            for s, t, w in zip(pdf["source"], pdf["target"], pdf[weight]):
+                near.setdefault(s, {})[t] = float(w)
         label = {n: n for n in near}
         order = sorted(near, key=lambda n: (-sum(near[n].values()), n))
         for _ in range(sweeps):
@@ -127,15 +134,70 @@ def label_propagation(edges: DataFrame, weight: str, sweeps: int = 10, bound: in
                 votes: dict[str, float] = {}
                 for m, w in near[n].items():
                     votes[label[m]] = votes.get(label[m], 0.0) + w
-                best = min(votes, key=lambda c: (-votes[c], c)) if votes else label[n]
+                best = min(votes, key=lambda c: (-votes[c], c))
                 moved |= best != label[n]
                 label[n] = best
             if not moved:
                 break
-        ids = {c: i for i, c in enumerate(sorted(set(label.values())))}
-        yield pd.DataFrame({"node_id": list(label), "community": [ids[c] for c in label.values()]}).astype({"node_id": str, "community": "int64"})
+        yield pd.DataFrame({"node_id": list(label), "label": list(label.values())}).astype({"node_id": str, "label": str})
+
+    return sym.select("source", "target", F.col(weight).cast("double").alias(weight)).repartition(1).mapInPandas(run, "node_id string, label string")
+
 
-    return sym.coalesce(1).mapInPandas(run, "node_id string, community long")
+def update_levels(sym: DataFrame, weight: str) -> DataFrame:
+    """(node_id, level): 1 for nodes before all their neighbours in the order of updates, else one more than the highest level of a neighbour before them.
+
+    Level by level, nodes that no open neighbour comes before are taken out; links of nodes that are out
+    no longer count, so the table of open links shrinks.
+    """
+    strength = staged(sym.groupBy("source").agg(F.sum(F.col(weight).cast("double")).alias("s")))
+    ends = sym.where("source <> target").select("source", "target").join(strength, "source").join(strength.select(F.col("source").alias("target"), F.col("s").alias("t")), "target")
+    waits = ends.where((F.col("t") > F.col("s")) | ((F.col("t") == F.col("s")) & (F.col("target") < F.col("source")))).select("source", "target")
+    spark, nodes = sym.sparkSession, strength.select(F.col("source").alias("node_id"))
+    (waits, last), (nodes, rest), out, level = written(waits), written(nodes), None, 0
+    while not nodes.isEmpty():
+        level += 1
+        free = staged(nodes.join(waits.select(F.col("source").alias("node_id")).distinct(), "node_id", "left_anti"))
+        out = (lambda new: new if out is None else out.unionByName(new))(free.withColumn("level", F.lit(level)))
+        if level % 20 == 0:
+            out = staged(out)
+        open_waits, new_last = written(waits.join(free.withColumnRenamed("node_id", "target"), "target", "left_anti").select("source", "target"))
+        open_nodes, new_rest = written(nodes.join(free, "node_id", "left_anti"))
+        delete(spark, last, rest)
+        waits, nodes, last, rest = open_waits, open_nodes, new_last, new_rest
+    return spark.createDataFrame([], "node_id string, level int") if out is None else out
+
+
+def by_levels(sym: DataFrame, weight: str, sweeps: int) -> DataFrame:
+    """(node_id, label) after so many sweeps, or when nothing moves: one join and one aggregate for each level.
+
+    Nodes of one level are no neighbours, so their votes come from levels before, with this sweep's labels,
+    and from levels behind, with the last sweep's; each level's labels are a table of their own.
+    """
+    spark = sym.sparkSession
+    levels = staged(update_levels(sym, weight))
+    leveled, at = written(sym.join(levels.withColumnRenamed("node_id", "source"), "source").select("source", "target", F.col(weight).cast("double").alias("w"), "level"), "level")
+    schema = "node_id string, label string"
+    paths = {}
+    for level in range(1, (levels.agg(F.max("level")).first()[0] or 0) + 1):
+        paths[level] = written(levels.where(F.col("level") == level).select("node_id", F.col("node_id").alias("label")))[1]
+    now = lambda: spark.read.schema(schema).parquet(*paths.values())
+    for _ in range(sweeps):
+        moved = False
+        for level, old in list(paths.items()):
+            mine = leveled.where(F.col("level") == level)
+            votes = mine.join(now().withColumnRenamed("node_id", "target"), "target").groupBy("source", "label").agg(F.sum("w").alias("w"))
+            best = votes.groupBy(F.col("source").alias("node_id")).agg(F.min_by("label", F.struct(-F.col("w"), F.col("label"))).alias("label"))
+            new, path = written(best)
+            before = spark.read.schema(schema).parquet(old).withColumnRenamed("label", "before")
+            moved = moved or not new.join(before, "node_id").where("label <> before").isEmpty()
+            paths[level] = path
+            delete(spark, old)
+        if not moved:
+            break
+    out = staged(now()) if paths else spark.createDataFrame([], schema)
+    delete(spark, at, *paths.values())
+    return out
 
 
 def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:

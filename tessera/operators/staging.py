@@ -23,8 +23,21 @@ def folder(spark: SparkSession) -> str:
     return _OWN[0]
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """``df`` written once as Parquet and read back, for what several parts of a plan need."""
+def written(df: DataFrame, *partitions: str) -> tuple[DataFrame, str]:
+    """``df`` written once as Parquet and read back, with its path, which ``delete`` removes."""
     path = f"{folder(df.sparkSession)}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*partitions).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """The same without the path, for what several parts of a plan need; it stays while the application may read it."""
+    return written(df)[0]
+
+
+def delete(spark: SparkSession, *paths: str) -> None:
+    """Remove folders that ``written`` has named; nothing may read them any more."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
