@@ -79,9 +79,10 @@ _add(
     f"{T}, i AS (SELECT unnest(items) AS item FROM t) SELECT item, split_part(item, '=', 1) AS family, substr(item, instr(item, '=') + 1) AS value, count(*) AS n, count(*) / (SELECT count(*) FROM t) AS support FROM i GROUP BY 1",
 )
 SETS = f"""{T}, i AS (SELECT rid, unnest(items) AS x FROM t), need AS (SELECT ceil(round(0.05 * count(*), 6)) AS need, count(*) AS total FROM t),
-s1 AS (SELECT x, count(*) AS n FROM i GROUP BY 1 HAVING count(*) >= (SELECT need FROM need)), j AS (SELECT * FROM i SEMI JOIN s1 USING (x)),
-s2 AS (SELECT a.x AS x, b.x AS y, count(*) AS n FROM j a JOIN j b ON a.rid = b.rid AND a.x < b.x GROUP BY 1, 2 HAVING count(*) >= (SELECT need FROM need)),
-s3 AS (SELECT a.x AS x, b.x AS y, c.x AS z, count(*) AS n FROM j a JOIN j b ON a.rid = b.rid AND a.x < b.x JOIN j c ON b.rid = c.rid AND b.x < c.x GROUP BY 1, 2, 3 HAVING count(*) >= (SELECT need FROM need)),
+s1 AS MATERIALIZED (SELECT x, count(*) AS n FROM i GROUP BY 1 HAVING count(*) >= (SELECT need FROM need)),
+u AS MATERIALIZED (SELECT s, count(*) AS copies, row_number() OVER () AS rid FROM (SELECT list(x ORDER BY x) AS s FROM i SEMI JOIN s1 USING (x) GROUP BY rid) GROUP BY s), j AS MATERIALIZED (SELECT rid, copies, unnest(s) AS x FROM u),
+s2 AS MATERIALIZED (SELECT a.x AS x, b.x AS y, sum(a.copies)::BIGINT AS n FROM j a JOIN j b ON a.rid = b.rid AND a.x < b.x GROUP BY 1, 2 HAVING sum(a.copies) >= (SELECT need FROM need)),
+s3 AS MATERIALIZED (SELECT a.x AS x, b.x AS y, c.x AS z, sum(a.copies)::BIGINT AS n FROM j a JOIN j b ON a.rid = b.rid AND a.x < b.x JOIN j c ON b.rid = c.rid AND b.x < c.x GROUP BY 1, 2, 3 HAVING sum(a.copies) >= (SELECT need FROM need)),
 sets AS (SELECT [x] AS itemset, 1 AS size, n FROM s1 UNION ALL SELECT [x, y], 2, n FROM s2 UNION ALL SELECT [x, y, z], 3, n FROM s3)"""
 
 
@@ -96,7 +97,7 @@ def _shown(df):
 _add("frequent_pairs", lambda s, d: _shown(patterns.frequent_itemsets(_transactions(s, d), max_length=2).where("size = 2")), f"{SETS} SELECT array_to_string(itemset, ';') AS itemset, size, n, n / total AS support FROM sets, need WHERE size = 2")
 _add("frequent_triples", lambda s, d: _shown(_sets(s, d).where("size = 3")), f"{SETS} SELECT array_to_string(itemset, ';') AS itemset, size, n, n / total AS support FROM sets, need WHERE size = 3")
 _add("fpgrowth_itemsets", lambda s, d: _shown(patterns.fpgrowth_itemsets(_transactions(s, d))), f"{SETS} SELECT array_to_string(itemset, ';') AS itemset, size, n, n / total AS support FROM sets, need")
-RULES = f"""{SETS}, p AS (SELECT itemset, n / total AS support FROM sets, need), mk AS (SELECT itemset, support, unnest(range(1, (1 << len(itemset)) - 1)) AS mask FROM p WHERE len(itemset) > 1),
+RULES = f"""{SETS}, p AS MATERIALIZED (SELECT itemset, n / total AS support FROM sets, need), mk AS (SELECT itemset, support, unnest(range(1, (1 << len(itemset)) - 1)) AS mask FROM p WHERE len(itemset) > 1),
 sp AS (SELECT support, list_filter(itemset, lambda x, i: (mask >> (i - 1)) & 1 = 1) AS a, list_filter(itemset, lambda x, i: (mask >> (i - 1)) & 1 = 0) AS c FROM mk),
 rules AS (SELECT array_to_string(a, ';') AS antecedent, array_to_string(c, ';') AS consequent, pa.support AS sa, pc.support AS sc, sp.support AS support, sp.support / pa.support AS confidence FROM sp JOIN p pa ON pa.itemset = a JOIN p pc ON pc.itemset = c WHERE sp.support / pa.support >= 0.3)"""
 
