@@ -112,10 +112,12 @@ def davies_bouldin(df: DataFrame, cluster: str, vector: str) -> DataFrame:
 
 
 def silhouette(df: DataFrame, features: str, cluster: str) -> float:
-    """MLlib's silhouette (squared Euclidean distance), which needs no pairs."""
-    from pyspark.ml.evaluation import ClusteringEvaluator
+    """Mean Euclidean silhouette of a labelling of vectors, on the rows that ``centres.silhouette`` takes."""
+    from pyspark.ml.functions import vector_to_array
 
-    return ClusteringEvaluator(featuresCol=features, predictionCol=cluster).evaluate(df)
+    from tessera.operators import centres
+
+    return centres.silhouette(df.select(vector_to_array(features).alias("v"), cluster), "v", [cluster])[cluster]
 
 
 def profile(df: DataFrame, cluster: str, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import boosting, evaluation
+from tessera.operators import boosting, evaluation, histboost
 from tessera.operators.staging import staged
 
 #: Models of the catalogue whose library is not there: they get a row that says so.
@@ -42,7 +42,7 @@ def preprocessor(numeric: Sequence[str], categorical: Sequence[str]) -> Pipeline
 
 
 def catalogue(label: str = "label", weight: str = "weight") -> dict:
-    """Models by name, with balanced class weights where the method takes weights."""
+    """Models by name, with balanced class weights where the method takes weights; depths, rounds, rates and least leaf sizes are fixed values."""
     shared = {"featuresCol": "features", "labelCol": label}
     return {
         "logistic_regression": LogisticRegression(**shared, weightCol=weight, maxIter=50),
@@ -53,6 +53,7 @@ def catalogue(label: str = "label", weight: str = "weight") -> dict:
         "gradient_boosting": GBTClassifier(**shared, weightCol=weight, maxIter=40, maxDepth=5, seed=42),
         "gaussian_naive_bayes": NaiveBayes(**shared, weightCol=weight, modelType="gaussian"),
         "adaboost": boosting.AdaBoost(rounds=40, rate=0.08),
+        "hist_gradient_boosting": histboost.HistBoost(),
         "rbf_svm": boosting.KernelMachine(),
         "knn": boosting.Neighbours(k=7),
     }

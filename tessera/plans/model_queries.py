@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import clustering, density, evaluation, linkage, models, sessions
+from tessera.operators import centres, clustering, density, evaluation, linkage, models, sessions
 from tessera.plans import bindings as b
 
 L, E = f"WITH {b.LINES_SQL}", f"WITH {b.EVENTS_SQL}"
@@ -97,6 +97,14 @@ _add("cluster_validation", lambda s, d: clustering.validation(_vectors(s, d), "f
 _add("cluster_stability", lambda s, d: clustering.stability(_vectors(s, d), "features", "vec_id", 3, [1, 2, 3]))
 _add("block_sensitivity", lambda s, d: clustering.block_sensitivity(_customers(s, d), {"money": ["c_acctbal"], "both": ["c_acctbal", "nation"]}))
 _add("nearest_neighbours", lambda s, d: models.nearest_neighbours(b.table(s, d, "embeddings").where("vec_id % 5 > 0").withColumn("y", F.col("label") % 2), b.table(s, d, "embeddings").where("vec_id % 5 = 0"), "vec_id", "embedding", "y"))
+_add(
+    "silhouette_euclidean", lambda s, d: s.createDataFrame([(round(centres.silhouette(b.table(s, d, "embeddings"), "embedding", ["label"], rows=None)["label"], 6),)], "silhouette double"),
+    """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT a.vec_id, a.label, o.label AS other, sum(list_distance(a.v, o.v)) / count(*) AS m FROM e a JOIN e o ON a.vec_id <> o.vec_id GROUP BY 1, 2, 3),
+    q AS (SELECT vec_id, max(m) FILTER (other = label) AS a, min(m) FILTER (other <> label) AS b FROM p GROUP BY 1) SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM q""",
+)
+_add("k_sweep", lambda s, d: centres.sweep_table(b.table(s, d, "embeddings"), "embedding"))
+_add("best_k", lambda s, d: clustering.best_k(centres.sweep_table(_customers(s, d).select(F.array(F.col("c_acctbal") / 5000, F.col("nation") / 10).alias("v")), "v")))
+_add("gaussian_mixture_bic", lambda s, d: centres.mixture_table(b.table(s, d, "embeddings"), "embedding"))
 _add("kmeans", lambda s, d: clustering.kmeans(_vectors(s, d), "features", 4).groupBy("cluster").agg(F.count(F.lit(1)).alias("n")))
 _add("bisecting_kmeans", lambda s, d: clustering.bisecting(_vectors(s, d), "features", 4).groupBy("cluster").agg(F.count(F.lit(1)).alias("n")))
 _add("ward", lambda s, d: linkage.ward_all(b.table(s, d, "embeddings"), "vec_id", "embedding", 4).groupBy("cluster").agg(F.count(F.lit(1)).alias("n")))
