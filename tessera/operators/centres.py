@@ -191,10 +191,14 @@ def silhouette(df: DataFrame, vector: str, clusters: Sequence[str], rows: int |
 
 def sweep_table(df: DataFrame, vector: str, ks: Sequence[int] = K_RANGE, starts: int = STARTS, seed: int = 42, rows: int | None = EVALUATED) -> DataFrame:
     """k, inertia, iterations, silhouette, davies_bouldin, calinski_harabasz and the smallest cluster's share, for the best start of each k."""
+    return scored(df, vector, k_sweep(df, vector, ks, starts, seed), rows)
+
+
+def scored(df: DataFrame, vector: str, runs: Sequence[Run], rows: int | None = EVALUATED) -> DataFrame:
+    """The scores of ``sweep_table`` for runs that have been made."""
     from tessera.operators import clustering
 
     names = "k int, inertia double, iterations int, silhouette double, davies_bouldin double, calinski_harabasz double, smallest_share double"
-    runs = k_sweep(df, vector, ks, starts, seed)
     if not runs:
         return df.sparkSession.createDataFrame([], names)
     labelled = df.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("v"))

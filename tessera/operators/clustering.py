@@ -163,23 +163,34 @@ def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
     return one.select(F.round(F.when(most == expected, 1.0).otherwise((F.col("cells") - expected) / (most - expected)), 9).alias("adjusted_rand_index"))
 
 
-def bootstrap_means(df: DataFrame, cluster: str, metric: str, repetitions: int = 300, seed: int = 42) -> DataFrame:
-    """Percentile interval of cluster means by Poisson bootstrap: each task adds weighted sums for all repetitions, which a sum combines."""
+def poisson_weights(keys: np.ndarray, repetitions: int, seed: int) -> np.ndarray:
+    """(repetitions, rows): Poisson counts of mean 1 by inverting a hash of row and repetition."""
+    with np.errstate(over="ignore"):
+        z = keys[None, :] * np.uint64(0x9E3779B97F4A7C15) + (np.arange(repetitions, dtype=np.uint64)[:, None] + np.uint64(seed << 20)) * np.uint64(0xD1342543DE82EF95)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
+    u = (z ^ (z >> np.uint64(31))).astype(float) / 2.0**64
+    return np.searchsorted(np.cumsum(np.exp(-1.0) / np.cumprod(np.maximum(np.arange(20), 1))), u, side="right")
+
+
+def bootstrap_means(df: DataFrame, cluster: str, metric: str, repetitions: int = 300, seed: int = 42, key: str | None = None) -> DataFrame:
+    """Percentile interval of cluster means by Poisson bootstrap: each task adds weighted sums for all repetitions, which a sum combines.
+
+    A row's weights follow from its own hash, so the interval depends neither on batches nor on partitions.
+    """
 
     def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, np.ndarray] = {}
         for pdf in frames:
             for c, part in pdf.groupby("c"):
                 x = part["x"].to_numpy(float)
-                keys = part["h"].to_numpy().astype(np.uint64)
-                rng = np.random.default_rng(np.concatenate([[seed], keys[:8] % (1 << 32)]).astype(np.uint64))
-                w = rng.poisson(1.0, size=(repetitions, len(x)))
-                total = np.stack([w @ x, w.sum(axis=1)])
-                held[c] = held.get(c, 0) + total
+                w = poisson_weights(part["h"].to_numpy().astype(np.uint64), repetitions, seed)
+                held[c] = held.get(c, 0) + np.stack([w @ x, w.sum(axis=1)])
         for c, t in held.items():
             yield pd.DataFrame({"cluster": c, "r": np.arange(repetitions), "s": t[0], "n": t[1]})
 
-    rows = df.select(F.col(cluster).cast("int").alias("c"), F.col(metric).cast("double").alias("x"), F.xxhash64(metric).alias("h")).where("x IS NOT NULL")
+    keys = F.xxhash64(*df.columns) if key is None else F.xxhash64(key)
+    rows = df.select(F.col(cluster).cast("int").alias("c"), F.col(metric).cast("double").alias("x"), keys.alias("h")).where("x IS NOT NULL")
     means = rows.mapInPandas(sums, "cluster int, r int, s double, n double").groupBy("cluster", "r").agg((F.sum("s") / F.sum("n")).alias("m"))
     return means.groupBy("cluster").agg(F.percentile("m", 0.025).alias("ci_low"), F.avg("m").alias("mean"), F.percentile("m", 0.975).alias("ci_high"))
 
@@ -371,6 +382,42 @@ def block_sensitivity(df: DataFrame, blocks: dict[str, Sequence[str]], k: int =
     return df.sparkSession.createDataFrame(rows, "block string, columns int, silhouette double")
 
 
+def session_clusters(df: DataFrame, session: str, outcome: str, numeric: Sequence[str], categorical: Sequence[str], ks: Sequence[int] = range(2, 9), starts: int = 20) -> tuple[DataFrame, DataFrame]:
+    """Clusters of whole sessions: the scores of each k, and session, cluster, outcome_rate with the best k's labels.
+
+    A session is its mean numbers and most common categories (ties: the smallest), standardised and one-hot;
+    clusters are numbered from 0 by ascending outcome rate.  Fewer than three sessions give empty tables.
+    """
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    from tessera.operators import centres
+    from tessera.operators.sessions import session_profile
+
+    rates = df.groupBy(session).agg(F.avg(F.col(outcome).cast("double")).alias("outcome_rate"))
+    table = staged(session_profile(df, session, numeric, categorical).join(rates, session))
+    n = table.count()
+    names = "k int, inertia double, iterations int, silhouette double, davies_bouldin double, calinski_harabasz double, smallest_share double"
+    if n < 3:
+        return df.sparkSession.createDataFrame([], names), table.select(session, F.lit(0).alias("cluster"), "outcome_rate").where("false")
+    table = table.fillna(0.0, list(numeric)).fillna("", list(categorical))
+    stages = [VectorAssembler(inputCols=list(numeric), outputCol="_n"), StandardScaler(inputCol="_n", outputCol="_s", withMean=True)]
+    parts = ["_s"]
+    for c in categorical:
+        stages += [StringIndexer(inputCol=c, outputCol=f"_i_{c}", stringOrderType="alphabetAsc"), OneHotEncoder(inputCol=f"_i_{c}", outputCol=f"_h_{c}", dropLast=False)]
+        parts.append(f"_h_{c}")
+    ready = Pipeline(stages=[*stages, VectorAssembler(inputCols=parts, outputCol="_f")]).fit(table).transform(table)
+    ready = staged(ready.select(session, "outcome_rate", vector_to_array("_f").alias("v")))
+    runs = centres.k_sweep(ready, "v", [k for k in ks if k < n], starts)
+    scores = staged(centres.scored(ready, "v", runs))
+    best = best_k(scores).first()["k"]
+    labelled = centres.assigned(ready, "v", next(r.centres for r in runs if r.k == best)).withColumn("_one", F.col("outcome_rate"))
+    order = labelled.groupBy("cluster").agg(F.avg("_one").alias("r"))
+    new = order.select("cluster", (F.row_number().over(Window.partitionBy().orderBy("r", "cluster")) - 1).alias("_new"))  # one row for each cluster
+    return scores, labelled.join(F.broadcast(new), "cluster").select(session, F.col("_new").alias("cluster"), "outcome_rate")
+
+
 def valid_partition(clusters: int, noise: float, smallest: float, silhouette_value: float | None) -> bool:
     """Whether a density clustering is worth reporting."""
     return clusters >= 2 and noise <= 0.6 and smallest >= 0.01 and silhouette_value is not None

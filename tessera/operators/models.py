@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import re
+import uuid
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import boosting, evaluation, histboost
-from tessera.operators.staging import staged
+from tessera.operators.staging import delete, folder, staged
 
 #: Models of the catalogue whose library is not there: they get a row that says so.
 ABSENT = ("xgboost",)
@@ -89,30 +89,73 @@ def run_experiment(train: DataFrame, test: DataFrame, label: str, numeric: Seque
     return out
 
 
-def tree_rules(df: DataFrame, label: str, numeric: Sequence[str], depth: int = 4, least: int = 150, impurity: str = "gini") -> DataFrame:
+def tree_rules(df: DataFrame, label: str, numeric: Sequence[str], depth: int = 4, least: int = 150, impurity: str = "gini", balanced: bool = False) -> DataFrame:
     """Leaf rules of a shallow tree on raw columns: conditions, rows, positives and rate of each leaf.
 
-    Trees do not depend on scales, so thresholds are those of the columns themselves.
+    Trees do not depend on scales, so thresholds are those of the columns themselves.  The rules come from the
+    node table that the model writes, and every row has to fall into one leaf.  With ``balanced``, both classes
+    weigh the same in the fit; a split needs twice ``least`` rows, as both sides need ``least``.
     """
-    assembled = VectorAssembler(inputCols=list(numeric), outputCol="features").transform(df.withColumn("label", F.col(label).cast("double")))
-    model = DecisionTreeClassifier(maxDepth=depth, minInstancesPerNode=least, impurity=impurity).fit(assembled)
-    rules, path = [], []
-    for line in model.toDebugString.splitlines()[1:]:
-        level = len(line) - len(line.lstrip()) - 2
-        text = line.strip()
-        path = path[:level]
-        if m := re.fullmatch(r"(?:If|Else) \(feature (\d+) (<=|>) ([^)]+)\)", text):
-            path.append(f"`{numeric[int(m[1])]}` {m[2]} {m[3]}D")
-        elif m := re.fullmatch(r"Predict: ([\d.]+)", text):
-            rules.append((len(rules) + 1, " AND ".join(path) or "true", int(float(m[1]))))
+    held = df.withColumn("label", F.col(label).cast("double"))
+    assembled = VectorAssembler(inputCols=list(numeric), outputCol="features").transform(balanced_weights(held, "label") if balanced else held)
+    tree = DecisionTreeClassifier(maxDepth=depth, minInstancesPerNode=least, impurity=impurity, **({"weightCol": "weight"} if balanced else {}))
+    nodes = node_table(tree.fit(assembled))
+    rules: list[tuple[int, str, int]] = []
+
+    def visit(node: int, path: list[str]) -> None:
+        n = nodes[node]
+        if n["leftChild"] < 0:
+            rules.append((len(rules) + 1, " AND ".join(path) or "true", int(n["prediction"])))
+            return
+        column, cut = f"`{numeric[n['split']['featureIndex']]}`", n["split"]["leftCategoriesOrThreshold"][0]
+        visit(n["leftChild"], [*path, f"{column} <= {cut}D"])
+        visit(n["rightChild"], [*path, f"{column} > {cut}D"])
+
+    visit(0, [])
     leaf = F.lit(None).cast("int")
     for number, condition, _ in reversed(rules):
         leaf = F.when(F.expr(condition), number).otherwise(leaf)
-    stats = df.withColumn("leaf", leaf).groupBy("leaf").agg(F.count(F.lit(1)).alias("row_count"), F.sum(F.col(label).cast("long")).alias("outcome_count"))
+    stats = staged(df.withColumn("leaf", leaf).groupBy("leaf").agg(F.count(F.lit(1)).alias("row_count"), F.sum(F.col(label).cast("long")).alias("outcome_count")))
+    if not stats.where("leaf IS NULL").isEmpty():
+        raise ValueError("rows without a value in one of the columns fall into no leaf")
     names = df.sparkSession.createDataFrame(rules, "leaf int, rule string, predicted int")
     return names.join(stats, "leaf").withColumn("outcome_rate", F.col("outcome_count") / F.col("row_count"))
 
 
+def node_table(model) -> dict[int, dict]:
+    """Nodes of a tree as the model writes them: id -> prediction, leftChild, rightChild (-1 for leaves), split."""
+    spark = SparkSession.getActiveSession()
+    path = f"{folder(spark)}/tree-{uuid.uuid4().hex}"
+    model.write().save(path)
+    found = {r["id"]: r.asDict(recursive=True) for r in spark.read.parquet(f"{path}/data").collect()}  # at most 2^(depth + 1) rows
+    delete(spark, path)
+    if any(n["leftChild"] >= 0 and n["split"]["numCategories"] >= 0 for n in found.values()):
+        raise ValueError("only trees on numbers have rules")
+    return found
+
+
+def importance_table(df: DataFrame, label: str, numeric: Sequence[str], categorical: Sequence[str], names: Sequence[str], top: int = 40) -> DataFrame:
+    """model_name, rank, feature, importance: the largest importances (or absolute coefficients) of fitted models, by encoded column."""
+    prep = preprocessor(numeric, categorical).fit(df)
+    fit_on = staged(balanced_weights(prep.transform(df).withColumn("label", F.col(label).cast("double")), "label").select("features", "label", "weight"))
+    attrs = prep.transform(df).schema["features"].metadata["ml_attr"]["attrs"]
+    columns = [a["name"] for a in sorted((a for kind in attrs.values() for a in kind), key=lambda a: a["idx"])]
+    models, rows = catalogue(), []
+    for name in names:
+        rows += [(name, i + 1, c, v) for i, (c, v) in enumerate(importances(models[name].fit(fit_on), columns, top))]
+    return df.sparkSession.createDataFrame(rows, "model_name string, rank int, feature string, importance double")
+
+
+def scored_rows(train: DataFrame, test: DataFrame, key: str, label: str, numeric: Sequence[str], categorical: Sequence[str], name: str) -> DataFrame:
+    """key, actual, predicted, probability of the test rows by one model: what confusion, calibration and curves are made of."""
+    prep = preprocessor(numeric, categorical).fit(train)
+    fit_on = staged(balanced_weights(prep.transform(train).withColumn("label", F.col(label).cast("double")), "label").select("features", "label", "weight"))
+    found = catalogue()[name].fit(fit_on).transform(prep.transform(test))
+    if "score" not in found.columns:
+        found = found.withColumn("score", vector_to_array("probability" if "probability" in found.columns else "rawPrediction")[1])
+    return found.select(key, F.col(label).cast("int").alias("actual"), F.col("prediction").cast("int").alias("predicted"), F.col("score").alias("probability"))
+
+
 def representative_rules(rules: DataFrame, per_class: int = 3) -> DataFrame:
     """For each class the rules with the highest confidence * ln(1 + rows)."""
     from pyspark.sql import Window
@@ -202,8 +245,8 @@ def rule_stability(df: DataFrame, group: str, label: str, numeric: Sequence[str]
     out = None
     for seed in seeds:
         rules = tree_rules(group_split(df, group, seed).where("NOT is_test"), label, numeric, depth, least)
-        column = F.regexp_extract(F.explode(F.split("rule", " AND ")), "`([^`]+)`", 1).alias("feature")
-        part = rules.select(column).where("feature <> ''").groupBy("feature").agg(F.count(F.lit(1)).alias("splits")).withColumn("seed", F.lit(seed))
+        conditions = rules.select(F.explode(F.split("rule", " AND ")).alias("condition"))
+        part = conditions.select(F.regexp_extract("condition", "`([^`]+)`", 1).alias("feature")).where("feature <> ''").groupBy("feature").agg(F.count(F.lit(1)).alias("splits")).withColumn("seed", F.lit(seed))
         out = part if out is None else out.unionByName(part)
     return out.groupBy("feature").agg(F.count(F.lit(1)).alias("seeds"), F.sum("splits").alias("splits"))
 

@@ -58,6 +58,38 @@ def dataset_summary(df: DataFrame, distinct: Sequence[str], timestamp: str | Non
     return one.unpivot([], one.columns, "metric", "value")
 
 
+def inferred_types(df: DataFrame) -> DataFrame:
+    """column_name, source_type, inferred_type, non_null, from one aggregate over all columns.
+
+    Of text the narrowest type that holds all known values: boolean (true, false), long, double, else string;
+    integers are doubles and doubles are text.  Doubles that are all whole become long.  A column without any
+    known value, and every other type, stays what it is.
+    """
+    cells = []
+    for c, kind in df.dtypes:
+        value = F.col(f"`{c}`")
+        known = F.count(value)
+        if kind == "string":
+            text = F.trim(value)
+            boolean = F.count_if(F.lower(text).isin("true", "false"))
+            whole = F.count_if(text.rlike(r"^[+-]?[0-9]{1,18}$"))
+            number = F.count_if(text.rlike(r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]{1,3})?$"))
+            found = F.when(known == 0, kind).when(boolean == known, "boolean").when(whole == known, "bigint").when(number == known, "double").otherwise(kind)
+        elif kind in ("double", "float"):
+            whole = F.count_if((F.abs(value) < 2.0**53) & (value == F.floor(value)))
+            found = F.when((known > 0) & (whole == known), "bigint").otherwise(kind)
+        else:
+            found = F.lit(kind)
+        cells.append(F.struct(F.lit(c).alias("column_name"), F.lit(kind).alias("source_type"), found.alias("inferred_type"), known.alias("non_null")))
+    return df.agg(F.array(*cells).alias("all")).select(F.inline("all"))
+
+
+def converted(df: DataFrame) -> DataFrame:
+    """Every column in its inferred type."""
+    kinds = {r["column_name"]: r["inferred_type"] for r in inferred_types(df).collect()}  # one row a column
+    return df.select(*[F.trim(F.col(f"`{c}`")).cast(kinds[c]).alias(c) if kind == "string" and kinds[c] != kind else F.col(f"`{c}`").cast(kinds[c]).alias(c) for c, kind in df.dtypes])
+
+
 def duplicate_audit(df: DataFrame, keys: Sequence[Sequence[str]]) -> DataFrame:
     """Rows beyond the first of each key: n - distinct, nulls being equal to each other."""
     one = df.agg(F.count(F.lit(1)).alias("n"), *[F.count_distinct(F.struct(*k)).alias(f"d{i}") for i, k in enumerate(keys)])

@@ -11,7 +11,7 @@ from tessera.operators import assembly, compare, graphs, models, networks, patte
 from tessera.plans import bindings as b
 from tessera.plans import stages
 from tessera.plans.mining_queries import CO, DIST, LONGC, RULES, STEPS, _co, _pairs, _rows, _rules, _steps
-from tessera.sources import tables
+from tessera.sources import records, tables
 
 L, E = f"WITH {b.LINES_SQL}", f"WITH {b.EVENTS_SQL}"
 QUERIES, SQL = {}, {}
@@ -152,3 +152,40 @@ def _networks(s, d):
 
 
 _add("graph_networks", _networks)
+
+
+# Types and files
+def _stringified(s, d):
+    c = b.table(s, d, "customer")
+    return c.select(F.col("c_custkey").cast("string").alias("key"), "c_name", F.concat(F.lit(" "), F.col("c_acctbal").cast("string")).alias("balance"), (F.col("c_custkey") % 2 == 0).cast("string").alias("even"), F.col("c_nationkey").cast("double").alias("nation"), F.lit(None).cast("string").alias("nothing"), F.when(F.col("c_custkey") % 3 > 0, F.col("c_custkey") % 3).cast("string").alias("gaps"))
+
+
+_add(
+    "inferred_types", lambda s, d: profile.inferred_types(_stringified(s, d)),
+    "SELECT 'key' AS column_name, 'string' AS source_type, 'bigint' AS inferred_type, count(*) AS non_null FROM customer UNION ALL SELECT 'c_name', 'string', 'string', count(*) FROM customer UNION ALL SELECT 'balance', 'string', 'double', count(*) FROM customer UNION ALL SELECT 'even', 'string', 'boolean', count(*) FROM customer"
+    " UNION ALL SELECT 'nation', 'double', 'bigint', count(*) FROM customer UNION ALL SELECT 'nothing', 'string', 'string', 0 FROM customer GROUP BY 1 UNION ALL SELECT 'gaps', 'string', 'bigint', count(*) FILTER (c_custkey % 3 > 0) FROM customer",
+)
+_add(
+    "converted_totals", lambda s, d: profile.converted(_stringified(s, d)).groupBy("even").agg(F.sum("key").alias("keys"), F.round(F.sum("balance"), 4).alias("balance"), F.sum("nation").alias("nations"), F.sum("gaps").alias("gaps"), F.count("nothing").alias("nothing")),
+    "SELECT c_custkey % 2 = 0 AS even, sum(c_custkey)::BIGINT AS keys, round(sum(c_acctbal), 4) AS balance, sum(c_nationkey)::BIGINT AS nations, sum(c_custkey % 3)::BIGINT AS gaps, 0::BIGINT AS nothing FROM customer GROUP BY 1",
+)
+
+
+def _csv_with_breaks(s, d):
+    rows = b.table(s, d, "customer").select("c_custkey", F.concat("c_name", F.lit('\n"a" quote,\n'), "c_mktsegment").alias("c_text"), "c_acctbal")
+    return tables.write_table(rows.coalesce(1), f"{staging.folder(s)}/csv-{uuid.uuid4().hex}", "csv")
+
+
+_add("csv_records", lambda s, d: records.csv_records(s, _csv_with_breaks(s, d)).select("records"), "SELECT count(*) + 1 AS records FROM customer")
+
+
+def _raw_audit(s, d):
+    at = f"{staging.folder(s)}/raw-{uuid.uuid4().hex}"
+    tables.write_table(b.table(s, d, "nation").coalesce(1), f"{at}/nation", "csv")
+    tables.write_table(b.table(s, d, "region").coalesce(1), f"{at}/region")
+    audit = tables.raw_audit(s, {"nation": f"{at}/nation", "region": f"{at}/region", "absent": f"{at}/absent"})
+    counted = F.when(F.col("dataset") == "nation", F.lit(tables.csv_rows(s, f"{at}/nation"))).cast("long")
+    return audit.select("dataset", "exists", "tables", "status", counted.alias("csv_rows"))
+
+
+_add("raw_audit", _raw_audit, "SELECT 'nation' AS dataset, true AS \"exists\", 1::BIGINT AS tables, 'ok' AS status, count(*) AS csv_rows FROM nation UNION ALL SELECT 'region', true, 1, 'ok', NULL UNION ALL SELECT 'absent', false, 0, 'missing', NULL")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import centres, clustering, density, evaluation, linkage, models, sessions
+from tessera.operators.staging import staged
 from tessera.plans import bindings as b
 
 L, E = f"WITH {b.LINES_SQL}", f"WITH {b.EVENTS_SQL}"
@@ -134,3 +135,23 @@ def _experiment(s, d, names=("logistic_regression", "decision_tree_gini", "gradi
 _add("model_comparison", _experiment)
 _add("model_catalogue", lambda s, d: _experiment(s, d, [*models.catalogue(), *models.ABSENT]))
 _add("tree_rules", lambda s, d: models.representative_rules(models.tree_rules(b.lines(s, d), "degraded", NUMERIC)))
+
+
+# The experiment's other tables
+def _split(s, d):
+    rows = sessions.group_split(b.lines(s, d), "session_id").select("measurement_id", "degraded", "is_test", *NUMERIC, *CATEGORICAL)
+    return rows.where("NOT is_test"), rows.where("is_test")
+
+
+def _model_rows(s, d):
+    return staged(models.scored_rows(*_split(s, d), "measurement_id", "degraded", NUMERIC, CATEGORICAL, "hist_gradient_boosting"))
+
+
+LEAKS = {"l_discount": "part of the outcome", "l_extendedprice": "part of the outcome", "session_id": "identifier", "service_state": "not in the table"}
+_add("model_confusion", lambda s, d: evaluation.confusion(_model_rows(s, d), "actual", "predicted"))
+_add("model_calibration", lambda s, d: evaluation.calibration(_model_rows(s, d), "actual", "probability"))
+_add("feature_importance", lambda s, d: models.importance_table(_split(s, d)[0], "degraded", NUMERIC, CATEGORICAL, ["decision_tree_gini", "logistic_regression"]))
+_add("repeated_experiment", lambda s, d: models.repeated_experiment(b.lines(s, d).select("session_id", "degraded", *NUMERIC, *CATEGORICAL), "session_id", "degraded", NUMERIC, CATEGORICAL, ["decision_tree_gini"], [1, 2, 3, 4, 5]))
+_add("rule_stability", lambda s, d: models.rule_stability(b.lines(s, d), "session_id", "degraded", NUMERIC, [1, 2, 3, 4, 5]))
+_add("exclusion_audit", lambda s, d: models.exclusion_audit(b.lines(s, d), LEAKS), "SELECT unnest(['l_discount', 'l_extendedprice', 'service_state', 'session_id']) AS column_name, unnest(['part of the outcome', 'part of the outcome', 'not in the table', 'identifier']) AS reason, unnest([true, true, false, true]) AS present FROM (SELECT count(*) FROM lineitem)")
+_add("session_clusters", lambda s, d: clustering.session_clusters(b.lines(s, d), "session_id", "degraded", ["l_quantity", "l_tax"], ["l_returnflag"], [2, 3, 4], 5)[1].groupBy("cluster").agg(F.count(F.lit(1)).alias("sessions"), F.round(F.avg("outcome_rate"), 6).alias("outcome_rate")))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tessera.functions.names import find_alias
+from tessera.sources import records
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None, columns: Sequence[str] | None = None, limit: int | None = None) -> DataFrame:
@@ -124,8 +125,8 @@ def fraction_from_percent(df: DataFrame, column: str, file: str) -> DataFrame:
 
 
 def csv_rows(spark: SparkSession, path: str) -> int:
-    """Records of a CSV without its header; quoted line breaks do not count."""
-    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path).count()
+    """Records of all CSV files of a path without their headers; quoted line breaks do not count."""
+    return records.csv_records(spark, path).agg(F.coalesce(F.sum(F.greatest(F.col("records") - 1, F.lit(0))), F.lit(0))).first()[0]
 
 
 def raw_audit(spark: SparkSession, folders: dict[str, str]) -> DataFrame:
