@@ -18,8 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.density import sampled
-from tessera.operators.metric import distances, paired, sides, squares
-from tessera.operators.metric import matrix as rows_of
+from tessera.operators.metric import distances, packed, paired, sides, squares
 from tessera.operators.staging import staged
 from tessera.operators.sums import matrix, summed
 
@@ -144,22 +143,23 @@ def silhouette(df: DataFrame, vector: str, clusters: Sequence[str], rows: int |
     sizes = {i: part.sort_values("c").set_index("c")["count"] for i, part in counted.groupby("i") if len(part) > 1}
     count = max(1, -(-held.count() // BLOCK))
     block = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(count)).alias("block")
-    blocks = staged(held.groupBy(block).agg(F.collect_list(F.struct("v", *[f"c{i}" for i in range(len(clusters))])).alias("rows")))
+    names = [f"c{i}" for i in range(len(clusters))]
+    blocks = staged(packed(held.groupBy(block).agg(F.collect_list(F.struct("v", *names)).alias("rows")), names))
     pairs = blocks.select(F.col("block").alias("block_a"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))).alias("block_b"))
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for at, _, a, b in sides(batches):
-            x, y = rows_of(a), rows_of(b)
+        for a, b in sides(batches):
+            x, y = a.x, b.x
             d = distances(x, y)
             i, j = np.nonzero(d < 1e-4 * (1 + np.abs(x).max()))
             d[i, j] = np.sqrt(((x[i] - y[j]) ** 2).sum(axis=1))  # small ones suffer from rounding
             sums = []
             for c, n in sizes.items():
-                own = b.field(f"c{c}").to_numpy()
+                own = b.tag(f"c{c}")
                 one_hot = (own[:, None] == n.index.to_numpy()[None, :]).astype(float)
                 sums.append(d @ one_hot)
             if sums:
-                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([np.concatenate(sums, axis=1).tobytes()], pa.binary())], names=["block", "sums"])
+                yield pa.RecordBatch.from_arrays([pa.array([a.block], pa.int64()), pa.array([np.concatenate(sums, axis=1).tobytes()], pa.binary())], names=["block", "sums"])
 
     def add(table: pa.Table) -> pa.Table:
         whole = sum(np.frombuffer(s.as_py(), float) for s in table.column("sums"))

@@ -245,7 +245,7 @@ def dbscan(df: DataFrame, key: str, vector: str, eps: float, min_samples: int, b
     first = staged(points.blocks.select("rows").mapInArrow(inside, "id long, n long"))
     flat = points.blocks.select(F.inline("rows"))
     open_rows = metric.build(flat.join(first.where(F.col("n") < min_samples).select("id"), "id"), ["id", "m"], points.pivots)
-    counted = staged(metric.near_counts(open_rows, points, eps, "m").where(F.col("n") >= min_samples).select("id"))
+    counted = staged(metric.near_counts(open_rows, points, eps, "m", min_samples).where(F.col("n") >= min_samples).select("id"))
     core = first.where(F.col("n") >= min_samples).select("id").unionByName(counted).withColumn("core", F.lit(True))
 
     def parts(batches):
@@ -265,16 +265,16 @@ def dbscan(df: DataFrame, key: str, vector: str, eps: float, min_samples: int, b
                 yield pa.RecordBatch.from_arrays([batch.column("block").slice(i, 1), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), packed)], names=["block", "rows"])
 
     marked = points.blocks.select("block", F.inline("rows")).join(core, "id", "left").groupBy("block").agg(F.collect_list(F.struct("v", "id", F.coalesce("core", F.lit(False)).alias("core"))).alias("rows"))
-    labelled = staged(marked.mapInArrow(parts, "block long, rows array<struct<v: array<double>, id: long, part: long>>"))
+    labelled = staged(metric.packed(marked.mapInArrow(parts, "block long, rows array<struct<v: array<double>, id: long, part: long>>"), ["id", "part"]))
 
     def links(batches):
         """Parts that touch, and parts that reach a row that is no core."""
-        for same, other, a, b in metric.sides(batches):
-            sides = [(metric.matrix(s), s.field("id").to_numpy(), s.field("part").fill_null(-1).to_numpy()) for s in (a, b)]
+        for a, b in metric.sides(batches):
+            sides = [(s.x, s.tag("id"), s.tags.field("part").fill_null(-1).to_numpy()) for s in (a, b)]
             found = set()
-            if same != other:
+            if a.block != b.block:
                 found |= {(p, q, False) for p, q in touching(sides[0], sides[1], limit)}
-            for (x, ids, part), (y, _, reach) in ((sides[0], sides[1]), (sides[1], sides[0]))[: 1 + (same != other)]:
+            for (x, ids, part), (y, _, reach) in ((sides[0], sides[1]), (sides[1], sides[0]))[: 1 + (a.block != b.block)]:
                 edge, cores = np.flatnonzero(part < 0), np.flatnonzero(reach >= 0)
                 if len(edge) and len(cores):
                     i, j = np.nonzero(metric.squares(x[edge], y[cores]) <= limit)

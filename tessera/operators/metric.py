@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, StructField, StructType
 
 from tessera.operators.running import numbered
 from tessera.operators.staging import staged
@@ -52,13 +52,27 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Index:
-    """``blocks``: block, pivot, lo, hi (distances to the own pivot), near, far, lead (one entry a pivot), rows (array of structs with v)."""
+    """``blocks``: block, pivot, lo, hi (distances to the own pivot), near, far, lead (one entry a pivot), rows (array of structs with v), and for pairs x and tags (see ``packed``)."""
 
     blocks: DataFrame
     pivots: np.ndarray
     slack: float
 
 
+def packed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Adds x (the vectors of ``rows`` as bytes) and tags (the other columns of ``rows``): what travels to pairs of blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                part = batch.slice(i, 1)
+                x = pa.array([matrix(part.column("rows")[0].values).tobytes()], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns, x], names=[*part.schema.names, "x"])
+
+    with_x = df.mapInArrow(run, StructType([*df.schema.fields, StructField("x", BinaryType())]))
+    return with_x.withColumn("tags", F.transform("rows", lambda r: F.struct(*[r[c] for c in columns] or [F.lit(True).alias("row")])))
+
+
 def pivots_of(df: DataFrame, rows: int = ROWS) -> np.ndarray:
     """Means of a bounded sample: one for about ``rows`` vectors, from points far from each other by a few rounds of Lloyd."""
     count = df.count()
@@ -110,10 +124,10 @@ def build(df: DataFrame, columns: Sequence[str], pivots: np.ndarray | None = Non
     dealt = df.mapInArrow(own, StructType([*df.schema.fields, StructField("pivot", IntegerType()), StructField("apart", DoubleType())]))
     dealt = numbered(dealt, [F.col("apart"), F.xxhash64("v")], "nth", ["pivot"])
     block = (F.col("pivot").cast("long") * F.lit(1 << 40) + F.expr(f"(nth - 1) div {rows}")).alias("block")
-    packed = dealt.groupBy(block, "pivot").agg(F.min("apart").alias("lo"), F.max("apart").alias("hi"), F.collect_list(F.struct("v", *columns)).alias("rows"))
-    full = StructType([*packed.schema.fields, *[StructField(name, ArrayType(DoubleType())) for name in ("near", "far", "lead")]])
+    ringed = dealt.groupBy(block, "pivot").agg(F.min("apart").alias("lo"), F.max("apart").alias("hi"), F.collect_list(F.struct("v", *columns)).alias("rows"))
+    full = StructType([*ringed.schema.fields, *[StructField(name, ArrayType(DoubleType())) for name in ("near", "far", "lead")]])
     widest = float(np.abs(pivots).max(initial=0.0))
-    return Index(staged(packed.mapInArrow(bounds, full)), pivots, 1e-6 * (1 + widest))
+    return Index(staged(packed(ringed.mapInArrow(bounds, full), columns)), pivots, 1e-6 * (1 + widest))
 
 
 def candidates(left: Index, right: Index, reach: Column, half: bool = False) -> DataFrame:
@@ -131,34 +145,68 @@ def candidates(left: Index, right: Index, reach: Column, half: bool = False) ->
 
 
 def paired(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """Adds ``a`` and ``b``, the rows of both blocks, to pairs; left and right have block and rows."""
-    a, b = left.select(F.col("block").alias("block_a"), F.col("rows").alias("a")), right.select(F.col("block").alias("block_b"), F.col("rows").alias("b"))
+    """Adds vectors and tags of both blocks to pairs; left and right have block, x and tags."""
+    a, b = (side.select(F.col("block").alias(f"block_{n}"), F.col("x").alias(f"x_{n}"), F.col("tags").alias(n)) for side, n in ((left, "a"), (right, "b")))
     return pairs.join(a, "block_a").join(b, "block_b")
 
 
-def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.StructArray, pa.StructArray]]:
-    """block_a, block_b and the rows of both, pair by pair."""
+@dataclass(frozen=True)
+class Side:
+    """One block of a pair."""
+
+    block: int
+    x: np.ndarray
+    tags: pa.StructArray
+
+    def tag(self, name: str) -> np.ndarray:
+        return self.tags.field(name).to_numpy(zero_copy_only=False)
+
+
+def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Side, Side]]:
+    """Both blocks of each pair."""
     for batch in batches:
-        a, b = batch.column("a"), batch.column("b")
-        for i, (x, y) in enumerate(zip(batch.column("block_a").to_pylist(), batch.column("block_b").to_pylist())):
-            yield x, y, a[i].values, b[i].values
+        for i in range(batch.num_rows):
+            out = []
+            for n in ("a", "b"):
+                tags = batch.column(n)[i].values
+                out.append(Side(batch.column(f"block_{n}")[i].as_py(), np.frombuffer(batch.column(f"x_{n}")[i].as_buffer(), float).reshape(len(tags), -1), tags))
+            yield tuple(out)
 
 
-def near_counts(asked: Index, points: Index, eps: float, weight: str) -> DataFrame:
-    """(id, n): summed weights of the points within ``eps`` of every asked row; ids are unique, and n is as the block pairs add up.
+#: Blocks of points that one task compares with a block of asked rows.
+CHUNK = 256
 
-    A pair of blocks gives one row, an array of sums, so rows do not grow with the pairs' rows.
+
+def near_counts(asked: Index, points: Index, eps: float, weight: str, enough: float = np.inf) -> DataFrame:
+    """(id, n): summed weights of the points within ``eps`` of every asked row that has any; ids are unique.
+
+    A task takes the blocks that may reach a block of asked rows in the order of their bounds and gives one
+    row for each of its rows; rows that have ``enough`` are not compared any more, so their n is no more than
+    that they have enough.
     """
+    chunks = max(1, -(-points.blocks.count() // CHUNK))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, _, a, b in sides(batches):
-            near = squares(matrix(a), matrix(b)) <= eps * eps + 1e-12
-            n = near @ b.field(weight).to_numpy().astype(float)  # counts below 2^53
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([a.field("id").to_pylist()], pa.list_(pa.int64())), pa.array([n.astype(np.int64).tolist()], pa.list_(pa.int64()))], names=["block", "id", "n"])
+        held: tuple[Side, np.ndarray] | None = None
+
+        def out() -> pa.RecordBatch:
+            side, n = held
+            return pa.RecordBatch.from_arrays([pa.array(side.tag("id")[n > 0], pa.int64()), pa.array(n[n > 0].astype(np.int64))], names=["id", "n"])
+
+        for a, b in sides(batches):
+            if held is None or held[0].block != a.block:
+                if held is not None:
+                    yield out()
+                held = a, np.zeros(len(a.x))
+            todo = np.flatnonzero(held[1] < enough)
+            if len(todo):
+                held[1][todo] += (squares(a.x[todo], b.x) <= eps * eps + 1e-12) @ b.tag(weight).astype(float)  # counts below 2^53
+        if held is not None:
+            yield out()
 
-    pairs = paired(candidates(asked, points, F.lit(float(eps))), asked.blocks, points.blocks)
-    found = pairs.mapInArrow(count, "block long, id array<long>, n array<long>")
-    return found.select(F.inline(F.arrays_zip("id", "n"))).groupBy("id").agg(F.sum("n").alias("n"))
+    pairs = candidates(asked, points, F.lit(float(eps))).withColumn("chunk", F.pmod(F.xxhash64("block_b"), F.lit(chunks)))
+    dealt = paired(pairs, asked.blocks, points.blocks).repartition("block_a", "chunk").sortWithinPartitions("block_a", "chunk", "apart")
+    return dealt.mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def radius_for(asked: Index, points: Index, k: int) -> DataFrame:
@@ -184,12 +232,11 @@ def radius_for(asked: Index, points: Index, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(out, pa.float64())], names=["block", "reach"])
 
     def by_one_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, _, a, b in sides(batches):
-            x, y = matrix(a), matrix(b)
-            bound = loose(x)
-            if len(y) >= k:
-                bound = np.minimum(bound, np.sqrt(np.maximum(np.partition(squares(x, y), k - 1, axis=1)[:, k - 1], 0)))
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([float(bound.max())])], names=["block", "reach"])
+        for a, b in sides(batches):
+            bound = loose(a.x)
+            if len(b.x) >= k:
+                bound = np.minimum(bound, np.sqrt(np.maximum(np.partition(squares(a.x, b.x), k - 1, axis=1)[:, k - 1], 0)))
+            yield pa.RecordBatch.from_arrays([pa.array([a.block]), pa.array([float(bound.max())])], names=["block", "reach"])
 
     if not len(cells):
         return asked.blocks.select("block", F.lit(0.0).alias("reach"))
@@ -202,7 +249,7 @@ def radius_for(asked: Index, points: Index, k: int) -> DataFrame:
 
 
 def nearest_pairs(asked: Index, points: Index, k: int) -> DataFrame:
-    """(block_a, block_b, a, b): pairs of blocks that together hold the k nearest points of every asked row."""
+    """Pairs of blocks that together hold the k nearest points of every asked row."""
     reach = staged(radius_for(asked, points, k))
     with_reach = Index(asked.blocks.join(reach, "block"), asked.pivots, asked.slack)
     return paired(candidates(with_reach, points, F.col("reach")), asked.blocks, points.blocks)

@@ -214,9 +214,9 @@ def nearest_neighbours(train: DataFrame, test: DataFrame, key: str, vector: str,
     asked = metric.build(rows.select("v").dropna().distinct(), [], held.pivots)
 
     def best(batches):
-        for block, _, q, side in metric.sides(batches):
-            x, t = metric.matrix(q), metric.matrix(side)
-            y, m = side.field("y").to_numpy(), side.field("m").to_numpy()
+        for q, side in metric.sides(batches):
+            x, t = q.x, side.x
+            y, m = side.tag("y"), side.tag("m")
             d = metric.squares(x, t)
             # What may be among the k best but for rounding is measured again, exactly.
             last = np.partition(d, min(k, len(t)) - 1, axis=1)[:, min(k, len(t)) - 1]
@@ -228,7 +228,7 @@ def nearest_neighbours(train: DataFrame, test: DataFrame, key: str, vector: str,
             r, c, exact = r[use], c[use], exact[use]
             near = pa.StructArray.from_arrays([pa.array(exact), pa.array(y[c]), pa.array(m[c])], ["d", "y", "m"])
             ends = np.searchsorted(r, np.arange(len(x) + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), block)), pa.array(np.arange(len(x), dtype=np.int32)), pa.ListArray.from_arrays(pa.array(ends), near)], names=["block", "at", "near"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), q.block)), pa.array(np.arange(len(x), dtype=np.int32)), pa.ListArray.from_arrays(pa.array(ends), near)], names=["block", "at", "near"])
 
     parts = metric.nearest_pairs(asked, held, k).mapInArrow(best, "block long, at int, near array<struct<d: double, y: double, m: int>>")
     step = lambda s, n: (lambda t: F.struct((s["left"] - t).alias("left"), (s["sum"] + t * n["y"] / F.greatest(n["d"], F.lit(1e-9))).alias("sum"), (s["weight"] + t / F.greatest(n["d"], F.lit(1e-9))).alias("weight")))(F.least(s["left"], n["m"]))
