@@ -59,6 +59,18 @@ class Index:
     slack: float
 
 
+def to_bytes(x: np.ndarray) -> bytes:
+    """Eight bytes that tell the width of a number, then the numbers: four bytes each where that loses nothing."""
+    short = x.astype(np.float32)
+    out = short if (short == x).all() else x
+    return np.int64(out.itemsize).tobytes() + out.tobytes()
+
+
+def from_bytes(data: pa.Buffer, rows: int) -> np.ndarray:
+    kind = np.float32 if np.frombuffer(data, np.int64, 1)[0] == 4 else np.float64
+    return np.frombuffer(data, kind, offset=8).astype(float).reshape(rows, -1)
+
+
 def packed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Adds x (the vectors of ``rows`` as bytes) and tags (the other columns of ``rows``): what travels to pairs of blocks."""
 
@@ -66,7 +78,7 @@ def packed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 part = batch.slice(i, 1)
-                x = pa.array([matrix(part.column("rows")[0].values).tobytes()], pa.binary())
+                x = pa.array([to_bytes(matrix(part.column("rows")[0].values))], pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns, x], names=[*part.schema.names, "x"])
 
     with_x = df.mapInArrow(run, StructType([*df.schema.fields, StructField("x", BinaryType())]))
@@ -145,9 +157,13 @@ def candidates(left: Index, right: Index, reach: Column, half: bool = False) ->
 
 
 def paired(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """Adds vectors and tags of both blocks to pairs; left and right have block, x and tags."""
+    """Adds vectors and tags of both blocks to pairs; left and right have block, x and tags.
+
+    The left side comes last and by a sorted merge: only the right side's vectors travel with the pairs, and the
+    pairs of a left block come one after the other.
+    """
     a, b = (side.select(F.col("block").alias(f"block_{n}"), F.col("x").alias(f"x_{n}"), F.col("tags").alias(n)) for side, n in ((left, "a"), (right, "b")))
-    return pairs.join(a, "block_a").join(b, "block_b")
+    return pairs.join(b, "block_b").join(a.hint("merge"), "block_a")
 
 
 @dataclass(frozen=True)
@@ -169,22 +185,16 @@ def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Side, Side]]:
             out = []
             for n in ("a", "b"):
                 tags = batch.column(n)[i].values
-                out.append(Side(batch.column(f"block_{n}")[i].as_py(), np.frombuffer(batch.column(f"x_{n}")[i].as_buffer(), float).reshape(len(tags), -1), tags))
+                out.append(Side(batch.column(f"block_{n}")[i].as_py(), from_bytes(batch.column(f"x_{n}")[i].as_buffer(), len(tags)), tags))
             yield tuple(out)
 
 
-#: Blocks of points that one task compares with a block of asked rows.
-CHUNK = 256
-
-
 def near_counts(asked: Index, points: Index, eps: float, weight: str, enough: float = np.inf) -> DataFrame:
     """(id, n): summed weights of the points within ``eps`` of every asked row that has any; ids are unique.
 
-    A task takes the blocks that may reach a block of asked rows in the order of their bounds and gives one
-    row for each of its rows; rows that have ``enough`` are not compared any more, so their n is no more than
-    that they have enough.
+    A task takes the blocks that may reach a block of asked rows one after the other and gives one row for each
+    of its rows; rows that have ``enough`` are not compared any more, so their n says no more than that.
     """
-    chunks = max(1, -(-points.blocks.count() // CHUNK))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[Side, np.ndarray] | None = None
@@ -204,9 +214,8 @@ def near_counts(asked: Index, points: Index, eps: float, weight: str, enough: fl
         if held is not None:
             yield out()
 
-    pairs = candidates(asked, points, F.lit(float(eps))).withColumn("chunk", F.pmod(F.xxhash64("block_b"), F.lit(chunks)))
-    dealt = paired(pairs, asked.blocks, points.blocks).repartition("block_a", "chunk").sortWithinPartitions("block_a", "chunk", "apart")
-    return dealt.mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    pairs = paired(candidates(asked, points, F.lit(float(eps))), asked.blocks, points.blocks)
+    return pairs.mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def radius_for(asked: Index, points: Index, k: int) -> DataFrame:
