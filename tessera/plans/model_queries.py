@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import centres, clustering, density, evaluation, linkage, models, sessions
+from tessera.operators import centres, clustering, density, evaluation, linkage, models, optics, sessions
 from tessera.operators.staging import staged
 from tessera.plans import bindings as b
 
@@ -121,6 +121,8 @@ def _dbscan(s, d):
 
 _add("dbscan", _dbscan)
 _add("dbscan_sweep", lambda s, d: density.density_sweep(b.table(s, d, "embeddings"), "embedding"))
+_add("optics", lambda s, d: optics.optics(b.table(s, d, "embeddings"), "vec_id", "embedding"))
+_add("optics_sweep", lambda s, d: optics.optics_sweep(b.table(s, d, "embeddings"), "embedding"))
 
 
 # Models: does an order line hold an outcome?
