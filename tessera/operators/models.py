@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import boosting, evaluation, histboost
+from tessera.operators import boosting, evaluation, histboost, smo
 from tessera.operators.staging import delete, folder, staged
 
 #: Models of the catalogue whose library is not there: they get a row that says so.
@@ -54,7 +54,8 @@ def catalogue(label: str = "label", weight: str = "weight") -> dict:
         "gaussian_naive_bayes": NaiveBayes(**shared, weightCol=weight, modelType="gaussian"),
         "adaboost": boosting.AdaBoost(rounds=40, rate=0.08),
         "hist_gradient_boosting": histboost.HistBoost(),
-        "rbf_svm": boosting.KernelMachine(),
+        "rbf_svm": smo.RadialMachine(),
+        "rbf_fourier": boosting.KernelMachine(),
         "knn": boosting.Neighbours(k=7),
     }
 

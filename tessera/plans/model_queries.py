@@ -136,6 +136,7 @@ def _experiment(s, d, names=("logistic_regression", "decision_tree_gini", "gradi
 
 _add("model_comparison", _experiment)
 _add("model_catalogue", lambda s, d: _experiment(s, d, [*models.catalogue(), *models.ABSENT]))
+_add("radial_machine", lambda s, d: _experiment(s, d, ["rbf_svm"]))
 _add("tree_rules", lambda s, d: models.representative_rules(models.tree_rules(b.lines(s, d), "degraded", NUMERIC)))
 
 
