@@ -74,7 +74,15 @@ def binned(df: DataFrame) -> DataFrame:
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a measurement stream; the outcome is a value of 69 or more."""
-    df = table(spark, sf_dir, "events")
+    return _measured(table(spark, sf_dir, "events"))
+
+
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stream over the files, whether the table is one file or a folder of them."""
+    return _measured(spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/[e]vents.parquet"))
+
+
+def _measured(df: DataFrame) -> DataFrame:
     return df.withColumns({"k": F.get_json_object("props", "$.k").cast("int"), "degraded": (F.col("value") >= 69).cast("int"), "is_error": (F.col("event_type") == "error").cast("int")})
 
 

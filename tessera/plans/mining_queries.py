@@ -10,6 +10,7 @@ from tessera.plans.specs import MetricSpec
 from tessera.plans.warehouse_queries import RATE
 from tessera.sources import tables
 from tessera.streaming import events as streams
+from tessera.streaming import sessions as open_sessions
 
 L, E = f"WITH {b.LINES_SQL}", f"WITH {b.EVENTS_SQL}"
 QUERIES, SQL = {}, {}
@@ -35,6 +36,10 @@ def _steps(s, d):
 
 
 _add("transition_edges", _steps, f"{E} {STEPS}")
+_add(
+    "stream_transition_edges", lambda s, d: open_sessions.replayed(s, open_sessions.session_transitions(b.event_stream(s, d), "user_id", "ts", "event_id", "degraded", watermark="0 seconds")),
+    f"{E} {STEPS}",
+)
 _add("transition_matrix", lambda s, d: sessions.transition_matrix(_steps(s, d)), f"{E}, t AS ({STEPS}) SELECT source_state, target_state, count(*) AS n, count(*) / (SELECT count(*) FROM t) AS fraction FROM t GROUP BY 1, 2")
 _add("session_rates", lambda s, d: sessions.session_rates(b.lines(s, d), "session_id", "degraded"), f"{L} SELECT session_id, {RATE} FROM d GROUP BY 1")
 _add(
