@@ -125,7 +125,9 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per input row: doc_id and its found spans with kind, start, end, value digest, owners, repositories and status (live, example or weak)."""
     candidates = scratch.table(scan(docs, id_col, text_col, owner_col).withColumn("row", F.monotonically_increasing_id()), "candidates")
     each = candidates.select("row", F.explode("spans").alias("s")).select("row", "s.*")
-    judged = each.join(ownership(candidates), "value").withColumn("status", F.when(F.col("owners") >= example_owners, "example").when(F.col("strong"), "live").otherwise("weak"))
+    # Written first: an aggregate by the same key would fix the join's partitions, and a value that everyone carries could not be split.
+    owners = scratch.table(ownership(candidates), "owners")
+    judged = each.join(owners, "value").withColumn("status", F.when(F.col("owners") >= example_owners, "example").when(F.col("strong"), "live").otherwise("weak"))
     kept = judged.where((F.col("kind") < 3) | (F.col("status") == "live"))
     found = kept.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "value", "owners", "repositories", "status"))).alias("found"))
     return candidates.select("row", "doc_id").join(found, "row", "left").select("doc_id", F.coalesce("found", F.array().cast(found.schema["found"].dataType)).alias("found"))

@@ -459,3 +459,49 @@ def test_additive_scores_against_a_plain_loop(spark, tmp_path):
             margin += grid[sum(1 for e in model.coarse[i] if e < row[i])][sum(1 for e in model.coarse[j] if e < row[j])]
         assert abs(got - 1 / (1 + math.exp(-margin))) < 1e-9
     assert (0, 1) in model.pairs
+
+
+def test_hashes_of_long_ranges():
+    """Equal bytes, equal hashes, wherever they stand; one other byte, another hash; megabytes in one piece take no time."""
+    import time
+
+    rng = np.random.default_rng(12)
+    for size in (4090, 4096, 4097, 4103, 5000, 600_000):
+        piece = rng.integers(0, 256, size=size, dtype=np.uint8)
+        other = piece.copy()
+        raw = np.concatenate([piece, rng.integers(0, 256, size=3, dtype=np.uint8), piece, other])
+        at = np.array([0, size + 3, 2 * size + 3])
+        one = textkit.hash_ranges(raw, at, at + size)
+        assert one[0] == one[1] == one[2]
+        for change in (0, size // 2, size - 1):
+            raw[at[2] + change] ^= 1
+            now = textkit.hash_ranges(raw, at, at + size)
+            assert now[0] == now[1] == one[0] != now[2]
+            raw[at[2] + change] ^= 1
+        shorter = textkit.hash_ranges(raw, at, at + size - 1)
+        assert shorter[0] == shorter[1] != one[0]
+    swapped = np.concatenate([np.repeat(np.uint8(1), 8000), np.repeat(np.uint8(2), 8000), np.repeat(np.uint8(1), 8000)])
+    a, b = textkit.hash_ranges(swapped, np.array([0, 8000]), np.array([16000, 24000]))
+    assert a != b  # the same eights in another order
+    text = rng.integers(97, 123, size=50 << 20, dtype=np.uint8)
+    began = time.time()
+    textkit.hash_ranges(text, np.array([0]), np.array([len(text)]))
+    assert time.time() - began < 10
+
+
+def test_quality_features_of_one_very_long_line():
+    import time
+
+    raw = np.random.default_rng(13).integers(97, 123, size=20 << 20, dtype=np.uint8)
+    began = time.time()
+    x = quality.features(raw, np.array([0, len(raw)]))
+    assert x.shape == (1, 18) and np.isfinite(x).all() and time.time() - began < 30
+
+
+def test_join_with_owners_can_be_split(spark):
+    """The join of candidates with their owners shuffles the candidates for itself, so a value that all rows carry is split."""
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("password = 'Abcdef1234567890xyz'").alias("text"), F.concat(F.lit("s"), F.col("id") % 50).alias("source"))
+    plain = secrets.secret_scan(docs)
+    plan = plain._jdf.queryExecution().optimizedPlan().toString()
+    assert "owners" in plan and plan.count("Aggregate") == 1  # the spans of a row, and no aggregate by value
+    assert {(s.owners, s.repositories, s.status) for r in plain.limit(20).collect() for s in r.found} == {(50, 3000, "example")}
