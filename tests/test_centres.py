@@ -88,3 +88,41 @@ def test_euclidean_silhouette(df, monkeypatch):
     assert abs(got["odd"] - plain_silhouette(X[odd >= 0], odd[odd >= 0])) < 1e-6
     assert got["same"] is None
     assert centres.silhouette(df.where("v IS NULL").withColumn("c", F.lit(1)), "v", ["c"]) == {"c": None}
+
+
+def test_equal_rows_are_seen_once(df, monkeypatch):
+    copies = df.sparkSession.createDataFrame([(v,) for i, v in enumerate(X.tolist()) for _ in range(1 + i % 4)], "v array<double>").repartition(3)
+    many, n = np.repeat(X, 1 + np.arange(len(X)) % 4, axis=0), []
+    real = centres.summed
+    monkeypatch.setattr(centres, "summed", lambda rows, *a: n.append(rows.count()) or real(rows, *a))
+    runs = centres.k_sweep(copies, "v", [2, 3], starts=3)
+    assert set(n) == {len(X)}
+    for r in runs:
+        assert abs(plain_inertia(many, r.centres) - r.inertia) < 1e-6 * r.inertia
+    monkeypatch.setattr(centres, "summed", real)
+    for row in centres.scored(copies, "v", runs).collect():
+        run = next(r for r in runs if r.k == row.k)
+        own = ((many[:, None] - run.centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+        labelled = df.sparkSession.createDataFrame([(v, int(c)) for v, c in zip(many.tolist(), own)], "v array<double>, c int")
+        assert abs(row.davies_bouldin - clustering.davies_bouldin(labelled, "c", "v").first()[0]) < 2e-6
+        assert abs(row.calinski_harabasz - clustering.calinski_harabasz(labelled, "c", "v").first()[1]) < 2e-6 * row.calinski_harabasz
+        assert abs(row.smallest_share - np.bincount(own).min() / len(many)) < 1e-12
+        assert abs(row.silhouette - plain_silhouette(many, own)) < 1e-6
+    from tessera.operators.density import sampled
+
+    plain = sampled(copies, "v", 100)
+    assert np.array_equal(plain, sampled(centres._vectors(copies, "v"), "v", 100, "n"))
+    cut = centres._vectors(copies, "v").withColumn("c", (F.col("v")[0] > 4).cast("int"))
+    assert centres.silhouette(cut, "v", ["c"], 100, "n")["c"] == pytest.approx(plain_silhouette(plain, (plain[:, 0] > 4).astype(int)), abs=1e-6)
+
+
+def test_a_row_of_the_silhouette_travels_once_for_each_share(df, monkeypatch):
+    monkeypatch.setattr(centres, "BLOCK", 10)
+    monkeypatch.setattr(centres, "SHARES", 4)
+    counts = []
+    real = centres.summed
+    monkeypatch.setattr(centres, "summed", lambda rows, *a: counts.append(rows._jdf.queryExecution().toString()) or real(rows, *a))
+    two = np.arange(len(X)) % 2
+    rows = df.sparkSession.createDataFrame([(v, int(c)) for v, c in zip(X.tolist(), two)], "v array<double>, two int")
+    assert abs(centres.silhouette(rows, "v", ["two"], rows=None)["two"] - plain_silhouette(X, two)) < 1e-6
+    assert "block_b" not in counts[0] and "other" in counts[0]
