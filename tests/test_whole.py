@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessera.operators import clustering, metric, models
@@ -120,3 +121,24 @@ def test_nearest_neighbours_query_beyond_15000_training_rows(spark, tmp_path):
     rows = spark.range(19_000).select(F.col("id").alias("vec_id"), F.array(*[(F.xxhash64("id", F.lit(i)) % 1000).cast("float") for i in range(3)]).alias("embedding"), (F.col("id") % 4).cast("int").alias("label"))
     rows.write.parquet(str(tmp_path / "embeddings.parquet"))
     assert catalog.queries()["nearest_neighbours"](spark, str(tmp_path)).where("score BETWEEN 0 AND 1").count() == 3800
+
+
+def test_a_block_travels_once_for_each_tile(spark, monkeypatch):
+    """All pairs of blocks are seen once, in tiles of bounded groups, those of a left block nearest first."""
+    monkeypatch.setattr(metric, "TILE", 3)
+    monkeypatch.setattr(metric, "WIDE", 5)
+    monkeypatch.setattr(metric, "GROUPS", 6)
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(400, 3)))], "id long, v array<double>")
+    index = metric.build(df, ["id"], rows=30)
+    pairs = metric.candidates(index, index, F.lit(9.0))
+
+    def run(sides):
+        seen = [(a.block, b.block, a.apart) for a, b in sides]
+        yield pa.RecordBatch.from_arrays([pa.array([[f"{a} {b}" for a, b, _ in seen]]), pa.array([len({a for a, _, _ in seen})]), pa.array([len({b for _, b, _ in seen})]), pa.array([seen == sorted(seen, key=lambda s: (s[0], s[2]))])], names=["seen", "a", "b", "nearest"])
+
+    tiles = metric.tiled(pairs, index.blocks, index.blocks, run, "seen array<string>, a long, b long, nearest boolean").collect()
+    want = [f"{r.block_a} {r.block_b}" for r in pairs.collect()]
+    assert sorted(s for t in tiles for s in t.seen) == sorted(want) and len(want) > 100
+    assert max(t.a for t in tiles) <= 3 and max(t.b for t in tiles) <= 5 and all(t.nearest for t in tiles)
+    assert sum(t.a + t.b for t in tiles) < len(want)
