@@ -62,3 +62,18 @@ def test_networks_learn_what_only_neighbours_know(spark):
     out = {r.model_name: r for r in networks.graph_networks(nodes, edges, ["v"]).collect()}
     assert out["sage"].accuracy > 0.9 and out["gcn"].roc_auc > 0.6 and out["sage"].trained_nodes == 720
     assert {r.training_status for r in networks.graph_networks(nodes.limit(0), edges, ["v"]).collect()} == {"skipped: no rows to train or test"}
+
+
+def test_networks_share_their_passes(spark):
+    rng = np.random.default_rng(3)
+    source, target = graph(30, rng)
+    x = rng.normal(size=(30, 3))
+    made = [networks.Network(kind, [rng.normal(size=s) for s in ((4, 5), (4, 5), (6, 2), (6, 2))], 1, 0.0) for kind in networks.KINDS]
+    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node_id long, x array<double>")
+    edges = spark.createDataFrame([(int(s), int(t)) for s, t in zip(source, target) if s < t], "source long, target long")
+    got = networks.scores(made, nodes, networks.neighbourhood(nodes, edges))
+    rows = {r.node_id: r for r in got.collect()}
+    for i, n in enumerate(made):
+        out = networks.forward(n.kind, n.weights, networks.Hood(n.kind, 30, source, target), x)[0]
+        want = 1 / (1 + np.exp(out[:, 0] - out[:, 1]))
+        assert all(abs(rows[at][f"score_{i}"] - want[at]) < 1e-9 for at in range(30))
