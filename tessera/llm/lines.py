@@ -152,20 +152,21 @@ def _keys(lines: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return np.concatenate(keys), np.concatenate(owners), np.concatenate(flags)
 
 
-def _pack(batches: Iterator[pa.RecordBatch], buckets: int, block: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch], buckets: int, block: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Keys of the distinct lines of each block, packed by bucket."""
     held: dict[int, bytes] = {}
 
     def drain() -> Iterator[pa.RecordBatch]:
         key, line, flags = _keys(list(held.values()), np.fromiter(held, np.int64, len(held)).view(U64))
         held.clear()
-        bucket = (key % U64(buckets)).astype(np.int64)
+        bucket = (key % U64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)  # few of them are sorted by radix
         order = np.argsort(bucket, kind="stable")
         entries = np.empty(len(key), _PACKED)
         entries["key"], entries["line"] = ((key >> U64(34)).astype(np.uint32) | flags)[order], line[order]
-        edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=buckets))
+        bucket = bucket[order].astype(np.int64)
+        edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=buckets))
         if len(key):
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[order][edges[:-1]]), pa.array([entries[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])], pa.binary())], names=["bucket", "packed"])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]]), pa.array([entries[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])], pa.binary())], names=["bucket", "packed"])
 
     size = 0
     for batch in batches:
@@ -184,6 +185,17 @@ def _pack(batches: Iterator[pa.RecordBatch], buckets: int, block: int = 1 << 20)
         yield from drain()
 
 
+def _shared(entries: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """Entries whose key another entry has too, or that is among ``gone``: the others make neither pairs nor cells."""
+    key = np.ascontiguousarray(entries["key"] & _KEY)
+    order = np.argsort(key)
+    same = key[order[1:]] == key[order[:-1]]
+    both = np.zeros(len(key), bool)
+    both[order[1:]] = same
+    both[order[:-1]] |= same
+    return entries[both | np.isin(key, gone)] if len(gone) else entries[both]
+
+
 def _settled(entries: np.ndarray) -> np.ndarray:
     """Entries sorted by key, then line; the flags of equal ones together."""
     key = entries["key"] & _KEY
@@ -243,7 +255,12 @@ def _meet(batches: Iterator[pa.RecordBatch], run: int, cell_lines: int, limit: i
 
     def settle(last: bool) -> tuple[list[pa.RecordBatch], np.ndarray]:
         nonlocal gone
-        entries = _settled(np.concatenate(held))
+        entries = np.concatenate(held)
+        if last:
+            entries = _shared(entries, gone)
+            if not len(entries):
+                return [], entries
+        entries = _settled(entries)
         start, length = _runs(entries)
         key = entries["key"] & _KEY
         early = np.isin(key, gone)
@@ -284,36 +301,41 @@ def distances(a: list[np.ndarray], b: list[np.ndarray], most: int) -> np.ndarray
     Bit d of ``reach[e]`` says that after i symbols of a and i + d - most symbols of b at most e edits were needed.
     """
     n = len(a)
-    la, lb = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
-    width, band = int(la.max(initial=0)), 2 * most + 1
-    A, B = np.zeros((width, n), U64), np.zeros((width + 2 * band, n), U64)
-    valid = np.zeros((width + 2 * band, n), bool)
-    for k in range(n):
-        A[: la[k], k] = a[k]
-        m = min(lb[k], width + band)
-        B[most : most + m, k] = b[k][:m]
-        valid[most : most + m, k] = True
-    mask = U64((1 << band) - 1)
-    reach = [np.full(n, ((1 << (e + 1)) - 1) << most, U64) & mask for e in range(most + 1)]  # insertions before the first symbol
-    final = [r.copy() for r in reach]
-    for i in range(width):
-        match = np.zeros(n, U64)
-        for d in range(band):
-            match |= ((A[i] == B[i + d]) & valid[i + d]).astype(U64) << U64(d)
-        new = [reach[0] & match]
+    out = np.full(n, most + 1)
+    if not n:
+        return out
+    la = np.array([len(x) for x in a], np.int64)
+    order = np.argsort(la, kind="stable")  # the shortest first: those that are done make a prefix
+    a, b, la = [a[i] for i in order], [b[i] for i in order], la[order]
+    lb = np.array([len(x) for x in b], np.int64)
+    width, band = int(la[-1]), 2 * most + 1
+    bits = np.uint16 if band <= 16 else U64
+    m = np.minimum(lb, width + band)
+
+    def columns(lines: list[np.ndarray], size: np.ndarray, before: int, rows: int) -> np.ndarray:
+        """Symbol i of line k at (before + i, k), and around them what is no code point and, as all bits are set, no word's hash either."""
+        kind, at = lines[0].dtype, np.arange(rows) - before
+        table = np.full((n, rows), np.iinfo(kind).max, kind)
+        table[(at >= 0) & (at < size[:, None])] = np.concatenate([x[:k] for x, k in zip(lines, size)])
+        return np.ascontiguousarray(table.T)
+
+    A, B = columns(a, la, 0, width), columns(b, m, most, width + 2 * band)
+    live = np.searchsorted(la, np.arange(width), side="right")
+    mask, one, places = bits((1 << band) - 1), bits(1), np.arange(band, dtype=bits)[:, None]
+    reach = np.stack([np.full(n, ((1 << (e + 1)) - 1) << most & int(mask), bits) for e in range(most + 1)])  # insertions before the first symbol
+    for i, s in enumerate(live.tolist()):
+        match = np.bitwise_or.reduce((B[i : i + band, s:] == A[i, s:]).astype(bits) << places, axis=0)
+        old = reach[0, s:].copy()
+        reach[0, s:] &= match
         for e in range(1, most + 1):
-            new.append((reach[e] & match) | reach[e - 1] | reach[e - 1] >> U64(1) | (new[e - 1] << U64(1)) & mask)
-        reach = new
-        ended = la == i + 1
-        if ended.any():
-            for e in range(most + 1):
-                final[e] = np.where(ended, reach[e], final[e])
+            new = (reach[e, s:] & match) | old | old >> one | (reach[e - 1, s:] << one) & mask
+            old = reach[e, s:].copy()
+            reach[e, s:] = new
     gap = lb - la + most
     inside = (gap >= 0) & (gap < band)
-    bit = np.clip(gap, 0, band - 1).astype(U64)
-    out = np.full(n, most + 1)
+    bit = np.clip(gap, 0, band - 1).astype(bits)
     for e in range(most, -1, -1):
-        out[inside & (final[e] >> bit & U64(1) == 1)] = e
+        out[order[inside & (reach[e] >> bit & one == 1)]] = e
     return out
 
 
@@ -333,14 +355,20 @@ class Spelled:
         words = textkit.Words(raw, offs)
         hashes = words.hashes()
         size = textkit.code_points(raw)
-        points = textkit.symbols(raw)
         self.n_words, self.n_points = np.diff(words.first), size[offs[1:]] - size[offs[:-1]]
         self.words = [hashes[a:b] for a, b in zip(words.first[:-1], words.first[1:])]
-        self.points = [points[a:b] for a, b in zip(size[offs[:-1]], size[offs[1:]])]
         self.by_words = self.n_words >= WORDS_PER_EDIT
         self.by_points = (self.n_words < FEW_WORDS) & (self.n_points >= LEAST) & (self.n_points <= MOST)
         self.word_sketch = parities(hashes, words.first)
-        self.point_sketch = textkit.Ranges(points).sketches(size[offs[:-1]], size[offs[1:]])
+        # Only lines that the character rule takes are spelled in code points.
+        few = np.flatnonzero(self.by_points)
+        points = textkit.symbols(raw[np.repeat(self.by_points, np.diff(offs))])
+        ends = np.cumsum(self.n_points[few])
+        self.points: list[np.ndarray] = [points[:0]] * len(lines)
+        for i, a, b in zip(few.tolist(), ends - self.n_points[few], ends):
+            self.points[i] = points[a:b]
+        self.point_sketch = np.zeros(len(lines), U64)
+        self.point_sketch[few] = textkit.Ranges(points).sketches(ends - self.n_points[few], ends)
 
     def may_be_near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Pairs that sizes and sketches leave to the word rule, and to the character rule."""
@@ -388,9 +416,10 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bytes_of = np.cumsum([len(x) + len(y) for x, y in zip(a, b)])
         at = 0
         while at < len(a):
-            to = max(at + 1, int(np.searchsorted(bytes_of, (bytes_of[at - 1] if at else 0) + (1 << 20))))
-            lines = Spelled(a[at:to] + b[at:to])
-            near = lines.near(np.arange(to - at), np.arange(to - at, 2 * (to - at)))
+            to = max(at + 1, int(np.searchsorted(bytes_of, (bytes_of[at - 1] if at else 0) + (3 << 20))))
+            place: dict[bytes, int] = {}  # a line of several pairs is spelled once
+            left, right = (np.array([place.setdefault(x, len(place)) for x in side[at:to]], np.int64) for side in (a, b))
+            near = Spelled(list(place)).near(left, right)
             hit = batch.slice(at, to - at).filter(pa.array(near))
             yield pa.RecordBatch.from_arrays([hit.column("h"), hit.column("g")], names=["h", "g"])
             at = to

@@ -9,6 +9,7 @@ A word is a maximal run of bytes outside ``[\\x20\\x09-\\x0D]``; a null text cou
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -168,12 +169,20 @@ class Ranges:
                 setattr(Ranges, name, np.multiply.accumulate(powers))
         self.sums = np.zeros(n + 1, U64)
         np.cumsum((raw.astype(U64) + U64(1)) * Ranges._power[:n], out=self.sums[1:])
-        self.letters = np.zeros(n + 1, np.uint32)
-        np.bitwise_xor.accumulate(_BIT[(raw & raw.dtype.type(31)).astype(np.int64)], out=self.letters[1:])
-        self.pairs = np.zeros(n + 1, np.uint32)
-        if n:
-            of = raw.dtype.type
-            np.bitwise_xor.accumulate(_BIT[((raw[1:] * of(7) + raw[:-1] * of(3)) & of(31)).astype(np.int64)], out=self.pairs[2:])
+        self.raw = raw
+
+    @cached_property
+    def letters(self) -> np.ndarray:
+        out = np.zeros(len(self.raw) + 1, np.uint32)
+        np.bitwise_xor.accumulate(_BIT[(self.raw & self.raw.dtype.type(31)).astype(np.int64)], out=out[1:])
+        return out
+
+    @cached_property
+    def pairs(self) -> np.ndarray:
+        out, of = np.zeros(len(self.raw) + 1, np.uint32), self.raw.dtype.type
+        if len(self.raw):
+            np.bitwise_xor.accumulate(_BIT[((self.raw[1:] * of(7) + self.raw[:-1] * of(3)) & of(31)).astype(np.int64)], out=out[2:])
+        return out
 
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * Ranges._inverse[start] ^ (end - start).astype(U64))
