@@ -126,3 +126,36 @@ def test_a_row_of_the_silhouette_travels_once_for_each_share(df, monkeypatch):
     rows = df.sparkSession.createDataFrame([(v, int(c)) for v, c in zip(X.tolist(), two)], "v array<double>, two int")
     assert abs(centres.silhouette(rows, "v", ["two"], rows=None)["two"] - plain_silhouette(X, two)) < 1e-6
     assert "block_b" not in counts[0] and "other" in counts[0]
+
+
+def test_starts_and_scores_take_all_rows(df):
+    """Beyond 4,000 and 8,000 rows, the samples that starts and silhouettes came from."""
+    x = np.random.default_rng(4).normal(size=(8600, 2)).round(3)
+    far = np.array([[400.0, 400.0]])
+    many = df.sparkSession.createDataFrame([(v,) for v in np.concatenate([x, far]).tolist()], "v array<double>").repartition(3)
+    runs = centres.k_sweep(many, "v", [2], starts=2)
+    assert (np.abs(runs[0].centres - far[0]).max(axis=1) < 1e-9).any()  # whatever its hash, the far row is drawn
+    halves = many.withColumn("c", (F.col("v")[0] > 0).cast("int"))
+    whole = np.concatenate([x, far])
+    got = centres.silhouette(halves, "v", ["c"])["c"]
+    assert abs(got - plain_in_slices(whole, (whole[:, 0] > 0).astype(int))) < 1e-6
+    counted = halves.groupBy("v", "c").agg(F.count(F.lit(1)).alias("n"))
+    assert abs(centres.silhouette(counted, "v", ["c"], copies="n")["c"] - got) < 1e-9
+
+
+def plain_in_slices(x, label):
+    out = []
+    for i in range(0, len(x), 500):
+        d = np.sqrt(((x[i : i + 500, None] - x[None]) ** 2).sum(axis=2))
+        sums, size = np.stack([d[:, label == c].sum(axis=1) for c in (0, 1)], axis=1), np.bincount(label)
+        own, r = label[i : i + 500], np.arange(len(d))
+        a, b = sums[r, own] / (size[own] - 1), sums[r, 1 - own] / size[1 - own]
+        out.append((b - a) / np.maximum(a, b))
+    return float(np.concatenate(out).mean())
+
+
+def test_starts_do_not_depend_on_partitions(df):
+    few = [centres.spread_starts(centres._vectors(df.repartition(n), "v"), [(2, 0), (3, 0), (3, 1)], 7) for n in (1, 5)]
+    assert all(np.array_equal(few[0][key], few[1][key]) and len(few[0][key]) == key[0] for key in few[0])
+    same = centres._vectors(df.sparkSession.createDataFrame([([1.0, 2.0],)] * 5, "v array<double>"), "v")
+    assert centres.spread_starts(same, [(3, 0)], 7)[3, 0].tolist() == [[1.0, 2.0]] * 3
