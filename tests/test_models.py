@@ -111,3 +111,14 @@ def test_stream_equals_batch(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted(spark.table("rates").collect()) == sorted(streams.windowed_rates(rows, "ts", "g", "y").collect())
+
+
+def test_radius_of_all_rows(spark):
+    """More rows than the sample of 4,000 that radii came from, with copies; every row counts."""
+    x = np.random.default_rng(8).normal(size=(4300, 2)).round(2)
+    x = np.concatenate([x, np.full((300, 2), 90.0), [[200.0, 0.0]]])
+    df = spark.createDataFrame([(v,) for v in x.tolist()], "v array<double>").repartition(3)
+    near = np.concatenate([np.sort(np.sqrt(((x[i : i + 500, None] - x[None]) ** 2).sum(axis=2)), axis=1)[:, 9] for i in range(0, len(x), 500)])
+    got = density.k_distances(df, "v", [10]).toPandas()
+    assert got["copies"].sum() == len(x) and np.allclose(np.sort(np.repeat(got["distance"], got["copies"])), np.sort(near), atol=1e-5)
+    assert abs(density.eps_candidates(density.k_distances(df, "v", [10]), [0.9]).first()["eps"] - np.quantile(near, 0.9)) < 1e-4
